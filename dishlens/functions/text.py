@@ -6,10 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The code points Python treats as white space, the cut-offs and the labels of the answer text.
-WS = (
-    r"[\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
-    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-)
+WS_RARE = r"\x{9}-\x{D}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+WS = f"[ {WS_RARE}]"
 MIN_REVIEW_CHARS = 20
 SEARCH_TEXT_CHARS = 500
 ANSWER_EXCERPT_CHARS = 300
@@ -27,8 +25,11 @@ def as_column(c: Column | str) -> Column:
 
 
 def collapse(c: Column | str) -> Column:
-    """Every run of white space becomes one U+0020, and none is left at the ends."""
-    return F.trim(F.regexp_replace(as_column(c), WS + "+", " "))
+    """Every run of white space becomes one U+0020, and none is left at the ends.
+
+    Single U+0020s, nearly all the white space there is, are not matched at all.
+    """
+    return F.trim(F.regexp_replace(as_column(c), f"[{WS_RARE}]{WS}*| {WS}+", " "))
 
 
 def strip(c: Column | str) -> Column:

@@ -112,6 +112,23 @@ def fit_idf(encoded: DataFrame, space: Space, name: str) -> Space:
     )
 
 
+def refitted(encoded: DataFrame, fitted: Space) -> DataFrame:
+    """Rows of the unfitted space in the fitted one: same features, weights scaled and brought back to unit length."""
+    factors = np.array(fitted.idf)
+
+    def scale(features: pa.Array, weights: pa.Array) -> pa.Array:
+        n = len(features)
+        feature = features.flatten().to_numpy(zero_copy_only=False)
+        lengths = pc.fill_null(pc.list_value_length(features), 0).to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(n), lengths)
+        weight = weights.flatten().to_numpy(zero_copy_only=False) * factors[feature]
+        length = np.sqrt(np.bincount(row, weights=weight * weight, minlength=n))
+        ends = np.concatenate([[0], np.cumsum(lengths)]).astype("int32")
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(weight / length[row] if len(row) else weight))
+
+    return encoded.withColumn("weights", F.arrow_udf(scale, "array<double>")("features", "weights"))
+
+
 def encode_with(
     df: DataFrame,
     id_col: str,
@@ -140,10 +157,9 @@ def encode_with(
 
 def normalized(df: DataFrame, col: str = "vector") -> DataFrame:
     """Unit-length vectors in place; a zero vector stays zero."""
-    return df.withColumn("_norm", vx.norm(col)).withColumn(col, vx.scale_to_unit(col, "_norm")).drop("_norm")
+    return df.withColumn(col, vx.unit(col))
 
 
 def reweighted(df: DataFrame, weights: list[float], col: str = "vector") -> DataFrame:
     """A second dense space from the first: one factor per dimension, then unit length again."""
-    scaled = F.zip_with(col, F.lit([float(w) for w in weights]), lambda x, w: x.cast("double") * w)
-    return normalized(df.withColumn(col, scaled), col)
+    return df.withColumn(col, vx.unit(vx.weighted(col, weights)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dishlens.functions import text as tx
@@ -153,8 +153,8 @@ def ir_metrics(queries: DataFrame, hits: DataFrame, relevant: DataFrame, k: int)
 def rating_distribution(reviews: DataFrame) -> DataFrame:
     """Count and share (percent) of each rating."""
     counts = reviews.groupBy("star_rating").agg(F.count(F.lit(1)).alias("n"))
-    total = reviews.agg(F.count(F.lit(1))).scalar()
-    return counts.select("star_rating", "n", (F.col("n") / total * 100).alias("share_pct")).orderBy("star_rating")
+    everything = Window.partitionBy(F.lit(0))  # over one row per rating
+    return counts.select("star_rating", "n", (F.col("n") / F.sum("n").over(everything) * 100).alias("share_pct")).orderBy("star_rating")
 
 
 def facet_groups(reviews: DataFrame, min_members: int = 1) -> DataFrame:

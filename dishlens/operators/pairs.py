@@ -17,12 +17,12 @@ from dishlens.functions.hashing import draw
 from dishlens.operators.metrics import facet_members
 from dishlens.operators.ordinals import CHUNK_ROWS, with_ordinal
 from dishlens.operators.query_match import draw_matches, match_counts
+from dishlens.sources.sinks import materialize
 
 # The share of each strategy, and how many picks it may take per pair wanted.
 SHARES = {"query": 0.3, "similar": 0.4, "rating": 0.3}
 ATTEMPTS = {"query": 10, "similar": 5, "rating": 5}
 HIGH_RATING = 4
-MAX_TRAVELLING_DRAWS = 200_000
 MAX_BROADCAST_DRAWS = 1_000_000
 PAIR_COLUMNS = ["strategy", "j", "left_id", "right_id", "text_a", "text_b"]
 
@@ -96,7 +96,7 @@ def query_pairs(reviews: DataFrame, queries: DataFrame, num_pairs: int, seed: in
         "j", draw(seed, "query", F.col("j"), "query", _count(numbered)).alias("query_id")
     )
     accepted = picks.join(counts.select("query_id"), "query_id", "left_semi").orderBy("j").limit(want)
-    drawn = draw_matches(reviews, numbered, accepted, seed, "query", MAX_TRAVELLING_DRAWS)
+    drawn = draw_matches(reviews, numbered, materialize(accepted, "accepted-draws"), seed, "query")
     found = reviews.select("review_id", "search_text").join(_small(drawn, want), "review_id")
     named = picks.join(numbered, "query_id")
     return found.join(named, "j").select(

@@ -2,7 +2,7 @@
 
 Queries in a checked size travel with the tasks as one automaton over their distinct terms, each term with a bit per
 query; a review's queries are the union of the bits of its terms. Counts and draws are combined inside the task, so one
-row per query or draw leaves it. Larger query tables go through keyed joins and give the same rows.
+row per query or draw leaves it. Larger query tables are worked off in blocks, one scan each.
 """
 
 from __future__ import annotations
@@ -11,23 +11,20 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dishlens.functions import text as tx
 from dishlens.functions.hashing import draw, hash32
-from dishlens.operators.terms import contained_by_join
 
 MAX_QUERIES = 65_536
-MAX_TERMS = 200_000
 MAX_BIT_BYTES = 256 << 20
+BLOCK_QUERIES = 4_096
+MAX_BLOCK_DRAWS = 200_000
 PRIME = 2_147_483_647
 
 
-def query_term_rows(queries: DataFrame) -> DataFrame:
-    return queries.select("query_id", F.explode(tx.query_terms("query")).alias("term"))
-
-
 class TermBits:
     """Distinct terms of some queries, and for every term which queries have it."""
 
@@ -64,42 +61,53 @@ class TermBits:
         return flags
 
 
-def fetch_term_bits(queries: DataFrame, max_queries: int = MAX_QUERIES) -> TermBits | None:
-    """The queries as term bits if they are within bounds, else None."""
-    head = queries.select("query_id", tx.query_terms("query").alias("terms")).limit(max_queries + 1).collect()
-    if len(head) > max_queries:
-        return None
-    bits = TermBits([(r.query_id, r.terms) for r in sorted(head, key=lambda r: r.query_id)])
-    return bits if len(bits.terms) <= MAX_TERMS and bits.bit_bytes <= MAX_BIT_BYTES else None
+def _fetch(queries: DataFrame, most: int) -> TermBits | None:
+    head = queries.select("query_id", tx.query_terms("query").alias("terms")).limit(most + 1).collect()
+    return TermBits([(r.query_id, r.terms) for r in sorted(head, key=lambda r: r.query_id)]) if len(head) <= most else None
+
+
+def term_blocks(queries: DataFrame, max_queries: int = MAX_QUERIES, block_queries: int = BLOCK_QUERIES) -> Iterator[TermBits]:
+    """All queries as one block if that is small enough, else block by block."""
+    whole = _fetch(queries, max_queries)
+    if whole is not None and whole.bit_bytes <= MAX_BIT_BYTES:
+        yield whole
+        return
+    blocks = -(-queries.count() * 2 // block_queries)
+    for b in range(blocks):
+        part = _fetch(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b), block_queries)
+        if part is None:
+            raise ValueError("query ids are not unique")
+        yield part
 
 
-def _matches_by_join(reviews: DataFrame, queries: DataFrame) -> DataFrame:
-    pairs = query_term_rows(queries)
-    terms = pairs.select("term").distinct().select(F.xxhash64("term").alias("rank"), "term")
-    found = contained_by_join(reviews, "review_id", "review_text", terms, q=tx.MIN_QUERY_TERM_CHARS)
-    keyed = pairs.select("query_id", F.xxhash64("term").alias("rank"))
-    return found.join(keyed, "rank").select("query_id", F.col("id").alias("review_id")).distinct()
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out
 
 
-def match_counts(reviews: DataFrame, queries: DataFrame, max_queries: int = MAX_QUERIES) -> DataFrame:
+def match_counts(reviews: DataFrame, queries: DataFrame, max_queries: int = MAX_QUERIES, block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """``query_id, n_matches`` for queries with at least one matching review."""
-    bits = fetch_term_bits(queries, max_queries)
-    if bits is None:
-        return _matches_by_join(reviews, queries).groupBy("query_id").agg(F.count(F.lit(1)).alias("n_matches"))
-    shared = reviews.sparkSession.sparkContext.broadcast(bits)
+    lowered = reviews.select(F.lower("review_text").alias("lowered"))
+    parts = [_count_block(lowered, block) for block in term_blocks(queries, max_queries, block_queries)]
+    return _union(parts).groupBy("query_id").agg(F.sum("n").alias("n_matches"))
+
+
+def _count_block(lowered: DataFrame, block: TermBits) -> DataFrame:
+    shared = lowered.sparkSession.sparkContext.broadcast(block)
     out_schema = pa.schema([("query_id", pa.int64()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = shared.value
-        flags, totals = block.compile(), np.zeros(len(block.rows), dtype="int64")
+        bits = shared.value
+        flags, totals = bits.compile(), np.zeros(len(bits.rows), dtype="int64")
         for batch in batches:
             for text in batch["lowered"].to_pylist():
                 totals += flags(text)
         some = totals > 0
-        yield pa.RecordBatch.from_arrays([pa.array(block.query_ids[some]), pa.array(totals[some])], schema=out_schema)
+        yield pa.RecordBatch.from_arrays([pa.array(bits.query_ids[some]), pa.array(totals[some])], schema=out_schema)
 
-    partial = reviews.select(F.lower("review_text").alias("lowered")).mapInArrow(count, "query_id bigint, n bigint")
-    return partial.groupBy("query_id").agg(F.sum("n").alias("n_matches"))
+    return lowered.mapInArrow(count, "query_id bigint, n bigint")
 
 
 def draw_factors(seed: int, strategy: str, j: Column) -> tuple[Column, Column]:
@@ -110,40 +118,49 @@ def draw_factors(seed: int, strategy: str, j: Column) -> tuple[Column, Column]:
     )
 
 
-def draw_matches(reviews: DataFrame, queries: DataFrame, draws: DataFrame, seed: int, strategy: str, max_draws: int, max_queries: int = MAX_QUERIES) -> DataFrame:
+def draw_matches(
+    reviews: DataFrame, queries: DataFrame, draws: DataFrame, seed: int, strategy: str, max_queries: int = MAX_QUERIES, block_queries: int = BLOCK_QUERIES
+) -> DataFrame:
     """``j, review_id``: for each draw ``j, query_id`` one matching review, each of them equally likely.
 
     A draw puts the reviews in an order of its own, ``(factor * h(review) + offset) mod p``, and takes the first that
-    matches: the least value over all matching reviews, which combines like any minimum.
+    matches: the least value over all matching reviews, which combines like any minimum. ``draws`` is read once per
+    block, so it should be a written table.
     """
     factor, offset = draw_factors(seed, strategy, F.col("j"))
     draws = draws.select("j", "query_id", factor.alias("a"), offset.alias("b"))
     point = F.pmod(hash32(F.col("review_id").cast("string")), F.lit(PRIME)).alias("x")
-    bits = fetch_term_bits(queries.join(draws.select("query_id").distinct(), "query_id", "left_semi"), max_queries)
-    head = draws.limit(max_draws + 1).toArrow() if bits is not None else None
-    if head is None or head.num_rows > max_draws:
-        matches = _matches_by_join(reviews, queries).join(draws, "query_id").select("j", "review_id", "a", "b", point)
-        drawn = matches.select("j", F.pmod(F.col("a") * F.col("x") + F.col("b"), F.lit(PRIME)).alias("h"), "review_id")
-    else:
-        shared = reviews.sparkSession.sparkContext.broadcast((bits, head))
-        out_schema = pa.schema([("j", pa.int64()), ("h", pa.int64()), ("review_id", pa.int64())])
-
-        def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            block, table = shared.value
-            flags = block.compile()
-            j, a, b, q = (table[c].to_numpy() for c in ("j", "a", "b", "query_id"))
-            at = np.searchsorted(block.query_ids, q)
-            least, chosen = np.full(len(j), PRIME, dtype="int64"), np.full(len(j), -1, dtype="int64")
-            for batch in batches:
-                rows = zip(batch["review_id"].to_pylist(), batch["x"].to_pylist(), batch["lowered"].to_pylist())
-                for review_id, x, text in rows:
-                    wanted = np.nonzero(flags(text)[at])[0]
-                    h = (a[wanted] * x + b[wanted]) % PRIME
-                    better = (h < least[wanted]) | ((h == least[wanted]) & (review_id < chosen[wanted]))
-                    least[wanted[better]], chosen[wanted[better]] = h[better], review_id
-            some = least < PRIME
-            yield pa.RecordBatch.from_arrays([pa.array(j[some]), pa.array(least[some]), pa.array(chosen[some])], schema=out_schema)
-
-        scanned = reviews.select(F.col("review_id").cast("bigint").alias("review_id"), point, F.lower("review_text").alias("lowered"))
-        drawn = scanned.mapInArrow(pick, "j bigint, h bigint, review_id bigint")
-    return drawn.groupBy("j").agg(F.min(F.struct("h", "review_id")).alias("m")).select("j", F.col("m.review_id").alias("review_id"))
+    scanned = reviews.select(F.col("review_id").cast("bigint").alias("review_id"), point, F.lower("review_text").alias("lowered"))
+    rounds = max(1, -(-draws.count() * 2 // MAX_BLOCK_DRAWS)) if draws.limit(MAX_BLOCK_DRAWS + 1).count() > MAX_BLOCK_DRAWS else 1
+    parts = []
+    for r in range(rounds):
+        some = draws.where(F.pmod("j", F.lit(rounds)) == r) if rounds > 1 else draws
+        wanted = queries.join(some.select("query_id").distinct(), "query_id", "left_semi")
+        for block in term_blocks(wanted, max_queries, block_queries):
+            table = some.toArrow()
+            parts.append(_pick_block(scanned, block, table.filter(pc.is_in(table["query_id"], pa.array(block.query_ids)))))
+    best = _union(parts).groupBy("j").agg(F.min(F.struct("h", "review_id")).alias("m"))
+    return best.select("j", F.col("m.review_id").alias("review_id"))
+
+
+def _pick_block(scanned: DataFrame, block: TermBits, draws: pa.Table) -> DataFrame:
+    shared = scanned.sparkSession.sparkContext.broadcast((block, draws))
+    out_schema = pa.schema([("j", pa.int64()), ("h", pa.int64()), ("review_id", pa.int64())])
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, table = shared.value
+        flags = bits.compile()
+        j, a, b, q = (table[c].to_numpy() for c in ("j", "a", "b", "query_id"))
+        at = np.searchsorted(bits.query_ids, q)
+        least, chosen = np.full(len(j), PRIME, dtype="int64"), np.full(len(j), -1, dtype="int64")
+        for batch in batches:
+            rows = zip(batch["review_id"].to_pylist(), batch["x"].to_pylist(), batch["lowered"].to_pylist())
+            for review_id, x, text in rows:
+                wanted = np.nonzero(flags(text)[at])[0]
+                h = (a[wanted] * x + b[wanted]) % PRIME
+                better = (h < least[wanted]) | ((h == least[wanted]) & (review_id < chosen[wanted]))
+                least[wanted[better]], chosen[wanted[better]] = h[better], review_id
+        some = least < PRIME
+        yield pa.RecordBatch.from_arrays([pa.array(j[some]), pa.array(least[some]), pa.array(chosen[some])], schema=out_schema)
+
+    return scanned.mapInArrow(pick, "j bigint, h bigint, review_id bigint")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dishlens.config import Settings, work_dir
+from dishlens.config import Settings
 from dishlens.functions import lexicon as lx
 from dishlens.functions import text as tx
 from dishlens.operators import metrics
@@ -19,9 +19,14 @@ PROCESSED = ["review_id", "review_text", "star_rating", *SEARCH_FACETS, "mention
 
 
 def clean_reviews(reviews: DataFrame) -> DataFrame:
-    """Drop reviews without text or with too little of it; the text left is cleaned."""
-    collapsed = reviews.dropna(subset=["review_text"]).withColumn("review_text", tx.collapse("review_text"))
-    return collapsed.where(F.length("review_text") >= tx.MIN_REVIEW_CHARS)
+    """Drop reviews without text or with too little of it; the text left is cleaned.
+
+    A plain filter on the cleaned text would be pushed below it and clean every text twice, so short texts are dropped
+    by exploding a list of none or one.
+    """
+    kept = F.filter(F.array(tx.collapse("review_text")), lambda t: F.length(t) >= tx.MIN_REVIEW_CHARS)
+    others = [c for c in reviews.columns if c != "review_text"]
+    return reviews.where(F.col("review_text").isNotNull()).select(*others, F.explode(kept).alias("review_text")).select(reviews.columns)
 
 
 def process_reviews(
@@ -55,13 +60,6 @@ def pipeline_counts(reviews: DataFrame, max_reviews: int) -> DataFrame:
     return totals.select(F.inline(F.array(*rows)))
 
 
-def materialize(df: DataFrame, purpose: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write a table several later jobs read and hand back the written form; a lost executor costs nothing upstream."""
-    path = work_dir(df.sparkSession, purpose)
-    df.write.partitionBy(*(partition_by or [])).parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def run_preprocessing(spark: SparkSession, settings: Settings) -> dict[str, DataFrame]:
     """Read the inputs, write the processed table, and return it with its inputs and statistics."""
     reviews = readers.read_reviews_csv(spark, settings.reviews_path)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from dishlens.functions import text as tx
 from dishlens.operators import answers
-from dishlens.operators.encode import Space, check_same_space, encode, fit_idf
+from dishlens.operators.encode import Space, check_same_space, encode, fit_idf, refitted
 from dishlens.operators.filters import Filters, apply_filters, passes_query_filters
 from dishlens.operators.topk import QUERY_FILTERS, Hits, top_k
 from dishlens.sources import catalog
@@ -28,12 +28,17 @@ def build_dense_index(processed: DataFrame, vectors: DataFrame, space: Space) ->
     return renamed.join(vectors, "row_id").withColumn("space", F.lit(space.name))
 
 
-def build_two_spaces(processed: DataFrame, space: Space, tuned_name: str = TUNED) -> tuple[DataFrame, dict[str, Space]]:
-    """A plain index and one in a space fitted to the corpus, as one table."""
-    base = build_index(processed, space)
+def build_two_spaces(processed: DataFrame, space: Space, path: str, tuned_name: str = TUNED) -> tuple[DataFrame, dict[str, Space]]:
+    """A plain index and one in a space fitted to the corpus, written as one table.
+
+    The texts are read once: fitting and the second space start from the vectors written for the first.
+    """
+    spark = processed.sparkSession
+    build_index(processed, space).write.partitionBy("space").parquet(path)
+    base = spark.read.parquet(path).where(F.col("space") == space.name)
     fitted = fit_idf(base, space, tuned_name)
-    both = base.unionByName(build_index(processed, fitted))
-    return both, {space.name: space, tuned_name: fitted}
+    refitted(base, fitted).withColumn("space", F.lit(tuned_name)).write.mode("append").partitionBy("space").parquet(path)
+    return spark.read.parquet(path), {space.name: space, tuned_name: fitted}
 
 
 def index_stats(index: DataFrame) -> DataFrame:

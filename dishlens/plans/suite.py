@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dishlens.config import work_dir
 from dishlens.functions import lexicon as lx
 from dishlens.functions import text as tx
 from dishlens.functions import vectors as vx
@@ -61,7 +62,7 @@ class Tables:
     def _once(self, name: str, make: Callable[[], DataFrame], partition_by: list[str] | None = None) -> DataFrame:
         key = (self.spark.sparkContext.applicationId, self.dir, name)
         if key not in self._made:
-            self._made[key] = pp.materialize(make(), name, partition_by)
+            self._made[key] = sinks.materialize(make(), name, partition_by)
         return self._made[key]
 
     def reviews(self) -> DataFrame:
@@ -135,18 +136,12 @@ class Tables:
 
     # A hashed space over the search texts, and one fitted to them.
     def text_index(self) -> tuple[DataFrame, dict[str, Space]]:
-        spaces: dict[str, Space] = {}
+        key = (self.spark.sparkContext.applicationId, self.dir)
+        if key not in self._text:
+            self._text[key] = rt.build_two_spaces(self.processed(), SPACE, work_dir(self.spark, "text-index"))
+        return self._text[key]
 
-        def make() -> DataFrame:
-            index, made = rt.build_two_spaces(self.processed(), SPACE)
-            self._spaces[(self.spark.sparkContext.applicationId, self.dir)] = made
-            return index
-
-        index = self._once("text-index", make, ["space"])
-        spaces.update(self._spaces[(self.spark.sparkContext.applicationId, self.dir)])
-        return index, spaces
-
-    _spaces: dict[tuple[str, str], dict[str, Space]] = {}
+    _text: dict[tuple[str, str], tuple[DataFrame, dict[str, Space]]] = {}
 
     def text_hits(self, k: int = K, space: str = rt.BASE) -> tuple[DataFrame, Hits, DataFrame]:
         """Queries, their hits in one space, and that space's index."""
@@ -168,13 +163,13 @@ def normalize_queries(t: Tables) -> DataFrame:
 
 
 def processed_roundtrip(t: Tables) -> DataFrame:
-    back = pp.materialize(t.processed(), "roundtrip")
+    back = sinks.materialize(t.processed(), "roundtrip")
     return back.select("review_id", "star_rating", F.length("search_text").alias("n_chars"), *joined("food_type", "mentioned_foods"))
 
 
 def index_roundtrip(t: Tables) -> DataFrame:
     index, spaces = t.text_index()
-    path = pp.work_dir(t.spark, "index")
+    path = work_dir(t.spark, "index")
     sinks.write_index(index, list(spaces.values()), path)
     back, found = readers.read_index(t.spark, path)
     size = F.size("features").cast("bigint")
@@ -515,7 +510,7 @@ def evaluation_report(t: Tables) -> DataFrame:
 
 def evaluation_detail(t: Tables) -> DataFrame:
     e = t.evaluation()
-    return _round_all(ev.Evaluation(e.queries, pp.materialize(e.hits, "hits")).detail())
+    return _round_all(ev.Evaluation(e.queries, sinks.materialize(e.hits, "hits")).detail())
 
 
 def ir_metrics(t: Tables) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from dishlens.operators import pairs as pr
-from dishlens.plans.preprocess import materialize
+from dishlens.sources.sinks import materialize
 
 
 def training_pairs(reviews: DataFrame, queries: DataFrame, num_pairs: int = 10_000, seed: int = 42) -> DataFrame:
