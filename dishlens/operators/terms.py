@@ -109,7 +109,7 @@ def contained_by_join(texts: DataFrame, id_col: str, text_col: str, dictionary:
         .select("id", "window", F.substring("window", 1, q).alias("gram"), F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt"))
     )
     keyed = terms.select(
-        "rank", "term", F.substring("term", 1, q).alias("gram"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("bigint").alias("salt")
+        "rank", "term", F.substring("term", 1, q).alias("gram"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))).alias("salt")
     )
     return (
         windows.join(keyed, ["gram", "salt"])
