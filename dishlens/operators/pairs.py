@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from dishlens.functions.hashing import draw
 from dishlens.operators.metrics import facet_members
 from dishlens.operators.ordinals import CHUNK_ROWS, with_ordinal
-from dishlens.operators.query_match import draw_matches, match_counts
+from dishlens.operators.query_match import draw_matches
 from dishlens.sources.sinks import materialize
 
 # The share of each strategy, and how many picks it may take per pair wanted.
@@ -88,15 +88,22 @@ def _with_texts(pairs: DataFrame, reviews: DataFrame, strategy: str, rows: int)
 
 
 def query_pairs(reviews: DataFrame, queries: DataFrame, num_pairs: int, seed: int = 42) -> DataFrame:
-    """A query with a review that contains one of its terms; both picked evenly, repeats allowed."""
+    """A query with a review that contains one of its terms; both picked evenly, repeats allowed.
+
+    A pick whose query matches nothing is rejected. As most queries match, the first ``want`` picks are tried alone and
+    the rest of the attempts only if some of them failed.
+    """
     want, spark = quota("query", num_pairs), reviews.sparkSession
     numbered = with_ordinal(queries.select("query").distinct(), ["query"], out_col="query_id").select("query_id", "query")
-    counts = match_counts(reviews, numbered)
+    n_queries = numbered.count()
     picks = _draws(spark, want * ATTEMPTS["query"]).select(
-        "j", draw(seed, "query", F.col("j"), "query", _count(numbered)).alias("query_id")
+        "j", draw(seed, "query", F.col("j"), "query", F.lit(n_queries)).alias("query_id")
     )
-    accepted = picks.join(counts.select("query_id"), "query_id", "left_semi").orderBy("j").limit(want)
-    drawn = draw_matches(reviews, numbered, materialize(accepted, "accepted-draws"), seed, "query")
+    drawn = materialize(draw_matches(reviews, numbered, picks.where(F.col("j") < want), seed, "query"), "drawn")
+    short = want - drawn.count()
+    if short:
+        later = draw_matches(reviews, numbered, picks.where(F.col("j") >= want), seed, "query")
+        drawn = drawn.union(later.orderBy("j").limit(short))
     found = reviews.select("review_id", "search_text").join(_small(drawn, want), "review_id")
     named = picks.join(numbered, "query_id")
     return found.join(named, "j").select(

@@ -124,8 +124,8 @@ def draw_matches(
     """``j, review_id``: for each draw ``j, query_id`` one matching review, each of them equally likely.
 
     A draw puts the reviews in an order of its own, ``(factor * h(review) + offset) mod p``, and takes the first that
-    matches: the least value over all matching reviews, which combines like any minimum. ``draws`` is read once per
-    block, so it should be a written table.
+    matches: the least value over all matching reviews, which combines like any minimum. Draws whose query matches no
+    review give no row. ``draws`` is read once per block and should be cheap to read.
     """
     factor, offset = draw_factors(seed, strategy, F.col("j"))
     draws = draws.select("j", "query_id", factor.alias("a"), offset.alias("b"))
