@@ -70,6 +70,16 @@ def answer_prompts(queries: DataFrame, hits: DataFrame) -> DataFrame:
     return queries.join(context, "query_id", "left").select("query_id", F.when(found, F.array(*message)).alias("messages"))
 
 
+def routed_answers(queries: DataFrame, hits: DataFrame) -> DataFrame:
+    """``query_id, answer, messages``: queries with ``use_model`` and hits get messages for a model, all others a text."""
+    for_model = F.coalesce(F.col("use_model"), F.lit(False))
+    blocks = hits.join(queries.select("query_id", for_model.alias("_m")), "query_id")
+    texts = template_answers(queries, blocks.where(~F.col("_m"))).select("query_id", "answer")
+    prompts = answer_prompts(queries, blocks.where("_m"))
+    both = texts.join(prompts, "query_id")
+    return both.select("query_id", F.when(F.col("messages").isNull(), F.col("answer")).alias("answer"), "messages")
+
+
 def answer_preview(answer: Column | str) -> Column:
     return tx.excerpt(answer, tx.PREVIEW_CHARS, stripped=False)
 

@@ -329,6 +329,8 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, row_id, CAST(first_rank AS INTEG
     context = f"string_agg('รีวิว ' || rank || ' (Rating: ' || star_rating || '/5): ' || substr(review_text, 1, 400), {NL} || {NL} ORDER BY rank)"
     out["answer_prompt"] = f"WITH {text_hits(K)}, ctx AS (SELECT query_id, {context} AS c FROM hits GROUP BY 1) SELECT query_id, CAST(0 AS INTEGER) AS pos, 'system' AS role, {q(answers.PROMPT_SYSTEM)} AS content FROM ctx UNION ALL SELECT query_id, 1, 'user', 'คำถาม: ' || query || {NL} || {NL} || 'ข้อมูลรีวิว:' || {NL} || c FROM ctx JOIN bq USING (query_id)"
 
+    out["answer_router"] = f"WITH {text_hits(K)}, ctx AS (SELECT query_id, {context} AS c FROM hits GROUP BY 1), t AS (SELECT * FROM {answer('bq', 'hits', 'query_id')}) SELECT query_id, CASE WHEN query_id % 2 = 0 AND c IS NOT NULL THEN NULL ELSE answer END AS answer, CASE WHEN query_id % 2 = 0 THEN 'คำถาม: ' || query || {NL} || {NL} || 'ข้อมูลรีวิว:' || {NL} || c END AS user_message FROM t LEFT JOIN ctx USING (query_id)"
+
     def first(c: str, n: int) -> str:
         return f"array_to_string((string_split({c}, ', '))[1:{n}], ', ') AS {c}_shown"
 

@@ -432,6 +432,13 @@ def answer_prompt(t: Tables) -> DataFrame:
     return made.select("query_id", F.posexplode("messages").alias("pos", "m")).select("query_id", "pos", "m.role", "m.content")
 
 
+def answer_router(t: Tables) -> DataFrame:
+    queries, hits, index = t.text_hits()
+    asked = queries.withColumn("use_model", F.col("query_id") % 2 == 0)
+    routed = answers.routed_answers(asked, hits.with_payload(index))
+    return routed.select("query_id", "answer", F.element_at("messages", 2)["content"].alias("user_message"))
+
+
 def display_rows(t: Tables) -> DataFrame:
     _, hits, index = t.text_hits()
     rows = answers.display_rows(hits.with_payload(index))
@@ -612,6 +619,7 @@ REGISTRY: dict[str, Callable[[Tables], DataFrame]] = {
     "space_fallback": space_fallback,
     "answer_template": answer_template,
     "answer_prompt": answer_prompt,
+    "answer_router": answer_router,
     "display_rows": display_rows,
     "display_nested": display_nested,
     "demo_answers": demo_answers,

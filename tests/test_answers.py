@@ -53,6 +53,14 @@ def test_prompt(queries, hits):
     assert got[1][1].content == "คำถาม: อร่อย\n\nข้อมูลรีวิว:\nรีวิว 1 (Rating: 5/5): " + "x" * 301 + "\n\nรีวิว 2 (Rating: 0/5):  short one"
 
 
+def test_router(spark, queries, hits):
+    asked = queries.withColumn("use_model", queries.query_id != 2)
+    got = {r.query_id: r for r in answers.routed_answers(asked, hits).collect()}
+    assert got[1].answer is None and got[1].messages[0].role == "system"
+    assert got[2].answer.startswith("จากการค้นหา") and got[2].messages is None
+    assert got[3].answer == answers.NOT_FOUND
+
+
 def test_cards(hits):
     rows = {(r.query_id, r["rank"]): r for r in answers.display_rows(hits).collect()}
     first = rows[(1, 1)]

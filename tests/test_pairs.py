@@ -66,7 +66,9 @@ def test_counts_equal_brute_force_in_one_or_many_blocks(spark, table, queries):
             want[r.query_id] = n
     assert dict(rows(match_counts(table, numbered))) == want
     assert dict(rows(match_counts(table, numbered, max_queries=2, block_queries=4))) == want
-    draws = spark.range(50).crossJoin(numbered.select("query_id")).select((F.col("id") * 1000 + F.col("query_id")).alias("j"), "query_id")
+    draws = numbered.select("query_id", F.explode(F.sequence(F.lit(0), F.lit(49))).alias("n")).select(
+        (F.col("n") * 1000 + F.col("query_id")).alias("j"), "query_id"
+    )
     whole = rows(draw_matches(table, numbered, draws, 5, "query"))
     assert whole == rows(draw_matches(table, numbered, draws, 5, "query", max_queries=2, block_queries=4)) and whole
 
