@@ -4,17 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dishlens.llm import substring_dedup
+from dishlens.llm import exact_dedup, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
+    return exact_dedup.decisions(table(spark, sf_dir, "documents")).select(columns)
+
+
 def substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.dedupe_passages(table(spark, sf_dir, "documents")))
 
 
 QUERIES = {
+    "op4_exact_dedup": exact,
     "op7_substring_dedup": substring,
 }
