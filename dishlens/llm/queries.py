@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dishlens.llm import exact_dedup, substring_dedup
+from dishlens.llm import exact_dedup, quality_rules, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
 def exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
     return exact_dedup.decisions(table(spark, sf_dir, "documents")).select(columns)
@@ -21,6 +25,7 @@ def substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_rules": quality,
     "op4_exact_dedup": exact,
     "op7_substring_dedup": substring,
 }
