@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dishlens.llm import exact_dedup, quality_rules, substring_dedup
+from dishlens.llm import exact_dedup, mixing, quality_rules, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decisions(table(spark, sf_dir, "documents")).select(columns)
 
 
+def mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 def substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.dedupe_passages(table(spark, sf_dir, "documents")))
 
@@ -27,5 +31,6 @@ def substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": quality,
     "op4_exact_dedup": exact,
+    "op5_mixing": mix,
     "op7_substring_dedup": substring,
 }
