@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dishlens.llm import exact_dedup, mixing, quality_rules, substring_dedup
+from dishlens.llm import chat, exact_dedup, mixing, quality_rules, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,9 +28,15 @@ def substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.dedupe_passages(table(spark, sf_dir, "documents")))
 
 
+def chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = chat.probe(spark, table(spark, sf_dir, "conversations"))
+    return chat.digest(chat.formatted(chat.branches(chat.replies(turns))))
+
+
 QUERIES = {
     "op1_quality_rules": quality,
     "op4_exact_dedup": exact,
     "op5_mixing": mix,
     "op7_substring_dedup": substring,
+    "op8_chat_formatting": chats,
 }
