@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dishlens.llm import chat, exact_dedup, mixing, quality_rules, substring_dedup
+from dishlens.llm import chat, exact_dedup, language_id, mixing, quality_rules, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,10 +33,15 @@ def chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.formatted(chat.branches(chat.replies(turns))))
 
 
+def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_rules": quality,
     "op4_exact_dedup": exact,
     "op5_mixing": mix,
     "op7_substring_dedup": substring,
     "op8_chat_formatting": chats,
+    "op9_language_id": languages,
 }
