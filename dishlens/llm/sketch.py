@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,7 +25,7 @@ MIN_BITS, MAX_BITS = 16, 28
 #: Cells of a part of a row; parts are merged apart from each other.
 PART_BITS = 20
 #: Keys a task counts before it hands out what it has.
-KEYS_AT_ONCE = 4_000_000
+KEYS_AT_ONCE = 1_000_000
 #: Tasks' parts are merged in two steps, the first over this many shares of the tasks.
 SHARES = 16
 SCHEMA = "part int, share int, cells binary"
@@ -39,6 +40,15 @@ def cells_of(keys: np.ndarray, row: int, bits: int) -> np.ndarray:
     return mix(keys + U((row + 1) * BASE % 2**64)) >> U(64 - bits)
 
 
+def pack(values: np.ndarray) -> bytes:
+    """Ascending 32-bit numbers, as compressed steps."""
+    return zstandard.compress(np.diff(values, prepend=np.uint32(0)).astype("<u4").tobytes(), 1)
+
+
+def unpack(value: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zstandard.decompress(value), "<u4"), dtype=np.uint32)
+
+
 def _parts(keys: list[np.ndarray], bits: int, share: int) -> Iterator[pa.RecordBatch]:
     """Cells and whether they count 2 (lowest bit), ascending, one record for each part that has any."""
     joined = np.concatenate(keys)
@@ -52,7 +62,7 @@ def _parts(keys: list[np.ndarray], bits: int, share: int) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([
             pa.array((ids + (row << (bits - low))).astype(np.int32)),
             pa.array(np.full(len(ids), share, np.int32)),
-            pa.array([values[a:b].astype("<u4").tobytes() for a, b in zip(first, ends, strict=True)], pa.binary()),
+            pa.array([pack(values[a:b]) for a, b in zip(first, ends, strict=True)], pa.binary()),
         ], names=["part", "share", "cells"])
 
 
@@ -60,7 +70,7 @@ def _merged(group: pa.Table, low: int) -> np.ndarray:
     """Cells' counts up to 2; the sum of any number of parts, in any order."""
     count = np.zeros(1 << low, np.uint8)
     for value in group.column("cells"):
-        cells = np.frombuffer(value.as_buffer(), "<u4")
+        cells = unpack(value.as_buffer().to_pybytes())
         at = cells >> np.uint32(1)
         count[at] = np.minimum(count[at] + 1 + (cells & np.uint32(1)).astype(np.uint8), 2)
     return count
@@ -86,7 +96,7 @@ def repeated_keys(texts: DataFrame, keys: Callable[[pa.RecordBatch], Iterator[np
         total = _merged(group, low)
         at = np.flatnonzero(total).astype(np.uint32)
         cells = (at << np.uint32(1)) | (total[at] > 1)
-        return pa.table({"part": group.column("part")[:1], "share": pa.array([0], pa.int32()), "cells": pa.array([cells.astype("<u4").tobytes()], pa.binary())})
+        return pa.table({"part": group.column("part")[:1], "share": pa.array([0], pa.int32()), "cells": pa.array([pack(cells)], pa.binary())})
 
     def many(group: pa.Table) -> pa.Table:
         total = np.packbits(_merged(group, low) > 1, bitorder="little")

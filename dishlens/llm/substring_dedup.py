@@ -28,9 +28,9 @@ from dishlens.sources.sinks import materialize
 
 WINDOW, GRAM = 13, 5
 #: Windows a task holds before it groups them.
-WINDOWS_AT_ONCE = 2_000_000
+WINDOWS_AT_ONCE = 500_000
 #: Windows of one task of the exact step, and runs of one key beyond which single windows are dealt.
-WINDOWS_PER_TASK, RUNS_PER_KEY = 1_000_000, 50_000
+WINDOWS_PER_TASK, RUNS_PER_KEY = 250_000, 50_000
 RUNS = "doc_key long, text_key long, route long, position int, n int, hashes binary"
 SPANS = "doc_key long, text_key long, position int, n int"
 FINAL_EXTRA = "n_words long, n_removed long, kept string"
