@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dishlens.llm import chat, exact_dedup, language_id, mixing, quality_rules, substring_dedup
+from dishlens.llm import chat, exact_dedup, language_id, mixing, near_dedup, quality_rules, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
+
+
 def substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.dedupe_passages(table(spark, sf_dir, "documents")))
 
@@ -41,6 +45,7 @@ QUERIES = {
     "op1_quality_rules": quality,
     "op4_exact_dedup": exact,
     "op5_mixing": mix,
+    "op6_near_dedup": near,
     "op7_substring_dedup": substring,
     "op8_chat_formatting": chats,
     "op9_language_id": languages,

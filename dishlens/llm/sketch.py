@@ -17,11 +17,12 @@ import pyarrow as pa
 import zstandard
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from dishlens.llm.arrays import BASE, U, mix
 
 ROWS = 2
-MIN_BITS, MAX_BITS = 16, 28
+MIN_BITS, MAX_BITS, MAX_MAP_BITS = 16, 28, 27
 #: Cells of a part of a row; parts are merged apart from each other.
 PART_BITS = 20
 #: Keys a task counts before it hands out what it has.
@@ -124,3 +125,28 @@ def may_repeat(table: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
         cells = cells_of(keys, row, bits)
         found &= (table[row][(cells >> U(3)).astype(np.int64)] >> (cells & U(7)).astype(np.uint8)) & 1 > 0
     return found
+
+
+def bitmap(df: DataFrame, column: str) -> tuple[int, Broadcast]:
+    """A bit for the hash of each value of a column of longs: 16 bits a value, at most 2 ** MAX_MAP_BITS (16 MB)."""
+    bits = int(np.clip(np.ceil(np.log2(max(16 * df.count(), 1))), 6, MAX_MAP_BITS))
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slots = np.unique(mix(batch.column(0).to_numpy().view(U)) >> U(64 - bits))
+            at = slots >> U(6)
+            first = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else np.zeros(0, np.int64)
+            found = np.bitwise_or.reduceat(U(1) << (slots & U(63)), first) if len(at) else at
+            yield pa.RecordBatch.from_arrays([pa.array(at[first].view(np.int64)), pa.array(found.view(np.int64))], names=["at", "bits"])
+
+    merged = df.select(column).mapInArrow(words, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits"))
+    table = np.zeros(1 << (bits - 6), np.int64)
+    for batch in merged.toArrow().to_batches():
+        table[batch.column("at").to_numpy()] = batch.column("bits").to_numpy()
+    return bits, df.sparkSession.sparkContext.broadcast(table.view(U))
+
+
+def in_bitmap(table: np.ndarray, values: np.ndarray, bits: int) -> np.ndarray:
+    """Whether a value may be among those of the column."""
+    slots = mix(values.view(U)) >> U(64 - bits)
+    return (table[(slots >> U(6)).astype(np.int64)] >> (slots & U(63))) & U(1) > 0
