@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dishlens.llm import chat, exact_dedup, language_id, mixing, near_dedup, quality_rules, substring_dedup
+from dishlens.llm import chat, exact_dedup, language_id, mixing, near_dedup, pieces, quality_rules, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.tokenized(table(spark, sf_dir, "documents"))
+
+
 def exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
     return exact_dedup.decisions(table(spark, sf_dir, "documents")).select(columns)
@@ -43,6 +47,7 @@ def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": quality,
+    "op3_sentencepiece": sentence_pieces,
     "op4_exact_dedup": exact,
     "op5_mixing": mix,
     "op6_near_dedup": near,
