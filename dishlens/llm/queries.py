@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dishlens.llm import chat, exact_dedup, language_id, mixing, near_dedup, pieces, quality_rules, substring_dedup
+from dishlens.llm import chat, exact_dedup, language_id, mixing, near_dedup, pieces, quality_rules, substring_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,11 @@ def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+
+
 def sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.tokenized(table(spark, sf_dir, "documents"))
 
@@ -47,6 +52,7 @@ def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": quality,
+    "op2_toxicity": toxic,
     "op3_sentencepiece": sentence_pieces,
     "op4_exact_dedup": exact,
     "op5_mixing": mix,
