@@ -17,6 +17,8 @@ one row, so it has to fit into memory; nothing else is gathered.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -68,20 +70,20 @@ def _reach(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
         state.select("tree_key", "node", F.when(F.col("known"), F.col("parent")).alias("up"), F.lit(1).cast("long").alias("steps"), F.col("score").alias("total")),
         "replies",
     )
-    n, jumps = nodes.count(), []
+    n, jumps, ended = nodes.count(), [], []
     while True:
-        jumps.append(state.where("up IS NOT NULL").select("tree_key", "node", "up"))
-        if jumps[-1].isEmpty() or 1 << (len(jumps) - 1) > n:
-            return jumps[:-1], state.where("up IS NULL").select("tree_key", "node", F.col("steps").alias("depth"), "total")
-        above = state.select("tree_key", F.col("node").alias("up"), F.col("up").alias("further"), F.col("steps").alias("more"), F.col("total").alias("above"))
-        zero = F.lit(0)
+        # messages that have met their root are done; only the others are joined further
+        ended.append(state.where("up IS NULL").select("tree_key", "node", F.col("steps").alias("depth"), "total"))
+        open_ones = state.where("up IS NOT NULL")
+        if open_ones.isEmpty() or 1 << len(jumps) > n:
+            return jumps, reduce(DataFrame.unionByName, ended)
+        jumps.append(open_ones.select("tree_key", "node", "up"))
+        far = state.select("tree_key", F.col("node").alias("up"), F.col("up").alias("further"), F.col("steps").alias("more"), F.col("total").alias("above"))
+        done = reduce(DataFrame.unionByName, ended[:-1], state.limit(0).select("tree_key", "node", F.col("steps").alias("depth"), "total"))
+        met = done.select("tree_key", F.col("node").alias("up"), F.lit(None).cast("long").alias("further"), F.col("depth").alias("more"), F.col("total").alias("above"))
         state = materialize(
-            state.join(above, ["tree_key", "up"], "left").select(
-                "tree_key",
-                "node",
-                F.col("further").alias("up"),
-                (F.col("steps") + F.coalesce("more", zero)).alias("steps"),
-                (F.col("total") + F.coalesce("above", zero)).alias("total"),
+            open_ones.join(far.unionByName(met), ["tree_key", "up"]).select(
+                "tree_key", "node", F.col("further").alias("up"), (F.col("steps") + F.col("more")).alias("steps"), (F.col("total") + F.col("above")).alias("total")
             ),
             "replies",
         )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dishlens.llm import chat, exact_dedup, language_id, mixing, near_dedup, pieces, quality_rules, substring_dedup, toxicity
+from dishlens.llm import chat, exact_dedup, language_id, mixing, near_dedup, pieces, quality_rules, substring_dedup, suffix_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,10 @@ def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.dedupe_strings(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_quality_rules": quality,
     "op2_toxicity": toxic,
@@ -60,4 +64,5 @@ QUERIES = {
     "op7_substring_dedup": substring,
     "op8_chat_formatting": chats,
     "op9_language_id": languages,
+    "op10_suffix_dedup": suffixes,
 }
