@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
@@ -22,21 +22,31 @@ class Settings:
     embedding_model: str = "intfloat/multilingual-e5-base"
     answer_model: str = "scb10x/llama3.1-typhoon2-8b-instruct"
     top_k: int = 5
-    max_reviews: int = 50_000
+    max_reviews: int | None = None
     num_pairs: int = 10_000
     batch_size: int = 16
     epochs: int = 3
     seed: int = 42
 
 
+#: Folders that callers of local sessions without the setting have named, by application.
+_own_base: dict[str, str] = {}
+
+
+def use_own_work_dir(spark: SparkSession, make: Callable[[], str]) -> None:
+    """For a session on one machine that leaves ``spark.checkpoint.dir`` out: the folder that ``make`` makes takes its place."""
+    context = spark.sparkContext
+    unset = not (spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir"))
+    if unset and context.master.startswith("local[") and context.applicationId not in _own_base:
+        _own_base[context.applicationId] = make()
+
+
 def work_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder for intermediate tables below the shared folder the session names.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only a local session may go without; it gets a temporary folder.
+    The session names it in ``spark.checkpoint.dir``.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or _own_base.get(spark.sparkContext.applicationId)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="dishlens-")
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
