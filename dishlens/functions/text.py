@@ -106,11 +106,12 @@ def label_line(cuisine: Column | str, food: Column | str, location: Column | str
 def search_text(
     review: Column | str,
     facets: list[Column | str],
-    max_chars: int = SEARCH_TEXT_CHARS,
+    max_chars: int | None = None,
 ) -> Column:
-    """Tags in front of the opening of the review; without tags just the review."""
+    """Tags in front of the review, or of its first ``max_chars`` characters; without tags just the review."""
     tags = F.concat_ws(" ", *[F.nullif(tag_list(f), F.lit("")) for f in facets])
-    head = F.substring(F.coalesce(as_column(review), F.lit("")), 1, max_chars)
+    whole = F.coalesce(as_column(review), F.lit(""))
+    head = whole if max_chars is None else F.substring(whole, 1, max_chars)
     return F.when(tags != "", F.concat(tags, F.lit(": "), head)).otherwise(head)
 
 

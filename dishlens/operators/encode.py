@@ -7,6 +7,7 @@ frequency in a fitted space), and rows have unit length. A row is encoded from i
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -36,6 +37,11 @@ class Space:
     tokens: str = "words"
     idf: tuple[float, ...] | None = field(default=None, repr=False)
 
+    def key(self) -> str:
+        """A short mark of everything that makes vectors of this space comparable."""
+        told = (self.name, self.encoder, self.passage_prefix, self.query_prefix, self.dim, self.tokens, self.idf)
+        return hashlib.sha256(repr(told).encode()).hexdigest()[:16]
+
     def prefix(self, role: str) -> str:
         return {"passage": self.passage_prefix, "query": self.query_prefix}[role]
 

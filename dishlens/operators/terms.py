@@ -1,8 +1,8 @@
 """Which terms of a dictionary occur inside a text, as plain substrings.
 
 A dictionary within a checked size is scanned for in one pass over each text: no shuffle, and the work grows with the
-text and not with text x terms. Beyond that size the texts are cut into windows that are equi-joined with the terms on
-their opening characters. Both ways are exact and give the same rows.
+text and not with text x terms. A larger one is cut into blocks of that size, with one such pass each. Terms of any length
+count, and the rows are the same whatever the cut.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dishlens.sources.sinks import materialize
+
 MAX_SCAN_TERMS = 200_000
 MAX_SCAN_CHARS = 8_000_000
 
@@ -86,63 +88,41 @@ def scan(lowered: Column, listings: list[Listing]) -> Column:
     return F.arrow_udf(found, "struct<" + ", ".join(f"{n}: array<string>" for n in names) + ">")(lowered)
 
 
-def contained_by_join(texts: DataFrame, id_col: str, text_col: str, dictionary: DataFrame, q: int, salts: int = 8) -> DataFrame:
-    """Rows ``(id, rank)`` for terms of at least ``q`` characters, without any bound on the dictionary.
-
-    Every position of a text yields a window as long as the longest term; its first ``q`` characters are the join key
-    and a prefix test on the window decides. A common opening is split over ``salts`` keys on the text side.
-    """
-    terms = dictionary.select("rank", F.lower("term").alias("term")).where(F.length("term") >= q)
-    longest = terms.agg(F.coalesce(F.max(F.length("term")), F.lit(q))).scalar()
-    chars = texts.select(F.col(id_col).alias("id"), F.split(F.lower(text_col), "").alias("ch"), longest.alias("longest"))
-    windows = (
-        chars.where(F.size("ch") >= q)
-        .select(
-            "id",
-            F.explode(
-                F.transform(
-                    F.sequence(F.lit(1), F.size("ch") - (q - 1)),
-                    lambda i: F.array_join(F.slice("ch", i, F.col("longest")), ""),
-                )
-            ).alias("window"),
-        )
-        .select("id", "window", F.substring("window", 1, q).alias("gram"), F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt"))
-    )
-    keyed = terms.select(
-        "rank", "term", F.substring("term", 1, q).alias("gram"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))).alias("salt")
-    )
-    return (
-        windows.join(keyed, ["gram", "salt"])
-        .where(F.startswith("window", "term"))
-        .select("id", "rank")
-        .distinct()
-    )
+def dictionary_blocks(dictionary: DataFrame, max_terms: int = MAX_SCAN_TERMS, max_chars: int = MAX_SCAN_CHARS) -> Iterator[Dictionary]:
+    """The dictionary by rank, in blocks of a size that one copy per task allows; one block at a time is here."""
+    ranks, terms, chars = [], [], 0
+    for row in dictionary.select("rank", "term").orderBy("rank").toLocalIterator():
+        if terms and (len(terms) == max_terms or chars + len(row.term) > max_chars):
+            yield Dictionary(tuple(ranks), tuple(terms))
+            ranks, terms, chars = [], [], 0
+        ranks.append(row.rank)
+        terms.append(row.term)
+        chars += len(row.term)
+    yield Dictionary(tuple(ranks), tuple(terms))
 
 
 def with_mentions(
     df: DataFrame,
     dictionary: DataFrame,
-    id_col: str = "review_id",
     text_col: str = "review_text",
     out_col: str = "mentioned_foods",
     max_mentions: int = 5,
-    min_term_chars: int = 4,
     max_scan_terms: int = MAX_SCAN_TERMS,
+    max_scan_chars: int = MAX_SCAN_CHARS,
 ) -> DataFrame:
-    """Add the ``max_mentions`` first terms of the dictionary, by rank, that the text contains."""
-    small = fetch_dictionary(dictionary, max_scan_terms)
+    """Add the ``max_mentions`` first terms of the dictionary, by rank, that the text contains.
+
+    Each block of the dictionary is one pass without a shuffle; as blocks come by rank, what is found is only added to.
+    """
+    small = fetch_dictionary(dictionary, max_scan_terms, max_scan_chars)
     if small is not None:
         return with_mentions_of(df, small, text_col, out_col, max_mentions)
-    pairs = contained_by_join(df, id_col, text_col, dictionary, q=min_term_chars)
-    named = pairs.join(dictionary.select("rank", "term"), "rank")
-    lists = named.groupBy("id").agg(
-        F.slice(F.array_sort(F.collect_list(F.struct("rank", "term"))), 1, max_mentions).alias("_first")
-    )
-    return (
-        df.join(lists, F.col(id_col) == F.col("id"), "left")
-        .withColumn(out_col, F.coalesce(F.transform("_first", lambda t: t["term"]), F.array().cast("array<string>")))
-        .drop("id", "_first")
-    )
+    out = df.withColumn(out_col, F.array().cast("array<string>"))
+    for block in dictionary_blocks(dictionary, max_scan_terms, max_scan_chars):
+        found = with_mentions_of(out, block, text_col, "_more", max_mentions)
+        both = F.slice(F.concat(out_col, "_more"), 1, max_mentions)
+        out = materialize(found.withColumn(out_col, both).drop("_more"), "mentions")
+    return out
 
 
 def with_mentions_of(

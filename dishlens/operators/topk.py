@@ -40,7 +40,7 @@ class Hits:
         hits = self.rows
         if self.at_most is not None and self.at_most <= MAX_BROADCAST_HITS:
             hits = F.broadcast(hits)
-        payload = [c for c in table.columns if c not in ("space", "vector", "features", "weights", "score", "rank", "query_id")]
+        payload = [c for c in table.columns if c not in ("space", "space_key", "vector", "features", "weights", "score", "rank", "query_id")]
         return table.select(payload).join(hits, "row_id")
 
 
@@ -91,9 +91,12 @@ class QueryBlock:
             if dense.shape[1] != self.matrix.shape[0]:
                 raise ValueError(f"vectors of {dense.shape[1]} numbers against queries of {self.matrix.shape[0]}")
         out = np.round(dense @ self.matrix, SCORE_DIGITS) + 0.0
+        out[np.isnan(out)] = -np.inf  # a row without a score is no hit, and takes no other row's place
         if self.min_rating is not None:
-            rating = batch["star_rating"].to_numpy(zero_copy_only=False).astype("float64")
-            out[~(rating[:, None] >= np.nan_to_num(self.min_rating.astype("float64"), nan=-np.inf)[None, :])] = -np.inf
+            # only queries with a bound are filtered; an unrated row passes none
+            rating = np.nan_to_num(batch["star_rating"].to_numpy(zero_copy_only=False).astype("float64"))
+            least = self.min_rating.astype("float64")
+            out[~np.isnan(least)[None, :] & (rating[:, None] < least[None, :])] = -np.inf
         if self.needs is not None and len(self.keys):
             place = pc.index_in(_values(batch["has"]), value_set=pa.array(self.keys, pa.string()))
             owner = np.repeat(np.arange(rows), _lengths(batch["has"]))

@@ -49,7 +49,7 @@ def draw(strategy: str, slot: str, modulus: str, j: str = "j") -> str:
 
 
 def r6(e: str, name: str) -> str:
-    return f"round({e}, 6) AS {name}"
+    return f"round(({e}) + 1e-10, 6) AS {name}"
 
 
 def excerpt(c: str, n: int, stripped: bool = True, dots: bool = True) -> str:
@@ -83,14 +83,15 @@ def tag_lists(source: str = "tags") -> str:
     return f"(SELECT review_id, {', '.join(f'{listed(f)} AS {f}' for f in FACETS)} FROM {source} GROUP BY review_id)"
 
 
-SEARCH_TEXT_SQL = (
+OPENING_SQL = (
     "CASE WHEN concat_ws(' ', " + ", ".join(f"nullif({f}, '')" for f in FACETS) + ") <> '' THEN concat_ws(' ', "
     + ", ".join(f"nullif({f}, '')" for f in FACETS) + ") || ': ' || substr(review_text, 1, 500) ELSE substr(review_text, 1, 500) END"
 )
+SEARCH_TEXT_SQL = OPENING_SQL.replace("substr(review_text, 1, 500)", "review_text")
 DICTIONARY = f"""
 lines AS (SELECT item_id, list_filter(string_split(trim(regexp_replace(lower(text), '{WORD_GAP}', ' ', 'g')), ' '), lambda w: w <> '') AS ws FROM benchmark),
 terms AS (SELECT item_id * 1000000 + i AS rank, ws[i + 1] AS term FROM (SELECT item_id, ws, unnest(range(len(ws))) AS i FROM lines)),
-dict AS MATERIALIZED (SELECT min(rank) AS rank, term FROM terms WHERE length(term) BETWEEN 4 AND 50 GROUP BY term ORDER BY 1 LIMIT 5000)"""
+dict AS MATERIALIZED (SELECT min(rank) AS rank, term FROM terms WHERE length(term) BETWEEN 4 AND 50 GROUP BY term)"""
 MENTIONS = f"""
 ment AS MATERIALIZED (SELECT review_id, string_agg(term, ', ' ORDER BY rank) AS mentioned_foods FROM (
   SELECT review_id, rank, term, row_number() OVER (PARTITION BY review_id ORDER BY rank) AS n
@@ -156,7 +157,10 @@ TEXT_SEARCH = TEXT_INDEX + "," + BENCH_QUERIES + "," + cells("SELECT query_id, '
 qw0 AS (SELECT 'base' AS space, query_id, f, tf AS w FROM qf
   UNION ALL SELECT 'tuned', query_id, qf.f, tf * coalesce(idf, ln(1 + (SELECT n FROM total)) + 1) FROM qf LEFT JOIN idf USING (f)),
 qw AS (SELECT space, query_id, f, w / sqrt(sum(w * w) OVER (PARTITION BY space, query_id)) AS w FROM qw0),
-tscores AS MATERIALIZED (SELECT space, query_id, row_id, round(sum(qw.w * rw.w), 9) AS score FROM qw JOIN rw USING (space, f) GROUP BY ALL),
+shared_words AS (SELECT space, query_id, row_id, round(sum(qw.w * rw.w), 9) AS score FROM qw JOIN rw USING (space, f) GROUP BY ALL),
+spaces(space) AS (VALUES ('base'), ('tuned')),
+asked AS (SELECT space, query_id, review_id AS row_id FROM spaces, bq, processed WHERE query <> ''),
+tscores AS MATERIALIZED (SELECT space, query_id, row_id, coalesce(score, 0.0) AS score FROM asked LEFT JOIN shared_words USING (space, query_id, row_id)),
 tranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY space, query_id ORDER BY score DESC, row_id) AS rank FROM tscores)"""
 
 
@@ -281,7 +285,7 @@ def sql() -> dict[str, str]:
     out["lexicon_stats"] = f"WITH {TAGS}, k AS (SELECT facet, category, count(*) AS n_keywords FROM lex GROUP BY ALL), c AS (SELECT facet, category, count(*) AS n FROM tags GROUP BY ALL) SELECT facet, category, n_keywords, coalesce(n, 0) AS n_reviews FROM k LEFT JOIN c USING (facet, category)"
     out["filter_label_map"] = f"WITH {TAGS}, labels(facet, label, category) AS ({values(catalog.FILTER_LABELS)}), c AS (SELECT col AS facet, category, count(*) AS n FROM tags GROUP BY ALL) SELECT facet, category, label, coalesce(n, 0) AS n FROM labels LEFT JOIN c USING (facet, category)"
     out["clean_reviews"] = f"WITH {CLEANED} SELECT review_id, star_rating, review_text FROM cleaned"
-    out["search_text"] = f"WITH {TAGGED} SELECT review_id, search_text FROM tagged"
+    out["search_text"] = f"WITH {TAGGED} SELECT review_id, {OPENING_SQL} AS search_text FROM tagged"
     out["search_text_prefixed"] = f"WITH {TAGGED} SELECT review_id, 'passage: ' || search_text AS passage FROM tagged"
     out["excerpts"] = f"WITH {CLEANED} SELECT review_id, {excerpt('review_text', 300)} AS answer_excerpt, {excerpt('review_text', 400, False)} AS card_excerpt, {excerpt('review_text', 400, False, False)} AS prompt_excerpt FROM cleaned"
     out["star_display"] = f"WITH {CLEANED} SELECT review_id, {STARS} AS stars, repeat('★', star_rating) || repeat('☆', 5 - star_rating) AS slots FROM rv"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,10 +35,14 @@ def process_reviews(
     reviews: DataFrame,
     dictionary: DataFrame | None,
     entries: tuple[lx.Entry, ...] | None = None,
-    max_reviews: int | None = 50_000,
+    max_reviews: int | None = None,
     seed: int = 42,
+    search_chars: int | None = None,
 ) -> DataFrame:
-    """Clean, sample down to ``max_reviews`` if there are more, tag, find mentions, build the search text."""
+    """Clean, sample down to ``max_reviews`` if asked to, tag, find mentions, build the search text.
+
+    The search text holds the whole review, or its first ``search_chars`` characters.
+    """
     out = clean_reviews(reviews)
     if max_reviews is not None:
         out = exact_sample(out, max_reviews, "review_id", seed)
@@ -46,18 +52,17 @@ def process_reviews(
     if dictionary is None:
         tagged = tagged.withColumn("mentioned_foods", F.array().cast("array<string>"))
     elif small is None:
-        tagged = with_mentions(tagged, dictionary, max_scan_terms=0)
-    return tagged.withColumn("search_text", tx.search_text("review_text", list(SEARCH_FACETS))).select(PROCESSED)
+        tagged = with_mentions(tagged, dictionary)
+    return tagged.withColumn("search_text", tx.search_text("review_text", list(SEARCH_FACETS), search_chars)).select(PROCESSED)
 
 
-def pipeline_counts(reviews: DataFrame, max_reviews: int) -> DataFrame:
-    """``stage_rank, stage, n`` after loading, cleaning and sampling, from one pass."""
-    kept = (F.length(tx.collapse("review_text")) >= tx.MIN_REVIEW_CHARS) & F.col("review_text").isNotNull()
-    totals = reviews.agg(F.count("review_text").alias("loaded"), F.count_if(kept).alias("cleaned")).withColumn(
-        "sampled", F.least("cleaned", F.lit(max_reviews).cast("bigint"))
-    )
-    rows = [F.struct(F.lit(i).alias("stage_rank"), F.lit(s).alias("stage"), F.col(s).alias("n")) for i, s in enumerate(("loaded", "cleaned", "sampled"))]
-    return totals.select(F.inline(F.array(*rows)))
+def pipeline_counts(reviews: DataFrame, max_reviews: int | None, seed: int = 42) -> DataFrame:
+    """``stage_rank, stage, n`` after loading, cleaning and sampling, each counted on its rows."""
+    cleaned = clean_reviews(reviews)
+    sampled = cleaned if max_reviews is None else exact_sample(cleaned, max_reviews, "review_id", seed)
+    stages = (("loaded", reviews.where(F.col("review_text").isNotNull())), ("cleaned", cleaned), ("sampled", sampled))
+    counts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(i).alias("stage_rank"), F.lit(name).alias("stage"), "n") for i, (name, df) in enumerate(stages)]
+    return reduce(DataFrame.unionByName, counts)
 
 
 def run_preprocessing(spark: SparkSession, settings: Settings) -> dict[str, DataFrame]:
@@ -74,6 +79,6 @@ def run_preprocessing(spark: SparkSession, settings: Settings) -> dict[str, Data
         "dictionary": dictionary,
         "judge_queries": judges,
         "algo_queries": algo,
-        "counts": pipeline_counts(reviews, settings.max_reviews),
+        "counts": pipeline_counts(reviews, settings.max_reviews, settings.seed),
         "ratings": metrics.rating_distribution(written),
     }

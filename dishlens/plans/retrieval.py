@@ -16,16 +16,27 @@ OVERFETCH = 3
 BASE, TUNED = "base", "tuned"
 
 
+SPACE_KEY = "space_key"
+
+
+def check_index_space(index: DataFrame, space: Space) -> None:
+    """Refuse an index whose vectors were made in another space than the queries will be."""
+    row = index.select(SPACE_KEY).limit(1).collect() if SPACE_KEY in index.columns else []
+    if row and row[0][0] != space.key():
+        raise ValueError(f"the index was not made in space {space.name!r} as it is given here")
+
+
 def build_index(processed: DataFrame, space: Space) -> DataFrame:
     """Vectors and payload in one table, keyed by ``row_id``."""
     renamed = processed.withColumnRenamed("review_id", "row_id")
-    return encode(renamed, "search_text", space, "passage").withColumn("space", F.lit(space.name))
+    encoded = encode(renamed, "search_text", space, "passage")
+    return encoded.withColumns({SPACE_KEY: F.lit(space.key()), "space": F.lit(space.name)})
 
 
 def build_dense_index(processed: DataFrame, vectors: DataFrame, space: Space) -> DataFrame:
     """The same from vectors computed elsewhere: ``row_id, vector`` and whatever else should stay with them."""
     renamed = processed.withColumnRenamed("review_id", "row_id")
-    return renamed.join(vectors, "row_id").withColumn("space", F.lit(space.name))
+    return renamed.join(vectors, "row_id").withColumns({SPACE_KEY: F.lit(space.key()), "space": F.lit(space.name)})
 
 
 def build_two_spaces(processed: DataFrame, space: Space, path: str, tuned_name: str = TUNED) -> tuple[DataFrame, dict[str, Space]]:
@@ -37,7 +48,8 @@ def build_two_spaces(processed: DataFrame, space: Space, path: str, tuned_name:
     build_index(processed, space).write.partitionBy("space").parquet(path)
     base = spark.read.parquet(path).where(F.col("space") == space.name)
     fitted = fit_idf(base, space, tuned_name)
-    refitted(base, fitted).withColumn("space", F.lit(tuned_name)).write.mode("append").partitionBy("space").parquet(path)
+    tuned = refitted(base, fitted).withColumns({SPACE_KEY: F.lit(fitted.key()), "space": F.lit(tuned_name)})
+    tuned.write.mode("append").partitionBy("space").parquet(path)
     return spark.read.parquet(path), {space.name: space, tuned_name: fitted}
 
 
@@ -117,11 +129,12 @@ def search_and_answer(
     index: DataFrame,
     spaces: dict[str, Space],
     queries: DataFrame,
-    max_k: int,
-    filter_mode: str = "post",
+    filter_mode: str = "pre",
 ) -> tuple[DataFrame, DataFrame]:
     """Answers and hits for a table of requests ``query_id, query, k, mode`` with optional filter columns.
 
+    Every request gets its own ``k``; the search is as wide as the largest asks for.
+
     ``mode`` is ``base``, ``finetuned`` or ``compare`` (both). Without a tuned space the base answers for it, and the
     tuned side of a comparison says so. Filter values may be labels or category keys.
     """
@@ -131,9 +144,11 @@ def search_and_answer(
     )
     wanted = requests.withColumn("side", F.explode(sides))
     have_tuned = TUNED in spaces
+    max_k = requests.agg(F.max("k")).first()[0] or 1
     found = []
     for side in (BASE, TUNED):
         space = spaces[TUNED if side == TUNED and have_tuned else BASE]
+        check_index_space(in_space(index, space.name), space)
         encoded = encode(wanted.where(F.col("side") == side), "query", space, "query")
         rows = search_filtered(in_space(index, space.name), encoded, max_k, filter_mode)
         found.append(rows.withColumn("side", F.lit(side)))

@@ -31,7 +31,7 @@ from dishlens.plans import retrieval as rt
 from dishlens.plans.training import training_pairs
 from dishlens.sources import catalog, readers, sinks
 
-DIGITS = 6
+DIGITS, HALF_UP = 6, 1e-10
 EMBEDDING_DIM = 64
 TUNED_WEIGHTS = [1.0 + (i % 7) / 7.0 for i in range(EMBEDDING_DIM)]
 SPACE = Space(rt.BASE, passage_prefix="passage: ", query_prefix="query: ")
@@ -41,7 +41,8 @@ K = 5
 
 
 def rounded(c: Column | str) -> Column:
-    return F.round(tx.as_column(c), DIGITS)
+    """To ``DIGITS``; scores are rounded to 9 digits before, so halves are common and are moved off the edge first."""
+    return F.round(tx.as_column(c) + HALF_UP, DIGITS)
 
 
 def joined(*cols: str) -> list[Column]:
@@ -212,7 +213,8 @@ def clean_reviews(t: Tables) -> DataFrame:
 
 def search_text(t: Tables) -> DataFrame:
     tagged = tag_reviews(pp.clean_reviews(t.reviews()), lx.shipped_entries())
-    return tagged.select("review_id", tx.search_text("review_text", list(pp.SEARCH_FACETS)).alias("search_text"))
+    opening = tx.search_text("review_text", list(pp.SEARCH_FACETS), tx.SEARCH_TEXT_CHARS)
+    return tagged.select("review_id", opening.alias("search_text"))
 
 
 def search_text_prefixed(t: Tables) -> DataFrame:
@@ -479,7 +481,7 @@ def requests(t: Tables) -> DataFrame:
 
 def search_and_answer(t: Tables) -> DataFrame:
     index, spaces = t.text_index()
-    texts, _ = rt.search_and_answer(index, spaces, requests(t), K)
+    texts, _ = rt.search_and_answer(index, spaces, requests(t), filter_mode="post")
     return texts.select("query_id", "side", "mode", "num_results", "answer")
 
 

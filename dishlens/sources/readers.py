@@ -53,10 +53,11 @@ def dictionary_lines(lines: DataFrame) -> DataFrame:
     return lines.select("rank", tx.strip("line").alias("term")).where(F.col("term") != "")
 
 
-def prepare_dictionary(terms: DataFrame, min_chars: int = 4, max_chars: int = 50, limit: int = 5000) -> DataFrame:
-    """The first ``limit`` distinct terms of a fitting length."""
+def prepare_dictionary(terms: DataFrame, min_chars: int = 4, max_chars: int = 50, limit: int | None = None) -> DataFrame:
+    """The distinct terms of a fitting length, or the first ``limit`` of them."""
     fitting = terms.where(F.length("term").between(min_chars, max_chars))
-    return fitting.groupBy("term").agg(F.min("rank").alias("rank")).orderBy("rank").limit(limit).select("rank", "term")
+    distinct = fitting.groupBy("term").agg(F.min("rank").alias("rank")).select("rank", "term")
+    return distinct if limit is None else distinct.orderBy("rank").limit(limit)
 
 
 def read_queries(spark: SparkSession, path: str) -> DataFrame:

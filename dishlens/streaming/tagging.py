@@ -11,10 +11,10 @@ from dishlens.operators.tagging import tag_columns
 from dishlens.plans.preprocess import SEARCH_FACETS, clean_reviews
 
 
-def tagged_stream(reviews: DataFrame, entries: tuple[lx.Entry, ...] | None = None) -> DataFrame:
+def tagged_stream(reviews: DataFrame, entries: tuple[lx.Entry, ...] | None = None, search_chars: int | None = None) -> DataFrame:
     """Clean, tag and build the search text with native expressions."""
     tagged = tag_columns(clean_reviews(reviews), lx.shipped_entries() if entries is None else entries)
-    return tagged.withColumn("search_text", tx.search_text("review_text", list(SEARCH_FACETS)))
+    return tagged.withColumn("search_text", tx.search_text("review_text", list(SEARCH_FACETS), search_chars))
 
 
 def append_to_table(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

@@ -188,13 +188,13 @@ def test_requests_with_modes(spark, processed, tmp_path):
         [(1, "steak", 2, "base", 0, "", ""), (2, "coffee tea", 3, "compare", 4, "", ""), (3, "sea", 3, "finetuned", 0, "ไทย", ""), (4, "  ", 3, "base", 0, "", "")],
         "query_id bigint, query string, k int, mode string, min_rating int, cuisine_type string, food_type string",
     )
-    texts, found = rt.search_and_answer(index, spaces, q, 3, "pre")
+    texts, found = rt.search_and_answer(index, spaces, q)
     rows = {(r.query_id, r.side): r for r in texts.collect()}
     assert set(rows) == {(1, "base"), (2, "base"), (2, "tuned"), (3, "tuned")}
     assert rows[(1, "base")].num_results == 2 and rows[(3, "tuned")].num_results == 1
     assert {r.row_id for r in found.where("query_id = 3").collect()} == {3}
     only_base = {"base": spaces["base"]}
-    texts, found = rt.search_and_answer(rt.in_space(index, "base"), only_base, q, 3, "pre")
+    texts, found = rt.search_and_answer(rt.in_space(index, "base"), only_base, q)
     rows = {(r.query_id, r.side): r.answer for r in texts.collect()}
     assert "Fine-tuned" in rows[(2, "tuned")] and rows[(3, "tuned")].startswith("จากการค้นหา")
 
@@ -211,3 +211,44 @@ def test_rerank_by_coverage(spark, processed):
     h = spark.createDataFrame([(1, 1, 4, 0.9), (1, 2, 1, 0.5), (1, 3, 2, 0.4)], "query_id bigint, rank int, row_id bigint, score double")
     got = rt.rerank(q, index.join(h, "row_id"), 2).orderBy("rank").collect()
     assert [(r.row_id, r.first_rank, r.coverage) for r in got] == [(1, 2, 1.0), (4, 1, 0.0)]
+
+
+def test_unrated_rows_stay_for_queries_without_a_bound(spark):
+    rows = [(i, [1.0, i / 10], None if i % 2 else 4) for i in range(8)]
+    corpus = spark.createDataFrame(rows, "row_id bigint, vector array<double>, star_rating int")
+    q = spark.createDataFrame([(1, [0.0, 1.0], None), (2, [0.0, 1.0], 3), (3, [0.0, 1.0], 0)], "query_id bigint, vector array<double>, min_rating int")
+    for mode in ("pre", "post"):
+        found = rt.search_filtered(corpus, q, 8, mode).collect()
+        assert {i: sorted(r.row_id for r in found if r.query_id == i) for i in (1, 2, 3)} == {1: list(range(8)), 2: [0, 2, 4, 6], 3: list(range(8))}
+
+
+@pytest.mark.parametrize("broken", [1, 5, 30])
+def test_vectors_that_are_no_numbers_take_no_places(spark, broken):
+    rows = [(i, [float("nan"), 1.0] if i < broken else [float(i), 1.0]) for i in range(60)]
+    corpus = spark.createDataFrame(rows, "row_id bigint, vector array<double>").coalesce(1)
+    q = spark.createDataFrame([(n, [1.0, float(n)]) for n in range(3)], "query_id bigint, vector array<double>")
+    got = top_k(corpus, q, 5).rows.collect()
+    assert {n: sorted(r.row_id for r in got if r.query_id == n) for n in range(3)} == {n: [55, 56, 57, 58, 59] for n in range(3)}
+
+
+def test_queries_without_overlap_get_the_first_rows(spark, processed):
+    index = rt.build_index(processed, SPACE)
+    q = spark.createDataFrame([(1, "zzzz")], "query_id bigint, query string")
+    bare = Space("base", passage_prefix=SPACE.passage_prefix)
+    got = top_k(index, encode(q, "query", bare, "query"), 3).rows.orderBy("rank").collect()
+    assert [(r.row_id, r.score) for r in got] == [(i, 0.0) for i in sorted(r.review_id for r in processed.collect())[:3]]
+
+
+@pytest.mark.parametrize("mode", ["pre", "post"])
+def test_every_request_gets_its_own_k(spark, processed, tmp_path, mode):
+    index, spaces = rt.build_two_spaces(processed, SPACE, str(tmp_path / "i"))
+    q = spark.createDataFrame([(1, "good food", 1, "base"), (2, "good food", 7, "base")], "query_id bigint, query string, k int, mode string")
+    texts, _ = rt.search_and_answer(index, spaces, q, mode)
+    assert {r.query_id: r.num_results for r in texts.collect()} == {1: 1, 2: 7}
+
+
+def test_an_index_of_another_space_is_refused(spark, processed):
+    index = rt.build_index(processed, Space("base"))
+    q = spark.createDataFrame([(1, "good food", 1, "base")], "query_id bigint, query string, k int, mode string")
+    with pytest.raises(ValueError, match="not made in space"):
+        rt.search_and_answer(index, {"base": SPACE}, q)

@@ -83,7 +83,9 @@ def test_search_text_skips_empty_facets(spark):
         "t string, a array<string>, b array<string>, c array<string>",
     )
     got = [r.s for r in df.select(tx.search_text("t", ["a", "b", "c"]).alias("s")).collect()]
-    assert got == ["thai cafe, cozy: " + "r" * 500, "plain"]
+    assert got == ["thai cafe, cozy: " + "r" * 501, "plain"]
+    opening = df.select(tx.search_text("t", ["a", "b", "c"], tx.SEARCH_TEXT_CHARS).alias("s")).collect()
+    assert [r.s for r in opening] == ["thai cafe, cozy: " + "r" * 500, "plain"]
 
 
 def test_label_line(spark):
