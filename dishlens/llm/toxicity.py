@@ -18,6 +18,7 @@ Labels, lang, source and ids are never inputs of a score; other columns are not
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -57,13 +58,42 @@ def stems(word: str) -> list[str]:
     return [f"{word}$", *(word[:k] for k in PREFIXES if len(word) >= k)]
 
 
-def features(text: str | None) -> set[str]:
-    """All features of a text: a stem and the number of different words that have it, up to LEVELS."""
+def stem_counts(found: set[str]) -> dict[str, int]:
     counts: dict[str, int] = {}
-    for word in set(WORD.findall(text.lower())) if text else ():
+    for word in found:
         for stem in stems(word):
             counts[stem] = counts.get(stem, 0) + 1
-    return {f"{stem}*{level}" for stem, n in counts.items() for level in range(1, min(n, LEVELS) + 1)}
+    return counts
+
+
+def words(text: str | None) -> set[str]:
+    return set(WORD.findall(text.lower())) if text else set()
+
+
+def features(text: str | None) -> set[str]:
+    """All features of a text: a stem and the number of different words that have it, up to LEVELS."""
+    return {f"{stem}*{level}" for stem, n in stem_counts(words(text)).items() for level in range(1, min(n, LEVELS) + 1)}
+
+
+def swaps(text: str | None, identities: tuple) -> Iterator[tuple[list[str], list[str]]]:
+    """For each term of identity in the text and each other of its group, the features that go and those that come."""
+    found = words(text)
+    counts: dict[str, int] | None = None
+    for group in identities:
+        for term in found.intersection(group):
+            counts = stem_counts(found) if counts is None else counts
+            for other in group:
+                if other == term:
+                    continue
+                changes = dict.fromkeys(stems(term), -1)
+                for stem in stems(other) if other not in found else ():
+                    changes[stem] = changes.get(stem, 0) + 1
+                gone, came = [], []
+                for stem, change in changes.items():
+                    n = counts.get(stem, 0)
+                    gone += [f"{stem}*{level}" for level in range(n + change + 1, min(n, LEVELS) + 1)]
+                    came += [f"{stem}*{level}" for level in range(n + 1, min(n + change, LEVELS) + 1)]
+                yield gone, came
 
 
 @dataclass(frozen=True)
@@ -88,7 +118,7 @@ class Model:
             if len(known) > WORDS_REMEMBERED:
                 known.clear()
             counts: dict[str, int] = {}
-            for word in set(WORD.findall(text.lower())) if text else ():
+            for word in words(text):
                 found = known.get(word)
                 if found is None:
                     found = known[word] = tuple(x for x in stems(word) if x in sums)
@@ -123,32 +153,21 @@ def choose_features(teaching: DataFrame, clean: int, toxic: int) -> list[str]:
     return [row["feature"] for row in counts.orderBy(F.col("z").desc(), "feature").limit(VOCABULARY).collect()]
 
 
-def swaps(rows: list[np.ndarray], groups: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All swaps in the rows, equal ones counted: the term that goes, the one that comes (-1: it is there already), how often."""
-    group_of = {term: group for group in groups for term in group}
-    counted: dict[tuple[int, int], int] = {}
-    for row in rows:
-        present = set(row.tolist())
-        for term in sorted(present & group_of.keys()):
-            for other in group_of[term]:
-                if other != term:
-                    pair = (term, -1 if other in present else other)
-                    counted[pair] = counted.get(pair, 0) + 1
-    pairs = sorted(counted)
-    return np.array([p[0] for p in pairs], np.int64), np.array([p[1] for p in pairs], np.int64), np.array([counted[p] for p in pairs], float)
+def fit(rows: list[np.ndarray], toxic: np.ndarray, size: int, changes: dict[tuple[int, ...], int], swap: float = SWAP) -> tuple[np.ndarray, float]:
+    """Weights and intercept by Newton steps, halved while they do not lower the loss.
 
-
-def fit(rows: list[np.ndarray], toxic: np.ndarray, size: int, groups: list[list[int]], swap: float = SWAP) -> tuple[np.ndarray, float]:
-    """Weights and intercept by Newton steps, halved while they do not lower the loss."""
+    ``changes``: how often a swap changes which features, those that come as i + 1 and those that go as -(i + 1).
+    """
     n = len(rows)
     x = np.zeros((n, size + 1), np.float32)
     x[:, size] = 1
     for i, row in enumerate(rows):
         x[i, row] = 1
-    gone, came, times = swaps(rows, groups)
-    change = np.zeros((len(gone), size + 1))
-    change[np.arange(len(gone)), gone] = -1
-    change[came >= 0, came[came >= 0]] = 1
+    change, times = np.zeros((len(changes), size + 1)), np.zeros(len(changes))
+    for i, (signed, n_times) in enumerate(sorted(changes.items())):
+        times[i] = n_times
+        for at in signed:
+            change[i, abs(at) - 1] = 1 if at > 0 else -1
     # quadratic part of the loss: ridge and swaps
     bend = RIDGE * np.eye(size + 1) + 2 * swap * (change.T * (times / max(times.sum(), 1.0))) @ change
     bend[size, size] = 0
@@ -193,15 +212,25 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sorted(vocabulary[f] for f in features(t.as_py()) if f in vocabulary) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column("toxic")], names=["words", "toxic"])
-
-    rows = teaching.mapInArrow(indexed, "words array<int>, toxic int").toArrow()
-    lists = [np.array(x, np.int64) for x in rows.column("words").to_pylist()]
+            texts = [t.as_py() for t in batch.column("text")]
+            found = [sorted(vocabulary[f] for f in features(t) if f in vocabulary) for t in texts]
+            swapped = [
+                [
+                    sorted([-vocabulary[f] - 1 for f in gone if f in vocabulary] + [vocabulary[f] + 1 for f in came if f in vocabulary])
+                    for gone, came in swaps(t, identities)
+                ]
+                for t in texts
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found, pa.list_(pa.int32())), pa.array(swapped, pa.list_(pa.list_(pa.int32()))), batch.column("toxic")], names=["features", "swaps", "toxic"]
+            )
+
+    rows = teaching.mapInArrow(indexed, "features array<int>, swaps array<array<int>>, toxic int").toArrow()
+    lists = [np.array(x, np.int64) for x in rows.column("features").to_pylist()]
+    changes = Counter(tuple(x) for row in rows.column("swaps").to_pylist() for x in row if x)
     order = sorted(range(len(lists)), key=lambda i: (lists[i].tolist(), rows.column("toxic")[i].as_py()))
     toxic = rows.column("toxic").to_numpy()[order].astype(float)
-    groups = [[vocabulary[_term(t)] for t in group] for group in identities]
-    w, b = fit([lists[i] for i in order], toxic, len(vocabulary), groups, swap)
+    w, b = fit([lists[i] for i in order], toxic, len(vocabulary), changes, swap)
     return Model({name: round(float(w[i]), 6) for name, i in vocabulary.items() if abs(w[i]) >= 1e-6}, round(b, 6))
 
 
