@@ -10,10 +10,10 @@ A document's set is its distinct runs of ``width`` words (one run if it has fewe
    by a count-min sketch, which never drops one that occurs twice.
 3. Every bucket of a band proposes its least and its greatest node to its members; a member's two best proposals are verified on
    full sets, and the links make components.
-4. Pairs of components that still share a bucket are compared in full: all members of one against all of the other,
-   in blocks of BLOCK by BLOCK sets, whatever the sizes, except where both are single and were verified before. Members of one component need no
-   comparison, since a link more changes nothing. So a bucket of thousands of copies costs one comparison a copy, and no
-   candidate pair between different components goes unverified.
+4. Where a bucket still holds several components, all members of the largest are compared with all members of the others, and
+   the others among themselves, in blocks of BLOCK by BLOCK sets, whatever the sizes, except for two single nodes that were verified before.
+   Members of one component need no comparison, since a link more changes nothing. So no candidate pair between different
+   components goes unverified, a bucket gives as many rows as it has components, and no task gets more than two blocks.
 
 Results: no words, empty or null text: an empty set, linked with nothing. Rows that repeat, or differ in white space or case
 only, have equal sets; rows that share a doc_id within a group stay or go together. A null doc_id comes after all others. An empty table gives an empty result. Other columns are not read.
@@ -40,6 +40,7 @@ PLACES = BANDS * PER_BAND
 PERCENT = 80
 #: Proposals of each node verified before components are compared, and sets in a block of that comparison.
 PROPOSALS, BLOCK = 2, 256
+LEFT, RIGHT, BOTH = 0, 1, 2
 FEATURES = "doc_key long, text_key long, n long, node long, bands binary"
 
 
@@ -172,26 +173,26 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _compare_blocks(group: pa.Table) -> pa.Table:
-    """Links between the sets of one component and the others that met it, one for each of the others."""
-    mine = group.column("mine").to_numpy().astype(bool)
-    node, elements = group.column("node").to_numpy(), group.column("elements").combine_chunks()
-    sets = [np.frombuffer(v.as_buffer(), U) for v in elements]
-    left = np.flatnonzero(mine)
-    sizes = np.array([len(sets[i]) for i in left], np.int64)
+    """Links between sets of different components, left against right; of one component's links with a set, the first."""
+    side = group.column("side").to_numpy()
+    node, label = group.column("node").to_numpy(), group.column("label").to_numpy()
+    sets = [np.frombuffer(v.as_buffer(), U) for v in group.column("elements").combine_chunks()]
+    left, right = np.flatnonzero(side != RIGHT), np.flatnonzero(side != LEFT)
     found: list[tuple[int, int]] = []
     if len(left):
+        sizes = np.array([len(sets[i]) for i in left], np.int64)
         flat = np.concatenate([sets[i] for i in left])
         owner = np.repeat(np.arange(len(left)), sizes)
         order = np.argsort(flat, kind="stable")
         flat, owner = flat[order], owner[order]
-        for j in np.flatnonzero(~mine):
+        for j in right:
             lo, hi = np.searchsorted(flat, sets[j], "left"), np.searchsorted(flat, sets[j], "right")
             n = hi - lo
             at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
             shared = np.bincount(owner[at], minlength=len(left))
-            linked = np.flatnonzero(_linked(shared, sizes, len(sets[j])))
-            if len(linked):
-                found.append((int(node[left[linked[0]]]), int(node[j])))
+            linked = left[_linked(shared, sizes, len(sets[j])) & (label[left] != label[j])]
+            _, first = np.unique(label[linked], return_index=True)
+            found += [(int(node[i]), int(node[j])) for i in linked[first]]
     return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
 
@@ -208,41 +209,44 @@ def _proposals(buckets: DataFrame) -> DataFrame:
 
 
 def _unresolved(buckets: DataFrame, labels: DataFrame, tried: DataFrame) -> DataFrame:
-    """Pairs of components that share a bucket and were not compared: center (the larger), other."""
-    placed = buckets.select("key", "node").join(labels, "node", "left").select("key", F.coalesce("root", "node").alias("label")).distinct()
-    several = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    placed = placed.join(several, "key", "left_semi")
-    other = placed.withColumnRenamed("label", "other")
-    pairs = placed.join(other, "key").where("label < other").select("label", "other").distinct()
+    """Components to compare: for each bucket with several, the largest as center and each other one.
+
+    Two others of one bucket have the same center and are compared there, so a bucket needs no pairs of them.
+    """
     sizes = labels.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    pairs = pairs.join(sizes.select(F.col("root").alias("label"), F.col("size").alias("n")), "label", "left")
-    pairs = pairs.join(sizes.select(F.col("root").alias("other"), F.col("size").alias("m")), "other", "left")
-    pairs = pairs.fillna(1, ["n", "m"])
-    done = tried.select(F.least("pivot", "node").alias("label"), F.greatest("pivot", "node").alias("other")).distinct()
-    single = pairs.where("n = 1 AND m = 1").join(done, ["label", "other"], "left_anti")
-    pairs = pairs.where("n > 1 OR m > 1").unionByName(single.select(pairs.columns))
-    first = (F.col("n") > F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("label") < F.col("other")))
-    return pairs.select(
-        F.when(first, F.col("label")).otherwise(F.col("other")).alias("center"), F.when(first, F.col("other")).otherwise(F.col("label")).alias("other")
-    )
+    placed = buckets.select("key", "node").join(labels, "node", "left").select("key", F.coalesce("root", "node").alias("label")).distinct()
+    several = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("labels")).where("lo <> hi")
+    # two single nodes that were compared are settled
+    done = tried.select(F.least("pivot", "node").alias("lo"), F.greatest("pivot", "node").alias("hi"), F.lit(True).alias("done")).distinct()
+    several = several.join(done, ["lo", "hi"], "left").where("labels > 2 OR done IS NULL").select("key")
+    placed = placed.join(several, "key", "left_semi").join(sizes.withColumnRenamed("root", "label"), "label", "left").fillna(1, ["size"])
+    center = placed.groupBy("key").agg(F.max(F.struct("size", F.bitwise_not("label").alias("rank"))).alias("best"))
+    pairs = placed.join(center.select("key", F.bitwise_not("best.rank").alias("center")), "key")
+    return pairs.where("label <> center").select("center", F.col("label").alias("other")).distinct()
 
 
 def _across(pairs: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between the components of each pair, compared in blocks."""
-    roots = sets.select("node").join(labels, "node", "left").select("node", F.coalesce("root", "node").alias("label"))
-    roots = materialize(roots, "labels")
-    own = pairs.select("center").distinct().join(roots, F.col("center") == F.col("label")).select("center", "node")
-    others = pairs.join(roots, F.col("other") == F.col("label")).select("center", "node")
-    counts = own.groupBy("center").count().withColumnRenamed("count", "own")
-    counts = counts.join(others.groupBy("center").agg(F.count(F.lit(1)).alias("others")), "center")
-    blocks = materialize(counts.select("center", F.ceil(F.col("own") / BLOCK).cast("int").alias("own"), F.ceil(F.col("others") / BLOCK).cast("int").alias("others")), "blocks")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    own = own.join(blocks, "center").select("center", "node", F.pmod(F.xxhash64("node"), F.col("own")).cast("int").alias("x"), each("others").alias("y"), F.lit(True).alias("mine"))
-    others = others.join(blocks, "center").select(
-        "center", "node", each("own").alias("x"), F.pmod(F.xxhash64("node"), F.col("others")).cast("int").alias("y"), F.lit(False).alias("mine")
-    )
-    rows = own.unionByName(others).join(sets, "node").select("center", "x", "y", "mine", "node", "elements")
-    return rows.groupBy("center", "x", "y").applyInArrow(_compare_blocks, "a long, b long")
+    """Links between a center and its others, and between its others, compared in blocks of sets."""
+    roots = materialize(sets.select("node").join(labels, "node", "left").select("node", F.coalesce("root", "node").alias("label")), "labels")
+    own = pairs.select("center").distinct().join(roots, F.col("center") == F.col("label")).select("center", "node", "label")
+    others = pairs.join(roots, F.col("other") == F.col("label")).select("center", "node", "label")
+    n = own.groupBy("center").agg(F.count(F.lit(1)).alias("xs")).join(others.groupBy("center").agg(F.count(F.lit(1)).alias("ys")), "center")
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int").alias(c)
+    n = materialize(n.select("center", blocks("xs"), blocks("ys")), "blocks")
+    own, others = own.join(n, "center"), others.join(n, "center")
+    each = lambda first, count: F.sequence(first, count - 1)
+    of = lambda count: F.pmod(F.xxhash64("node"), F.col(count)).cast("int")
+    zero, y = F.lit(0), F.col("y")
+    own = own.withColumn("x", of("xs")).select("center", "node", "label", F.lit(True).alias("mixed"), "x", F.explode(each(zero, F.col("ys"))).alias("y"), F.lit(LEFT).alias("side"))
+    others = others.withColumn("y", of("ys"))
+    across = others.select("center", "node", "label", F.lit(True).alias("mixed"), F.explode(each(zero, F.col("xs"))).alias("x"), "y", F.lit(RIGHT).alias("side"))
+    # blocks of others among themselves: one as left side of itself and those behind, and as right side of those before
+    up = others.select("center", "node", "label", F.lit(False).alias("mixed"), y.alias("x"), F.explode(each(y, F.col("ys"))).alias("y"))
+    up = up.withColumn("side", F.when(F.col("x") == F.col("y"), F.lit(BOTH)).otherwise(F.lit(LEFT)))
+    down = others.where("y > 0").select("center", "node", "label", F.lit(False).alias("mixed"), F.explode(each(zero, y)).alias("x"), "y", F.lit(RIGHT).alias("side"))
+    rows = own.unionByName(across).unionByName(up).unionByName(down).join(sets, "node")
+    rows = rows.select("center", "mixed", "x", "y", "side", "node", "label", "elements")
+    return rows.groupBy("center", "mixed", "x", "y").applyInArrow(_compare_blocks, "a long, b long")
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
