@@ -5,35 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# The evaluation queries, "category | query | description".
-EVALUATION_QUERIES = """
-cuisine | อาหารญี่ปุ่นอร่อย | ค้นหาร้านอาหารญี่ปุ่นที่ได้รับความนิยม
-cuisine | ร้านอาหารจีนแนะนำ | ค้นหาร้านอาหารจีนที่แนะนำ
-cuisine | อาหารอิตาลีดี | ค้นหาร้านอาหารอิตาลีคุณภาพดี
-cuisine | ร้านอาหารไทยรสเด็ด | ค้นหาร้านอาหารไทยรสชาติจัดจ้าน
-cuisine | อาหารอินเดียเผ็ด | ค้นหาร้านอาหารอินเดียรสเผ็ด
-food_type | อาหารทะเลสด | ค้นหาร้านอาหารทะเลสดใหม่
-food_type | พิซซ่าอร่อย | ค้นหาร้านพิซซ่าอร่อย
-food_type | ร้านเบเกอรี่ดี | ค้นหาร้านเบเกอรี่คุณภาพดี
-food_type | ร้านกาแฟบรรยากาศดี | ค้นหาร้านกาแฟบรรยากาศดี
-food_type | ก๋วยเตี๋ยวเส้นเล็ก | ค้นหาร้านก๋วยเตี๋ยวเส้นเล็กอร่อย
-atmosphere_price | ร้านอาหารหรูหรา | ค้นหาร้านอาหารระดับหรู
-atmosphere_price | ร้านข้างทางราคาถูก | ค้นหาร้านข้างทางราคาประหยัด
-atmosphere_price | ร้านบรรยากาศดีติดแอร์ | ค้นหาร้านอาหารบรรยากาศดีมีแอร์
-atmosphere_price | คาเฟ่น่านั่ง | ค้นหาคาเฟ่บรรยากาศน่านั่ง
-atmosphere_price | ร้านอาหารราคานักศึกษา | ค้นหาร้านอาหารราคาไม่แพง
-location | ร้านอาหารเชียงใหม่ | ค้นหาร้านอาหารในเชียงใหม่
-location | ร้านติดทะเลพัทยา | ค้นหาร้านอาหารติดทะเลที่พัทยา
-location | ร้านอาหารบนเขาใหญ่ | ค้นหาร้านอาหารบรรยากาศเขาใหญ่
-location | ร้านอาหารกรุงเทพ | ค้นหาร้านอาหารในกรุงเทพ
-location | ร้านอาหารหัวหิน | ค้นหาร้านอาหารในหัวหิน
-combined | อาหารทะเลแบบไทยติดชายหาดพัทยา | ค้นหาอาหารทะเลสไตล์ไทยริมหาดพัทยา
-combined | ร้านอาหารญี่ปุ่นราคาไม่แพงเชียงใหม่ | ค้นหาร้านอาหารญี่ปุ่นราคาประหยัดในเชียงใหม่
-combined | คาเฟ่บรรยากาศดีถ่ายรูปสวยกรุงเทพ | ค้นหาคาเฟ่บรรยากาศดีถ่ายรูปสวยในกรุงเทพ
-combined | ร้านก๋วยเตี๋ยวอร่อยราคาถูก | ค้นหาร้านก๋วยเตี๋ยวอร่อยราคาไม่แพง
-combined | ร้านอาหารไทยบรรยากาศดีวิวสวย | ค้นหาร้านอาหารไทยบรรยากาศดีวิวสวย
-combined | อาหารอิตาลีราคาหรูกรุงเทพ | ค้นหาร้านอาหารอิตาลีระดับหรูในกรุงเทพ
-"""
+# The evaluation queries as (category, query, description).
+EVALUATION_QUERIES = (
+    ("cuisine", "อาหารญี่ปุ่นอร่อย", "ค้นหาร้านอาหารญี่ปุ่นที่ได้รับความนิยม"),
+    ("cuisine", "ร้านอาหารจีนแนะนำ", "ค้นหาร้านอาหารจีนที่แนะนำ"),
+    ("cuisine", "อาหารอิตาลีดี", "ค้นหาร้านอาหารอิตาลีคุณภาพดี"),
+    ("cuisine", "ร้านอาหารไทยรสเด็ด", "ค้นหาร้านอาหารไทยรสชาติจัดจ้าน"),
+    ("cuisine", "อาหารอินเดียเผ็ด", "ค้นหาร้านอาหารอินเดียรสเผ็ด"),
+    ("food_type", "อาหารทะเลสด", "ค้นหาร้านอาหารทะเลสดใหม่"),
+    ("food_type", "พิซซ่าอร่อย", "ค้นหาร้านพิซซ่าอร่อย"),
+    ("food_type", "ร้านเบเกอรี่ดี", "ค้นหาร้านเบเกอรี่คุณภาพดี"),
+    ("food_type", "ร้านกาแฟบรรยากาศดี", "ค้นหาร้านกาแฟบรรยากาศดี"),
+    ("food_type", "ก๋วยเตี๋ยวเส้นเล็ก", "ค้นหาร้านก๋วยเตี๋ยวเส้นเล็กอร่อย"),
+    ("atmosphere_price", "ร้านอาหารหรูหรา", "ค้นหาร้านอาหารระดับหรู"),
+    ("atmosphere_price", "ร้านข้างทางราคาถูก", "ค้นหาร้านข้างทางราคาประหยัด"),
+    ("atmosphere_price", "ร้านบรรยากาศดีติดแอร์", "ค้นหาร้านอาหารบรรยากาศดีมีแอร์"),
+    ("atmosphere_price", "คาเฟ่น่านั่ง", "ค้นหาคาเฟ่บรรยากาศน่านั่ง"),
+    ("atmosphere_price", "ร้านอาหารราคานักศึกษา", "ค้นหาร้านอาหารราคาไม่แพง"),
+    ("location", "ร้านอาหารเชียงใหม่", "ค้นหาร้านอาหารในเชียงใหม่"),
+    ("location", "ร้านติดทะเลพัทยา", "ค้นหาร้านอาหารติดทะเลที่พัทยา"),
+    ("location", "ร้านอาหารบนเขาใหญ่", "ค้นหาร้านอาหารบรรยากาศเขาใหญ่"),
+    ("location", "ร้านอาหารกรุงเทพ", "ค้นหาร้านอาหารในกรุงเทพ"),
+    ("location", "ร้านอาหารหัวหิน", "ค้นหาร้านอาหารในหัวหิน"),
+    ("combined", "อาหารทะเลแบบไทยติดชายหาดพัทยา", "ค้นหาอาหารทะเลสไตล์ไทยริมหาดพัทยา"),
+    ("combined", "ร้านอาหารญี่ปุ่นราคาไม่แพงเชียงใหม่", "ค้นหาร้านอาหารญี่ปุ่นราคาประหยัดในเชียงใหม่"),
+    ("combined", "คาเฟ่บรรยากาศดีถ่ายรูปสวยกรุงเทพ", "ค้นหาคาเฟ่บรรยากาศดีถ่ายรูปสวยในกรุงเทพ"),
+    ("combined", "ร้านก๋วยเตี๋ยวอร่อยราคาถูก", "ค้นหาร้านก๋วยเตี๋ยวอร่อยราคาไม่แพง"),
+    ("combined", "ร้านอาหารไทยบรรยากาศดีวิวสวย", "ค้นหาร้านอาหารไทยบรรยากาศดีวิวสวย"),
+    ("combined", "อาหารอิตาลีราคาหรูกรุงเทพ", "ค้นหาร้านอาหารอิตาลีระดับหรูในกรุงเทพ"),
+)
 
 # The category titles of the report, in its order.
 CATEGORY_TITLES = (
@@ -79,7 +79,7 @@ RATING_LABELS = (("ไม่กำหนด", None), ("1 ดาว", 1), ("2 ด
 
 
 def evaluation_rows() -> list[tuple[int, str, str, str]]:
-    return [(i, *line.split(" | ")) for i, line in enumerate(EVALUATION_QUERIES.strip().splitlines())]
+    return [(i, *row) for i, row in enumerate(EVALUATION_QUERIES)]
 
 
 def evaluation_queries(spark: SparkSession) -> DataFrame:
