@@ -44,11 +44,19 @@ class Evaluation:
         return metrics.report(self.comparison())
 
     def detail(self) -> DataFrame:
-        """Per query: its attributes, the comparison, and both answers."""
+        """Per query: its attributes, the comparison, both answers and both lists of rows found, by rank."""
         both = self.queries.withColumn("space", F.explode(F.array(F.lit(BASE), F.lit(TUNED))))
         texts = answers.template_answers(both, self.hits, by=["space"])
         sides = texts.groupBy("query_id").agg(
             F.max(F.when(F.col("space") == BASE, F.col("answer"))).alias("baseline_answer"),
             F.max(F.when(F.col("space") == TUNED, F.col("answer"))).alias("finetuned_answer"),
         )
-        return self.comparison().join(sides, "query_id")
+        found = lambda space: F.transform(
+            F.array_sort(F.collect_list(F.when(F.col("space") == space, F.struct("rank", "row_id")))), lambda h: h["row_id"]
+        )
+        lists = self.hits.groupBy("query_id").agg(found(BASE).alias("baseline_hits"), found(TUNED).alias("finetuned_hits"))
+        none = F.array().cast("array<bigint>")
+        out = self.comparison().join(sides, "query_id").join(lists, "query_id", "left")
+        out = out.withColumns({c: F.coalesce(c, none) for c in ("baseline_hits", "finetuned_hits")})
+        more = [c for c in ("description",) if c in self.queries.columns and c not in out.columns]
+        return out.join(self.queries.select("query_id", *more), "query_id") if more else out

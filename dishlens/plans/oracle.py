@@ -362,13 +362,31 @@ SELECT a.query_id, side, mode, num_results, answer FROM {answer('want', 'kept',
     def verdict(which: int) -> str:
         return "CASE " + " ".join(f"WHEN i > {v[0]} THEN {q(v[which])}" for v in metrics.VERDICTS) + f" ELSE {q(metrics.VERDICT_ELSE[which - 1])} END"
 
-    out["evaluation_report"] = f"""WITH {COMPARE}, titles(title_rank, category, title) AS ({values(titles)}),
+    demo = (
+        TEXT_SEARCH.replace(BENCH_QUERIES, f"""
+listed(query_id, category, query, description) AS ({values(cat_rows)}),
+bq AS (SELECT CAST(query_id AS BIGINT) AS query_id, category, query, description FROM listed)""")
+        + f""",
+dqueries AS (SELECT query_id, query, category FROM bq),
+dhits AS MATERIALIZED (SELECT d.*, t.star_rating, t.review_text, t.cuisine_type, t.food_type, t.location,
+  CASE WHEN t.cuisine_type || t.food_type || t.location <> '' THEN 1.0 ELSE 0.0 END AS covered
+  FROM tranked d JOIN processed t ON t.review_id = d.row_id WHERE rank <= {K})"""
+        + COMPARE.removeprefix(DENSE_HITS)
+    )
+    for key, compared in (("evaluation", COMPARE), ("demo", demo)):
+        out[f"{key}_report" if key == "evaluation" else "demo_evaluation"] = f"""WITH {compared}, titles(title_rank, category, title) AS ({values(titles)}),
 rep AS (SELECT CAST(title_rank AS INTEGER) AS row_rank, category AS section, any_value(title) AS title, count(*) AS "count", {MEANS6}, avg(score_improvement) AS i, false AS o FROM cmp JOIN titles USING (category) GROUP BY ALL
   UNION ALL SELECT 5, 'overall', NULL, count(*), {MEANS6}, avg(score_improvement), true FROM cmp)
 SELECT * EXCLUDE (i, o), {direction} AS direction, CASE WHEN o THEN {verdict(1)} END AS status, CASE WHEN o THEN {verdict(2)} END AS recommendation FROM rep"""
-    out["evaluation_detail"] = f"""WITH {COMPARE}, sides AS (SELECT *, unnest(['base', 'tuned']) AS space FROM dqueries), ans AS {answer('sides', 'dhits', 'query_id, space')}
-SELECT query_id, category, cmp.query, {SCORES6}, {r6('score_improvement', 'score_improvement')}, b.answer AS baseline_answer, f.answer AS finetuned_answer
-FROM cmp JOIN (SELECT query_id, answer FROM ans WHERE space = 'base') b USING (query_id) JOIN (SELECT query_id, answer FROM ans WHERE space = 'tuned') f USING (query_id)"""
+        described = ", description" if key == "demo" else ""
+        source = "JOIN (SELECT query_id, description FROM bq) USING (query_id)" if key == "demo" else ""
+        out[f"{key}_detail"] = f"""WITH {compared}, sides AS (SELECT *, unnest(['base', 'tuned']) AS space FROM dqueries), ans AS {answer('sides', 'dhits', 'query_id, space')},
+rows_found AS (SELECT query_id, coalesce(string_agg(row_id, ', ' ORDER BY rank) FILTER (WHERE space = 'base'), '') AS baseline_hits,
+  coalesce(string_agg(row_id, ', ' ORDER BY rank) FILTER (WHERE space = 'tuned'), '') AS finetuned_hits FROM dhits GROUP BY query_id)
+SELECT query_id, category, cmp.query{described}, {SCORES6}, {r6('score_improvement', 'score_improvement')}, b.answer AS baseline_answer, f.answer AS finetuned_answer,
+  coalesce(baseline_hits, '') AS baseline_hits, coalesce(finetuned_hits, '') AS finetuned_hits
+FROM cmp JOIN (SELECT query_id, answer FROM ans WHERE space = 'base') b USING (query_id) JOIN (SELECT query_id, answer FROM ans WHERE space = 'tuned') f USING (query_id)
+LEFT JOIN rows_found USING (query_id) {source}"""
     out["ir_metrics"] = f"""WITH {DENSE_HITS}, rel AS (SELECT DISTINCT CAST(label AS BIGINT) AS query_id, row_id FROM cells JOIN cleaned ON review_id = row_id),
 tot AS (SELECT query_id, count(*) AS nr FROM rel GROUP BY 1),
 jd AS (SELECT h.query_id, rank, r.row_id IS NOT NULL AS ok FROM dhits h LEFT JOIN rel r ON r.query_id = h.query_id AND r.row_id = h.row_id WHERE space = 'base'),

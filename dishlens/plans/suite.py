@@ -131,6 +131,13 @@ class Tables:
         queries = encoded[rt.BASE].select("query_id", "category", "query")
         return ev.Evaluation(queries, hits)
 
+    def demo(self) -> ev.Evaluation:
+        """The evaluation queries, searched in both text spaces."""
+        index, spaces = self.text_index()
+        queries = catalog.evaluation_queries(self.spark)
+        encoded = {name: rt.encode_queries(queries, space, space) for name, space in spaces.items()}
+        return ev.Evaluation(queries, self._once("demo-hits", lambda: ev.hits_of_spaces(index, encoded, K)))
+
     def base_hits(self, k: int = K) -> DataFrame:
         index = rt.in_space(self.dense_index(), rt.BASE)
         return rt.search(index, self.dense_queries(rt.BASE), k).with_payload(index)
@@ -517,9 +524,22 @@ def evaluation_report(t: Tables) -> DataFrame:
     return _round_all(t.evaluation().report())
 
 
+def _detail(e: ev.Evaluation) -> DataFrame:
+    lists = {c: F.array_join(F.col(c).cast("array<string>"), ", ") for c in ("baseline_hits", "finetuned_hits")}
+    return _round_all(e.detail().withColumns(lists))
+
+
 def evaluation_detail(t: Tables) -> DataFrame:
     e = t.evaluation()
-    return _round_all(ev.Evaluation(e.queries, sinks.materialize(e.hits, "hits")).detail())
+    return _detail(ev.Evaluation(e.queries, sinks.materialize(e.hits, "hits")))
+
+
+def demo_evaluation(t: Tables) -> DataFrame:
+    return _round_all(t.demo().report())
+
+
+def demo_detail(t: Tables) -> DataFrame:
+    return _detail(t.demo())
 
 
 def ir_metrics(t: Tables) -> DataFrame:
@@ -633,6 +653,8 @@ REGISTRY: dict[str, Callable[[Tables], DataFrame]] = {
     "comparison_overall": comparison_overall,
     "evaluation_report": evaluation_report,
     "evaluation_detail": evaluation_detail,
+    "demo_evaluation": demo_evaluation,
+    "demo_detail": demo_detail,
     "ir_metrics": ir_metrics,
     "query_review_matches": query_review_matches,
     "pairs_query": pairs_query,
