@@ -327,6 +327,15 @@ wtags AS MATERIALIZED (SELECT review_id, col, category, min(r) AS r FROM ptext,
     out["rerank_topk"] = f"""WITH {text_hits(3 * K)}, qt AS (SELECT query_id, unnest(list_distinct({terms_list('query')})) AS term FROM bq),
 cov AS (SELECT h.query_id, h.row_id, any_value(h.rank) AS first_rank, any_value(h.score) AS score, avg(CASE WHEN contains(lower(h.review_text), term) THEN 1.0 ELSE 0.0 END) AS coverage FROM hits h JOIN qt USING (query_id) GROUP BY 1, 2)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, row_id, CAST(first_rank AS INTEGER) AS first_rank, {r6('coverage', 'coverage')}, {r6('score', 'score')} FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY coverage DESC, score DESC, row_id) AS rank FROM cov) WHERE rank <= {K}"""
+    out["lsh_recall"] = f"""WITH {DENSE_HITS}, planes AS (SELECT pos, band, bit, CASE WHEN {h32("'42:' || band || ':' || bit || ':' || pos")} % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS r
+  FROM range({suite.EMBEDDING_DIM}) AS a(pos), range(16) AS b(band), range(8) AS c(bit)),
+rs AS (SELECT row_id, band, sum(CASE WHEN s > 0 THEN 1 << bit ELSE 0 END) AS sig FROM (SELECT row_id, band, bit, sum(x * r) AS s FROM cells JOIN cleaned ON review_id = row_id JOIN planes USING (pos) WHERE space = 'base' GROUP BY ALL) GROUP BY ALL),
+qs AS (SELECT query_id, band, sum(CASE WHEN s > 0 THEN 1 << bit ELSE 0 END) AS sig FROM (SELECT query_id, band, bit, sum(x * r) AS s FROM dq JOIN planes USING (pos) WHERE space = 'base' GROUP BY ALL) GROUP BY ALL),
+near AS (SELECT DISTINCT query_id, row_id FROM rs JOIN qs USING (band, sig)),
+ranked_near AS (SELECT query_id, row_id, {again} FROM near JOIN (SELECT * FROM dscores WHERE space = 'base') USING (query_id, row_id)),
+looked AS (SELECT query_id, count(*) AS n FROM near GROUP BY 1)
+SELECT query_id, count(*) AS n_exact, count(a.row_id) AS n_found, {r6('count(a.row_id) / count(*)', 'recall')}, coalesce(any_value(n), 0) AS n_candidates
+FROM (SELECT query_id, row_id FROM dhits WHERE space = 'base') e LEFT JOIN (SELECT query_id, row_id FROM ranked_near WHERE rank <= {K}) a USING (query_id, row_id) LEFT JOIN looked USING (query_id) GROUP BY query_id"""
     out["space_fallback"] = f"WITH {DENSE_HITS} SELECT query_id, CASE WHEN query_id % 2 = 0 THEN 'tuned' ELSE 'unbuilt' END AS space, space AS used_space, CAST(rank AS INTEGER) AS rank, row_id, {r6('score', 'score')} FROM dhits WHERE space = CASE WHEN query_id % 2 = 0 THEN 'tuned' ELSE 'base' END"
 
     out["answer_template"] = f"WITH {text_hits(K)} SELECT * FROM {answer('bq', 'hits', 'query_id')}"

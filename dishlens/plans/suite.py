@@ -412,7 +412,7 @@ def rerank_topk(t: Tables) -> DataFrame:
 
 def lsh_recall(t: Tables) -> DataFrame:
     index, queries = rt.in_space(t.dense_index(), rt.BASE), t.dense_queries(rt.BASE)
-    return recall(top_k(index, queries, K).rows, approximate_top_k(index, queries, K))
+    return _round_all(recall(top_k(index, queries, K).rows, approximate_top_k(index, queries, K)))
 
 
 def space_fallback(t: Tables) -> DataFrame:

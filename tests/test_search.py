@@ -121,6 +121,19 @@ def test_lsh_recall_is_bounded(corpus, asked):
     a, b = normalized(corpus.where("row_id <> 7")), normalized(asked)
     got = recall(top_k(a, b, 5).rows, approximate_top_k(a, b, 5)).collect()
     assert len(got) == 10 and all(0 <= r.recall <= 1 and r.n_exact == 5 for r in got)
+    assert sum(r.n_candidates for r in got) / (10 * 399) < 0.6  # 8 numbers a vector: planes tell little apart
+    assert next(r for r in got if r.query_id == 9).n_found >= 3  # its own vector and the two equal ones
+
+
+def test_lsh_prunes_and_finds_close_vectors(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(2_000, 64))
+    near = base[:20] + 0.2 * rng.normal(size=(20, 64))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(base)], "row_id bigint, vector array<double>")
+    asked = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(near)], "query_id bigint, vector array<double>")
+    got = approximate_top_k(normalized(rows), normalized(asked), 1).collect()
+    assert {r.query_id: r.row_id for r in got} == {i: i for i in range(20)}
+    assert max(r.n_candidates for r in got) < 0.2 * 2_000
 
 
 SPACE = Space("base", passage_prefix="passage: ", query_prefix="query: ", dim=97)

@@ -23,7 +23,7 @@ def db():
 
 def test_every_query_is_known():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(suite.REGISTRY) - set(entry.oracle_sql()) == {"lsh_recall"}
+    assert set(suite.REGISTRY) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(oracle.sql()))
