@@ -2,14 +2,15 @@
 
 The corpus is read in place: every task scores its Arrow batches against the queries as one matrix product and keeps
 only the best k per query, so what is shuffled is k rows per query and task, whatever the size of the corpus. Up to
-``MAX_BLOCK_CELLS`` numbers the queries travel with the tasks; a larger query table is cut into blocks and met with
-corpus chunks of bounded size through a keyed co-group. Equal scores are ranked by row id.
+``MAX_BLOCK_CELLS`` numbers the queries travel with the tasks; a larger query table is cut into blocks that travel one
+after another, with one scan each. The corpus is never shuffled. Equal scores are ranked by row id.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +18,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dishlens.sources.sinks import materialize
+
 MAX_BLOCK_QUERIES = 8_192
 MAX_BLOCK_CELLS = 32_000_000
-CORPUS_CHUNK_ROWS = 100_000
 SCORE_DIGITS = 9
 STEP_CELLS = 4_000_000
 MAX_BROADCAST_HITS = 1_000_000
@@ -181,7 +183,6 @@ def top_k(
     k: int,
     max_block_queries: int = MAX_BLOCK_QUERIES,
     max_block_cells: int = MAX_BLOCK_CELLS,
-    chunk_rows: int = CORPUS_CHUNK_ROWS,
     filtered: bool = False,
 ) -> Hits:
     """The ``k`` rows of highest inner product for each query.
@@ -208,7 +209,7 @@ def top_k(
         partial, at_most = _with_travelling_queries(corpus, head, k), head.num_rows * k
     else:
         at_most = None
-        partial = _in_blocks(corpus, queries, k, max(1, min(max_block_queries, max_block_cells // width) // 2), chunk_rows)
+        partial = _in_blocks(corpus, queries, k, max(1, min(max_block_queries, max_block_cells // width) // 2))
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "row_id")
     ranked = partial.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return Hits(ranked.select("query_id", "rank", "row_id", "score"), at_most)
@@ -223,21 +224,17 @@ def _with_travelling_queries(corpus: DataFrame, block: pa.Table, k: int) -> Data
     return corpus.mapInArrow(scan, HITS)
 
 
-def _in_blocks(corpus: DataFrame, queries: DataFrame, k: int, block_queries: int, chunk_rows: int) -> DataFrame:
-    """Every corpus chunk meets every query block once; both are bounded, and k rows per query leave each meeting."""
+def _in_blocks(corpus: DataFrame, queries: DataFrame, k: int, block_queries: int) -> DataFrame:
+    """One scan of the corpus for each block of queries; a block's best rows are written before the next block comes."""
     blocks = max(1, -(-queries.count() // block_queries))
-    chunks = max(1, -(-corpus.count() // chunk_rows))
-    left = corpus.withColumn("_chunk", F.pmod(F.xxhash64("row_id"), F.lit(chunks)).cast("int")).withColumn(
-        "_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    )
-    right = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn(
-        "_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))
-    )
-
-    def meet(rows: pa.Table, block: pa.Table) -> pa.Table:
-        if not rows.num_rows or not block.num_rows:
-            return HITS_ARROW.empty_table()
-        return pa.Table.from_batches([QueryBlock(block, k).best(iter([rows.combine_chunks()]))])
-
-    keys = ["_chunk", "_block"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, HITS)
+    number = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "row_id")
+    parts = []
+    for i in range(blocks):
+        block = queries.where(number == i).toArrow()
+        if not block.num_rows:
+            continue
+        found = _with_travelling_queries(corpus, block, k)
+        ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank")
+        parts.append(materialize(ranked, "hits"))
+    return reduce(DataFrame.unionByName, parts)

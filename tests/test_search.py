@@ -58,7 +58,7 @@ def test_more_than_there_are(corpus, asked):
 
 
 def test_large_query_table_goes_in_blocks(corpus, asked):
-    found = top_k(corpus, asked, 5, max_block_queries=4, chunk_rows=90)
+    found = top_k(corpus, asked, 5, max_block_queries=4)
     assert found.at_most is None
     assert hits(found.rows) == brute(5)
     assert found.with_payload(corpus).count() == 50
@@ -89,7 +89,7 @@ def passes(q, i):
 def test_filter_before_search(corpus, asked):
     want = brute(5, passes)
     assert hits(rt.search_filtered(corpus, filtered_queries(asked), 5, "pre")) == want
-    assert hits(top_k(corpus, filtered_queries(asked), 5, max_block_queries=4, chunk_rows=90, filtered=True).rows) == want
+    assert hits(top_k(corpus, filtered_queries(asked), 5, max_block_queries=4, filtered=True).rows) == want
 
 
 def test_filter_after_search_finds_no_more(corpus, asked):
