@@ -120,7 +120,8 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     first = F.min(F.when(F.col("upto") >= F.col("wanted"), F.struct("range", (F.col("upto") - F.col("words")).alias("before"))))
     cut = sums.groupBy("source").agg(F.max("wanted").alias("wanted"), first.alias("cut"))
     cut = cut.select("source", "wanted", F.col("cut.range").alias("cut"), F.col("cut.before").alias("before"))
-    rows = _joined(rows, cut)
+    # written, so that the join may split a source's rows, which the window below could not
+    rows = materialize(_joined(rows, cut), "cut")
     inside = (F.col("range") == F.col("cut")) & F.col("cut").isNotNull()
     upto = F.sum("size").over(by_source.orderBy("odds", "doc_key", "text_key").rowsBetween(Window.unboundedPreceding, 0))
     edge = rows.where(inside).withColumn("upto", F.col("before") + upto)
