@@ -31,7 +31,7 @@ MARKER, SPACE = "▁", 0x20
 UNKNOWN_PENALTY = 10.0
 #: Words up to this many bytes are segmented in step with all others of the batch, longer ones one by one.
 IN_STEP = 2_000
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 @dataclass(frozen=True)
