@@ -215,11 +215,13 @@ def _unresolved(buckets: DataFrame, labels: DataFrame, tried: DataFrame) -> Data
     """
     sizes = labels.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
     placed = buckets.select("key", "node").join(labels, "node", "left").select("key", F.coalesce("root", "node").alias("label")).distinct()
-    several = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("labels")).where("lo <> hi")
-    # two single nodes that were compared are settled
+    placed = placed.join(sizes.withColumnRenamed("root", "label"), "label", "left").fillna(1, ["size"])
+    ends = [F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("size").alias("most"), F.count(F.lit(1)).alias("labels")]
+    several = placed.groupBy("key").agg(*ends).where("lo <> hi")
+    # two single nodes that were compared are settled; a root that was compared says nothing of its component's other nodes
     done = tried.select(F.least("pivot", "node").alias("lo"), F.greatest("pivot", "node").alias("hi"), F.lit(True).alias("done")).distinct()
-    several = several.join(done, ["lo", "hi"], "left").where("labels > 2 OR done IS NULL").select("key")
-    placed = placed.join(several, "key", "left_semi").join(sizes.withColumnRenamed("root", "label"), "label", "left").fillna(1, ["size"])
+    several = several.join(done, ["lo", "hi"], "left").where("labels > 2 OR most > 1 OR done IS NULL").select("key")
+    placed = placed.join(several, "key", "left_semi")
     center = placed.groupBy("key").agg(F.max(F.struct("size", F.bitwise_not("label").alias("rank"))).alias("best"))
     pairs = placed.join(center.select("key", F.bitwise_not("best.rank").alias("center")), "key")
     return pairs.where("label <> center").select("center", F.col("label").alias("other")).distinct()

@@ -63,6 +63,19 @@ def test_large_group_of_near_copies(spark, monkeypatch):
     assert sorted(map(tuple, got)) == sorted(expected(docs.collect(), 2))
 
 
+def test_linked_only_to_an_inner_member_of_a_component(spark):
+    """R-M, M-H and M-B are linked, R-B and H-B are not; B is proposed the ends of its buckets only, often R and H."""
+    texts = []
+    for g in range(40):
+        m = [f"g{g}m{i}" for i in range(100)]
+        r, h = [f"g{g}r{i}" for i in range(2)] + m[2:], m[:-2] + [f"g{g}h{i}" for i in range(2)]
+        b = m[:40] + [f"g{g}b{i}" for i in range(10)] + m[50:]
+        texts += [(4 * g + i, " ".join(words)) for i, words in enumerate((r, m, h, b))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = op.near_duplicates(docs, width=1).select("doc_id", "component_id").collect()
+    assert sorted(map(tuple, got)) == [(i, i // 4 * 4) for i in range(160)]
+
+
 def test_representatives(spark, odd):
     kept = op.keep_representatives(odd)
     assert kept.columns == odd.columns
