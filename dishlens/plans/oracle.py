@@ -336,6 +336,17 @@ ranked_near AS (SELECT query_id, row_id, {again} FROM near JOIN (SELECT * FROM d
 looked AS (SELECT query_id, count(*) AS n FROM near GROUP BY 1)
 SELECT query_id, count(*) AS n_exact, count(a.row_id) AS n_found, {r6('count(a.row_id) / count(*)', 'recall')}, coalesce(any_value(n), 0) AS n_candidates
 FROM (SELECT query_id, row_id FROM dhits WHERE space = 'base') e LEFT JOIN (SELECT query_id, row_id FROM ranked_near WHERE rank <= {K}) a USING (query_id, row_id) LEFT JOIN looked USING (query_id) GROUP BY query_id"""
+    out["lsh_recall_rows"] = f"""WITH {CLEANED},{DENSE}, mine AS MATERIALIZED (SELECT row_id, pos, x FROM cells JOIN cleaned ON review_id = row_id WHERE space = 'base'),
+planes AS (SELECT pos, band, bit, CASE WHEN {h32("'42:' || band || ':' || bit || ':' || pos")} % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS r
+  FROM range({suite.EMBEDDING_DIM}) AS a(pos), range(128) AS b(band), range(8) AS c(bit)),
+rs AS MATERIALIZED (SELECT row_id, band, sum(CASE WHEN s > 0 THEN 1 << bit ELSE 0 END) AS sig FROM (SELECT row_id, band, bit, sum(x * r) AS s FROM mine JOIN planes USING (pos) GROUP BY ALL) GROUP BY ALL),
+scores AS MATERIALIZED (SELECT a.row_id AS query_id, b.row_id, round(sum(a.x * b.x), 9) AS score FROM mine a JOIN mine b USING (pos) WHERE a.row_id % 20 = 0 GROUP BY ALL),
+near AS MATERIALIZED (SELECT DISTINCT a.row_id AS query_id, b.row_id FROM rs a JOIN rs b USING (band, sig) WHERE a.row_id % 20 = 0),
+ranked AS (SELECT query_id, row_id, {again} FROM scores),
+ranked_near AS (SELECT query_id, row_id, {again} FROM near JOIN scores USING (query_id, row_id)),
+looked AS (SELECT query_id, count(*) AS n FROM near GROUP BY 1)
+SELECT query_id, count(*) AS n_exact, count(a.row_id) AS n_found, {r6('count(a.row_id) / count(*)', 'recall')}, coalesce(any_value(n), 0) AS n_candidates
+FROM (SELECT query_id, row_id FROM ranked WHERE rank <= {K}) e LEFT JOIN (SELECT query_id, row_id FROM ranked_near WHERE rank <= {K}) a USING (query_id, row_id) LEFT JOIN looked USING (query_id) GROUP BY query_id"""
     out["space_fallback"] = f"WITH {DENSE_HITS} SELECT query_id, CASE WHEN query_id % 2 = 0 THEN 'tuned' ELSE 'unbuilt' END AS space, space AS used_space, CAST(rank AS INTEGER) AS rank, row_id, {r6('score', 'score')} FROM dhits WHERE space = CASE WHEN query_id % 2 = 0 THEN 'tuned' ELSE 'base' END"
 
     out["answer_template"] = f"WITH {text_hits(K)} SELECT * FROM {answer('bq', 'hits', 'query_id')}"

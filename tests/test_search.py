@@ -136,6 +136,16 @@ def test_lsh_prunes_and_finds_close_vectors(spark):
     assert max(r.n_candidates for r in got) < 0.2 * 2_000
 
 
+def test_lsh_recall_of_rows(spark):
+    """On the given vectors, against brute force; the row itself, which every search finds, is left out as well."""
+    import __spark_entry__ as entry
+
+    got = entry.queries()["lsh_recall_rows"](spark, "/root/testdata/sf0.01").collect()
+    assert len(got) > 20 and all(r.query_id % 20 == 0 and r.n_exact == 5 for r in got)
+    assert sum(r.n_found for r in got) >= 0.9 * 5 * len(got)
+    assert sum(r.n_found - 1 for r in got) >= 0.9 * 4 * len(got)
+
+
 SPACE = Space("base", passage_prefix="passage: ", query_prefix="query: ", dim=97)
 TEXTS = ["The cat, the hat & the café!", "", "ร้าน อาหาร ร้าน", "cat cat dog 2024"]
 
