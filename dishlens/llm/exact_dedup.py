@@ -179,7 +179,7 @@ def decisions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     same = (
         texts.select("text")
         .mapInArrow(_candidates(block_bits, table), "mark long, body binary")
-        .join(marks.select("mark"), "mark", "left_semi")
+        # no join with marks: it would deal whole texts by their mark first, and a text that occurs twice has a repeated mark
         .groupBy("mark", "body")
         .count()
         .where("count > 1")

@@ -56,3 +56,16 @@ def test_fingerprints_that_collide_are_told_apart(spark, monkeypatch):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(["a", "b", " a", "c", "b"])], "doc_id long, text string")
     groups = op.decisions(docs).select("doc_id", "keep_id", "group_size").collect()
     assert sorted(map(tuple, groups)) == [(0, 2, 2), (1, 1, 2), (2, 2, 2), (3, 3, 1), (4, 1, 2)]
+
+
+def test_copies_are_counted_within_tasks_first(spark, documents):
+    """Whole texts are not dealt before they are grouped, also where no table is small enough to be broadcast."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = op.decisions(documents)._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    made = next(i for i, line in enumerate(plan) if "MapInArrow" in line and "body" in line)
+    above = [line for line in reversed(plan[:made]) if "Exchange" in line or "partial_count" in line]
+    assert "partial_count" in above[0]
