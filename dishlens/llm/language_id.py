@@ -8,8 +8,8 @@ one language it is 1.
 
 Text: every letter of the whole text counts, lower-cased; runs of letters are words, with one space on each side.
 
-Learning: counts over at most SAMPLE_ROWS labelled rows (those with the least hash of id and text, so the sample is the same
-in every run); counting and ranking are Spark aggregations, and a profile has LENGTH entries a language. Prediction
+Learning: counts over all labelled rows, so a language's profile does not depend on how common the others are; counting and
+ranking are Spark aggregations over n-grams already counted in each task, and a profile has LENGTH entries a language. Prediction
 covers every row of every size.
 
 Results: `und` and score 0 if the text is null, has no letter, or nothing was learned. Rows with a null lang or text teach nothing. Repeated
@@ -26,7 +26,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SIZES, LENGTH = (1, 2, 3), 400
-SAMPLE_ROWS = 20_000
+#: N-grams a task holds before it hands out their counts.
+HELD_GRAMS = 1 << 20
 UNKNOWN = "und"
 FOLDS, HELD_OUT = 5, 0
 BITS = 21
@@ -69,26 +70,31 @@ def ranked(text: str) -> np.ndarray:
     return values[np.lexsort((values, -count))][:LENGTH]
 
 
+def _counted(texts: dict[str, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    for lang, found in texts.items():
+        values, count = np.unique(np.concatenate(found), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(values), pa.string()), pa.array(values), pa.array(count.astype(np.int64))], names=["lang", "gram", "n"])
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of n-grams by language, one row for each in a batch."""
+    """Counts of n-grams by language, one row for each in about HELD_GRAMS of a task."""
+    texts: dict[str, list[np.ndarray]] = {}
+    held = 0
     for batch in batches:
-        texts: dict[str, list[np.ndarray]] = {}
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            texts.setdefault(lang, []).append(grams(text))
-        for lang, found in texts.items():
-            values, count = np.unique(np.concatenate(found), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(values), pa.string()), pa.array(values), pa.array(count.astype(np.int64))], names=["lang", "gram", "n"])
+        for lang, text in zip(batch.column("lang"), batch.column("text"), strict=True):
+            found = grams(text.as_py())
+            texts.setdefault(lang.as_py(), []).append(found)
+            held += len(found)
+            if held >= HELD_GRAMS:
+                yield from _counted(texts)
+                texts, held = {}, 0
+    yield from _counted(texts)
 
 
 def learn(labelled: DataFrame) -> dict[str, np.ndarray]:
-    """Profiles by language from (key, lang, text); at most SAMPLE_ROWS rows teach."""
-    labelled = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
-    rank = labelled.select(F.xxhash64("key", "text").alias("rank"))
-    bound = rank.orderBy("rank").limit(SAMPLE_ROWS).agg(F.max("rank")).first()[0]
-    if bound is None:
-        return {}
-    sample = labelled.where(F.xxhash64("key", "text") <= bound).select(F.col("lang").cast("string").alias("lang"), "text")
-    counts = sample.mapInArrow(_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    """Profiles by language from all rows of (key, lang, text)."""
+    known = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select(F.col("lang").cast("string").alias("lang"), "text")
+    counts = known.mapInArrow(_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram")
     rows = counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= LENGTH).collect()
     profiles: dict[str, list[tuple[int, int]]] = {}

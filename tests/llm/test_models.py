@@ -22,6 +22,18 @@ def test_language_of_held_out_texts(both, rows):
     assert got[1_000_003].lang_pred == got[1_000_004].lang_pred == "und"
 
 
+def test_every_labelled_row_teaches(spark, monkeypatch):
+    """A language of one row among a thousand gets its profile, whatever a sample would hold."""
+    monkeypatch.setattr(language_id, "SAMPLE_ROWS", 50, raising=False)
+    monkeypatch.setattr(language_id, "HELD_GRAMS", 500, raising=False)
+    texts = [(i, "common", f"some words of row {'abcdefghij'[i % 10]}") for i in range(1_000)] + [(1_000, "rare", "quite zonder oxen")]
+    profiles = language_id.learn(spark.createDataFrame(texts, "key long, lang string, text string"))
+    assert sorted(profiles) == ["common", "rare"]
+    for lang, profile in profiles.items():
+        values, count = np.unique(np.concatenate([language_id.grams(t) for _, name, t in texts if name == lang]), return_counts=True)
+        assert profile.tolist() == values[np.lexsort((values, -count))][: language_id.LENGTH].tolist()
+
+
 def test_distance_is_out_of_place():
     profiles = {"x": language_id.ranked("abc abc abd"), "y": language_id.ranked("xyz xyz xyw")}
     names, every, table = language_id._places(profiles)
