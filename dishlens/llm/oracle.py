@@ -193,6 +193,170 @@ SELECT doc_id, (length(d.h) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS
 FROM d JOIN kept ON kept.r = d.r LEFT JOIN gone ON gone.r = d.r
 """
 
+COLLOCATIONS = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+),
+pieces AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM d),
+grams AS (
+  SELECT lang, size, array_to_string(words[i:i + size - 1], ' ') AS phrase
+  FROM (SELECT lang, words, size, unnest(range(1, len(words) - size + 2)) AS i FROM pieces, range(1, 5) AS t(size))
+),
+f AS (SELECT lang, size, phrase, count(*) AS n FROM grams GROUP BY ALL),
+totals AS (SELECT lang, sum(n)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang),
+candidates AS (SELECT lang, size, phrase, n AS a, string_split(phrase, ' ') AS words FROM f WHERE size >= 2 AND n >= 30),
+cuts AS (
+  SELECT lang, phrase, a, k, array_to_string(words[1:k], ' ') AS head, array_to_string(words[k + 1:size], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM candidates)
+),
+scores AS (
+  SELECT cuts.lang, cuts.phrase, a, k, x.n AS l, y.n AS r, (2000000::HUGEINT * a // (x.n::HUGEINT + y.n::HUGEINT))::BIGINT AS score
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = head JOIN f y ON y.lang = cuts.lang AND y.phrase = tail
+),
+scored AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_parts AS (
+  SELECT lang, a, array_to_string(words[i:i + m - 1], ' ') AS phrase
+  FROM (SELECT *, unnest(range(1, size - m + 2)) AS i FROM (SELECT *, unnest(range(2, size)) AS m FROM candidates WHERE size >= 3))
+),
+longer AS (SELECT lang, phrase, max(a) AS a FROM inner_parts GROUP BY lang, phrase),
+ranked AS (
+  SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY s.score DESC, s.a DESC, s.phrase) AS rank
+  FROM scored s LEFT JOIN longer ON longer.lang = s.lang AND longer.phrase = s.phrase
+  WHERE longer.a IS NULL OR 100::HUGEINT * longer.a < 80::HUGEINT * s.a
+)
+SELECT ranked.lang, rank, phrase, a, l, r, totals.n AS n, score FROM ranked JOIN totals ON totals.lang = ranked.lang WHERE rank <= 2000
+"""
+
+#: Fixed values of XXH64, seed 42. Numbers of 128 bits hold products of two of 64; a turn to the left by b bits is a product by
+#: 2 ** b modulo 2 ** 64 - 1.
+XXH = {
+    "p1": "11400714785074694791::UHUGEINT",
+    "p2": "14029467366897019727::UHUGEINT",
+    "p3": "1609587929392839161::UHUGEINT",
+    "p4": "9650029242287828579::UHUGEINT",
+    "p5": "2870177450012600261::UHUGEINT",
+    "m": "18446744073709551615::UHUGEINT",
+}
+
+
+def _round(acc: str, lane: str) -> str:
+    """One round of XXH64."""
+    return "(((((({lane}) * {p2} & {m}) + ({acc})) & {m}) * 2147483648::UHUGEINT % {m}) * {p1} & {m})".format(acc=acc, lane=lane, **XXH)
+
+
+def _steps(start: str, lanes: str, step: str) -> str:
+    return f"list_reduce(list_concat([({start})::UHUGEINT], {lanes}), lambda h, x: {step})"
+
+
+def _number(begin: str, size: int) -> str:
+    """The bytes from a 0-based place of ``b`` as one number, the first byte the least."""
+    return " + ".join(f"b[{begin} + {k + 1}] * {256**k}::UHUGEINT" for k in range(size))
+
+
+SIMHASH_NEAR_DEDUP = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS k,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+),
+shingles AS (
+  SELECT r, array_to_string(words[i:i + 2], ' ') AS s FROM (SELECT r, words, unnest(range(1, greatest(2, len(words) - 1))) AS i FROM d WHERE len(words) > 0)
+),
+texts AS (SELECT s, hex(encode(s)) AS x FROM (SELECT DISTINCT s FROM shingles)),
+bytes AS (
+  SELECT s, length(x) // 2 AS n, list_transform(range(0, length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::UTINYINT::UHUGEINT) AS b FROM texts
+),
+stripes AS (
+  SELECT s, n, b, n // 32 * 32 AS done, {accumulators} FROM bytes
+),
+begun AS (
+  SELECT s, n, b, done, CASE WHEN n < 32 THEN {p5} + 42::UHUGEINT ELSE {merged} END + n::UHUGEINT AS h FROM stripes
+),
+eights AS (
+  SELECT s, n, b, {eights} AS h FROM (SELECT s, n, b, done, h & {m} AS h FROM begun)
+),
+fours AS (
+  SELECT s, n, b, CASE WHEN n % 8 >= 4 THEN ((xor(h, ({four}) * {p1} & {m}) * 8388608::UHUGEINT % {m}) * {p2} & {m}) + {p3} & {m} ELSE h END AS h FROM eights
+),
+ones AS (SELECT s, {ones} AS h FROM fours),
+turned AS (SELECT s, xor(h, h >> 33::UHUGEINT) * {p2} & {m} AS h FROM ones),
+mixed AS (SELECT s, xor(h, h >> 29::UHUGEINT) * {p3} & {m} AS h FROM turned),
+hashes AS (SELECT s, xor(h, h >> 32::UHUGEINT)::UBIGINT AS h FROM mixed),
+votes AS (
+  SELECT r, bit, 2 * sum((h >> bit::UBIGINT & 1::UBIGINT)::BIGINT) > count(*) AS one
+  FROM shingles JOIN hashes ON hashes.s = shingles.s, range(0, 64) AS t(bit) GROUP BY r, bit
+),
+prints AS (SELECT r, bit_or(CASE WHEN one THEN 1::UHUGEINT << bit::UHUGEINT ELSE 0::UHUGEINT END)::UBIGINT AS fp FROM votes GROUP BY r),
+docs AS (SELECT d.r, doc_id, k, coalesce(fp, 0)::UBIGINT AS fp FROM d LEFT JOIN prints ON prints.r = d.r),
+nodes AS (SELECT fp, min(k) AS k FROM docs GROUP BY fp),
+steps AS (SELECT x.fp AS a, y.fp AS b FROM nodes x, nodes y WHERE x.fp <> y.fp AND bit_count(xor(x.fp, y.fp)::BIT) <= 2),
+reached AS (
+  SELECT fp AS start, fp AS here FROM nodes
+  UNION
+  SELECT start, b FROM reached JOIN steps ON here = a
+),
+least AS (SELECT start, min(k) AS component FROM reached JOIN nodes ON nodes.fp = here GROUP BY start)
+SELECT doc_id, lower(lpad(to_hex(fp), 16, '0')) AS fingerprint, nullif(component, 9223372036854775807) AS component_id FROM docs JOIN least ON start = fp
+""".format(
+    accumulators=", ".join(
+        _steps(f"({seed}) & {XXH['m']}", f"list_transform(range(0, n // 32), lambda i: {_number(f'32 * i + {8 * k}', 8)})", _round("h", "x")) + f" AS v{k + 1}"
+        for k, seed in enumerate((f"42::UHUGEINT + {XXH['p1']} + {XXH['p2']}", f"42::UHUGEINT + {XXH['p2']}", "42::UHUGEINT", f"18446744073709551658::UHUGEINT - {XXH['p1']}"))
+    ),
+    merged=_steps(
+        f"((v1 * 2::UHUGEINT) % {XXH['m']}) + ((v2 * 128::UHUGEINT) % {XXH['m']}) + ((v3 * 4096::UHUGEINT) % {XXH['m']}) + ((v4 * 262144::UHUGEINT) % {XXH['m']}) & {XXH['m']}",
+        "[v1, v2, v3, v4]",
+        f"(xor(h, {_round('0::UHUGEINT', 'x')}) * {XXH['p1']} & {XXH['m']}) + {XXH['p4']} & {XXH['m']}",
+    ),
+    eights=_steps(
+        "h",
+        f"list_transform(range(0, n % 32 // 8), lambda i: {_number('done + 8 * i', 8)})",
+        f"((xor(h, {_round('0::UHUGEINT', 'x')}) * 134217728::UHUGEINT % {XXH['m']}) * {XXH['p1']} & {XXH['m']}) + {XXH['p4']} & {XXH['m']}",
+    ),
+    four=_number("n // 8 * 8", 4),
+    ones=_steps(
+        "h",
+        "list_transform(range(n // 4 * 4, n), lambda i: b[i + 1])",
+        f"(xor(h, x * {XXH['p5']} & {XXH['m']}) * 2048::UHUGEINT % {XXH['m']}) * {XXH['p1']} & {XXH['m']}",
+    ),
+    **XXH,
+)
+
+FILTER_AUDIT = rf"""
+WITH d AS (
+  SELECT coalesce(doc_id, 9223372036854775807) AS k, doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, {WORDS} AS words FROM documents
+),
+flags AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+failing AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    (len(words) < 200)::INT + 2 * (100 * len(list_distinct(words)) < 50 * len(words))::INT
+      + 4 * (100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 3 * length(text))::INT
+      + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * (k > min(k) OVER (PARTITION BY text))::INT AS mask
+  FROM d LEFT JOIN flags ON flags.doc_id = d.doc_id
+),
+counts AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM failing GROUP BY part, mask),
+letters AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS t(letter, bit)),
+orders AS (
+  SELECT [a.bit, b.bit, c.bit, x.bit, y.bit] AS bits, a.letter || b.letter || c.letter || x.letter || y.letter AS filter_order
+  FROM letters a, letters b, letters c, letters x, letters y WHERE a.bit | b.bit | c.bit | x.bit | y.bit = 31
+),
+steps AS (
+  SELECT filter_order, step, bits[step] AS own, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS before FROM (SELECT *, unnest(range(1, 6)) AS step FROM orders)
+),
+found AS (
+  SELECT part, filter_order, step::INT AS step, own,
+    sum(CASE WHEN mask & (own | before) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+    sum(CASE WHEN mask & own > 0 AND mask & before = 0 THEN n ELSE 0 END)::BIGINT AS removed,
+    sum(CASE WHEN mask & own > 0 AND mask & before > 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+    sum(CASE WHEN mask = own THEN n ELSE 0 END)::BIGINT AS unique_fails,
+    sum(CASE WHEN mask & own > 0 AND mask & before = 0 THEN good ELSE 0 END)::BIGINT AS good_lost,
+    sum(CASE WHEN mask & own > 0 AND mask & before = 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+  FROM counts, steps GROUP BY part, filter_order, step, own
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM found
+"""
+
 SQL: dict[str, str] = {
     "op1_quality_rules": QUALITY_RULES,
     "op4_exact_dedup": EXACT_DEDUP,
@@ -201,4 +365,7 @@ SQL: dict[str, str] = {
     "op7_substring_dedup": SUBSTRING_DEDUP,
     "op10_suffix_dedup": SUFFIX_DEDUP,
     "op8_chat_formatting": CHAT_FORMATTING,
+    "op11_collocations": COLLOCATIONS,
+    "op12_simhash_near_dedup": SIMHASH_NEAR_DEDUP,
+    "op13_filter_audit": FILTER_AUDIT,
 }

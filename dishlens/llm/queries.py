@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dishlens.llm import chat, exact_dedup, language_id, mixing, near_dedup, pieces, quality_rules, substring_dedup, suffix_dedup, toxicity
+from dishlens.llm import chat, collocations, exact_dedup, filter_audit, language_id, mixing, near_dedup, pieces, quality_rules, simhash, substring_dedup, suffix_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,18 @@ def suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(suffix_dedup.dedupe_strings(table(spark, sf_dir, "documents")))
 
 
+def phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def simhashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(spark, f"{sf_dir}/documents.parquet", table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_quality_rules": quality,
     "op2_toxicity": toxic,
@@ -65,4 +77,7 @@ QUERIES = {
     "op8_chat_formatting": chats,
     "op9_language_id": languages,
     "op10_suffix_dedup": suffixes,
+    "op11_collocations": phrases,
+    "op12_simhash_near_dedup": simhashes,
+    "op13_filter_audit": filters,
 }
