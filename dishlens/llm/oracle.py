@@ -27,8 +27,13 @@ rules AS (
 ),
 judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM rules),
 hosts AS (SELECT source, count(*) AS n, sum(base_failed::BIGINT) AS failed FROM judged GROUP BY source),
-moments AS (SELECT round(avg(failed / n), 9) AS m, round(var_pop(failed / n), 12) AS v FROM hosts),
-weight AS (SELECT m, least(greatest(CASE WHEN v <= 0 THEN 1000000.0 ELSE m * (1 - m) / v - 1 END, 1.0), 1000000.0) AS k FROM moments),
+total AS (SELECT sum(failed) / sum(n) AS p, sum(n)::DOUBLE AS all_n, count(*) AS k, sum(n::DOUBLE * n) AS squares FROM hosts),
+moments AS (
+  SELECT p, CASE WHEN p > 0 AND p < 1 AND all_n - squares / all_n - (k - 1) > 0
+    THEN round(((SELECT sum(n * pow(failed / n - p, 2)) FROM hosts) / (p * (1 - p)) - (k - 1)) / (all_n - squares / all_n - (k - 1)), 9) ELSE 0 END AS rho
+  FROM total
+),
+weight AS (SELECT p AS m, CASE WHEN rho > 0 THEN least(greatest(1 / rho - 1, 1.0), 1000000.0) ELSE 1000000.0 END AS k FROM moments),
 prior AS (SELECT round(m * k, 6) AS a, round((1 - m) * k, 6) AS b FROM weight),
 verdicts AS (SELECT source, round((failed + a) / (n + a + b), 6) AS host_rate FROM hosts, prior)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host_rate, NOT base_failed AND host_rate <= 0.5 AS kept

@@ -1,14 +1,18 @@
 """Rules on documents, judged by host as well.
 
 A document fails if it has too few words or repeats itself too much. Failures are summed by host, each host's rate is
-shrunk towards the rate of all hosts with a beta prior fitted to them by moments, and the host's verdict is joined back to its
-documents. A host of three documents is thus not condemned by two, and one of a million is judged by its own rate.
+shrunk towards the rate of all documents with an empirical beta prior, and the host's verdict is joined back to its documents.
+The prior's weight comes from the beta-binomial moments: hosts weigh by their documents, and the scatter that documents drawn
+at one common rate would show by themselves is taken off first. Only what hosts differ by beyond that makes the prior weak. So a
+table of tiny hosts, whose rates say little, leaves all of them near the common rate, and a host of three documents is not
+condemned by two; where hosts of many documents do differ, one of a million is judged by its own rate.
 
 Everything is a column expression: one scan, no shuffle for the documents' figures, one aggregation of counts by host.
 Windows of 8 words are compared as 64-bit hashes within one text. Hosts are one row each and join as Spark sees fit.
 
 Results: null or empty text has no words and fails; a null host is a host of its own; a null doc_id is kept as it is;
-repeated rows are rows like others; an empty table gives an empty result. Other columns are not read.
+repeated rows are rows like others; very long texts are rows like others, a text at a time; an empty table gives an empty
+result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -86,15 +90,23 @@ def document_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def beta_prior(hosts: DataFrame) -> tuple[float, float]:
-    """Parameters of the beta distribution with the mean and variance of the hosts' rates."""
-    found = hosts.agg(F.sum("failed"), F.sum("n"), F.avg(F.col("failed") / F.col("n")), F.var_pop(F.col("failed") / F.col("n"))).first()
-    if not found[1]:
-        return 1.0, 1.0
-    mean, variance = round(found[2], 9), round(found[3], 12)
+    """Parameters of the beta distribution that hosts' rates are drawn from, by the moments of the beta-binomial.
+
+    With p the rate of all N documents and k hosts, the sum over hosts of n (rate - p)^2 is expected to be
+    p (1 - p) (k - 1 + rho (N - sum(n^2) / N - k + 1)); the prior's weight is 1 / rho - 1.
+    """
+    total = hosts.agg(F.sum("failed"), F.sum("n"), F.count(F.lit(1)), F.sum(F.col("n").cast("double") * F.col("n"))).first()
     low, high = PRIOR_WEIGHT
-    weight = high if variance <= 0 else mean * (1 - mean) / variance - 1
-    weight = min(max(weight, low), high)
-    return round(mean * weight, 6), round((1 - mean) * weight, 6)
+    if not total[1]:
+        return low, low
+    failed, n, k, squares = total
+    p = failed / n
+    scatter = hosts.agg(F.sum(F.col("n") * F.pow(F.col("failed") / F.col("n") - p, 2))).first()[0]
+    free = n - squares / n - (k - 1)
+    # hosts of a document each say nothing of what hosts differ by
+    rho = round((scatter / (p * (1 - p)) - (k - 1)) / free, 9) if 0 < p < 1 and free > 0 else 0.0
+    weight = min(max(1 / rho - 1, low), high) if rho > 0 else high
+    return round(p * weight, 6), round((1 - p) * weight, 6)
 
 
 def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
