@@ -62,6 +62,57 @@ def test_higher_priority_is_taken_more_often(spark):
     assert mean[2_000] > mean[50]
 
 
+def repeated_rows():
+    """30 sources, each with long documents and equal short rows, some of them without an id."""
+    rows = []
+    for s in range(30):
+        rows += [(1_000 * s + i, "w " * (30 + i), f"s{s:02}") for i in range(20)]
+        rows += [(1_000 * s + 500, "a b c d", f"s{s:02}")] * 50 + [(None, "e f g", f"s{s:02}")] * 7
+    return rows
+
+
+@pytest.mark.parametrize("per_range", [op.ROWS_PER_RANGE, 8])
+def test_rows_that_repeat(spark, monkeypatch, per_range):
+    """The draw and the mend change one row of a group, not all: sources miss their target by half a document at most."""
+    monkeypatch.setattr(op, "ROWS_PER_RANGE", per_range)
+    rows = repeated_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = op.mix(docs)
+    assert got.count() == len(rows)
+    sums = op.decided(docs).groupBy("source").agg(F.sum((F.col("whole") * F.col("n") + F.col("more")) * F.col("size")).alias("taken"), F.max("target").alias("target"))
+    taken = {r.source: (r.taken, r.target) for r in sums.collect()}
+    assert all(abs(a - b) <= 25 for a, b in taken.values())
+    whole = collections.Counter()
+    for r in op.mixed(docs).collect():
+        whole[r.source] += len(r.text.split())
+    assert whole == {s: a for s, (a, _) in taken.items()}
+    assert got.agg(F.sum("taken")).first()[0] == sum(a for a, _ in taken.values())
+
+
+def test_rows_that_repeat_equal_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    from dishlens.llm.oracle import SQL
+
+    docs = spark.createDataFrame(repeated_rows(), "doc_id long, text string, source string")
+    docs.write.parquet(str(tmp_path / "documents"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents/*.parquet'")
+    want = con.execute(f"SELECT doc_id, size, source_size, round(target, 6), taken, copies FROM ({SQL['op5_mixing']})").fetchall()
+    got = op.mix(docs).select("doc_id", "size", "source_size", F.round("target", 6), "taken", "copies").collect()
+    assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, want))
+
+
+def test_a_source_of_equal_rows(spark):
+    """``mixed`` takes as many as ``mix`` says, not the same number of each row."""
+    rows = [(1, "a b c d e f g", "a")] * 100 + [(i, "w " * 20, "b") for i in range(2, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    said = {r.doc_id: r.taken for r in op.mix(docs).groupBy("doc_id").agg(F.sum("taken").alias("taken")).collect()}
+    done = collections.Counter()
+    for r in op.mixed(docs).collect():
+        done[r.doc_id] += len(r.text.split())
+    assert done == {k: v for k, v in said.items() if v}
+
+
 def test_mixed_rows(odd):
     got = op.mixed(odd)
     assert got.columns == odd.columns
