@@ -6,19 +6,25 @@ Spark over the teaching rows; terms of identity are always among them. Weights m
 
     mean log loss + RIDGE / 2 * |w| ** 2 + SWAP * mean over swaps of (change of the score's logit) ** 2
 
-where a swap replaces one term of identity of a labelled text by another of its group, everything else the same. A group that
-the labelled texts happen to blame thus gets the same weight as the others, and being neutral costs least, so it is near zero.
-
-Learning takes at most SAMPLE_ROWS labelled rows (those with the least hash of their id), joined by a broadcast of so many
-ids; scoring covers every row and whole texts. Results: null or empty text is scored by the intercept alone; without any
-labelled row of both kinds every score is 0. Of several labels of one id the highest counts, null labels do not. Repeated rows get the same score.
-Labels, lang, source and ids are never inputs of a score; other columns are not read.
+where a swap replaces one term of identity of a labelled text by another of its group, everything else the same. Terms are
+listed for the four languages of the corpus. A text is swapped in every term that it holds; and whatever it holds, a term drawn by a
+hash of the text is put into it and swapped with another one of its group, so that every labelled text gives a counterfactual
+pair. A group that the labelled texts happen to blame, also through beginnings its terms share with other words, thus gets the
+same weight as the others, and being neutral costs least, so it is near zero.
+
+Learning takes at most SAMPLE_ROWS labelled ids (those with the least hash), joined by a broadcast of so many ids. Rows of
+equal features and label are summed to one with a weight by Spark, and equal swaps too, before they come to the driver; of what
+is then still more than SAMPLE_ROWS rows or MAX_SWAPS swaps, those of the least hash fit the weights.
+Scoring covers every row and whole texts, also very long ones, a text at a time. Results: null or empty text is scored by the
+intercept alone; without any labelled row of both kinds every score is 0. Of several labels of one id the highest counts, null
+labels do not. Repeated rows teach once more each and get the same score. Empty tables give no rows. Labels, lang, source and ids
+are never inputs of a score; other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -29,15 +35,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dishlens.llm.language_id import held_out
+from dishlens.sources.sinks import materialize
 
-SAMPLE_ROWS, VOCABULARY = 20_000, 512
+SAMPLE_ROWS, MAX_SWAPS, VOCABULARY = 20_000, 20_000, 512
 PREFIXES, LEVELS = (4, 5, 6, 7), 3
 #: A feature counts if this many teaching texts have it and its share differs by so many standard errors.
 MIN_TEXTS, MIN_Z = 5, 4.0
 RIDGE, SWAP, STEPS = 1e-4, 1.0, 40
 WORDS_REMEMBERED = 300_000
 WORD = re.compile(r"[^\W\d_]+")
-#: Terms of identity by group; a term is swapped with the others of its group.
+#: Terms of identity by group, in English, German, French and Spanish; a term is swapped with the others of its group.
 IDENTITIES = (
     ("man", "woman", "person"),
     ("men", "women", "people"),
@@ -50,6 +57,32 @@ IDENTITIES = (
     ("immigrant", "refugee", "native", "foreigner"),
     ("old", "young", "elderly"),
     ("deaf", "blind", "disabled"),
+    ("mann", "frau", "mensch"),
+    ("männer", "frauen", "menschen"),
+    ("jungen", "mädchen", "kinder"),
+    ("christ", "moslem", "jude", "hindu", "buddhist", "atheist"),
+    ("schwul", "lesbisch", "heterosexuell", "transgender", "bisexuell"),
+    ("deutscher", "franzose", "spanier", "engländer", "amerikaner", "afrikaner", "chinese", "inder"),
+    ("einwanderer", "flüchtling", "einheimischer", "ausländer"),
+    ("taub", "blind", "behindert"),
+    ("homme", "femme", "personne"),
+    ("hommes", "femmes", "gens"),
+    ("garçons", "filles", "enfants"),
+    ("chrétien", "musulman", "juif", "hindou", "bouddhiste", "athée"),
+    ("noir", "blanc", "asiatique"),
+    ("homosexuel", "lesbienne", "hétérosexuel", "transgenre", "bisexuel"),
+    ("allemand", "français", "espagnol", "anglais", "américain", "africain", "chinois", "indien"),
+    ("immigré", "réfugié", "étranger"),
+    ("sourd", "aveugle", "handicapé"),
+    ("hombre", "mujer", "persona"),
+    ("hombres", "mujeres", "gente"),
+    ("chicos", "chicas", "niños"),
+    ("cristiano", "musulmán", "judío", "hindú", "budista", "ateo"),
+    ("negro", "blanco", "asiático"),
+    ("homosexual", "lesbiana", "heterosexual", "transgénero", "bisexual"),
+    ("alemán", "francés", "español", "inglés", "americano", "africano", "chino", "indio"),
+    ("inmigrante", "refugiado", "extranjero"),
+    ("sordo", "ciego", "discapacitado"),
 )
 
 
@@ -75,6 +108,19 @@ def features(text: str | None) -> set[str]:
     return {f"{stem}*{level}" for stem, n in stem_counts(words(text)).items() for level in range(1, min(n, LEVELS) + 1)}
 
 
+def _change(counts: dict[str, int], gone: str, came: str | None) -> tuple[list[str], list[str]]:
+    """The features that go and those that come when a word of a text gives way to another; None if that is there already."""
+    changes = dict.fromkeys(stems(gone), -1)
+    for stem in stems(came) if came else ():
+        changes[stem] = changes.get(stem, 0) + 1
+    out, into = [], []
+    for stem, change in changes.items():
+        n = counts.get(stem, 0)
+        out += [f"{stem}*{level}" for level in range(n + change + 1, min(n, LEVELS) + 1)]
+        into += [f"{stem}*{level}" for level in range(n + 1, min(n + change, LEVELS) + 1)]
+    return out, into
+
+
 def swaps(text: str | None, identities: tuple) -> Iterator[tuple[list[str], list[str]]]:
     """For each term of identity in the text and each other of its group, the features that go and those that come."""
     found = words(text)
@@ -83,25 +129,28 @@ def swaps(text: str | None, identities: tuple) -> Iterator[tuple[list[str], list
         for term in found.intersection(group):
             counts = stem_counts(found) if counts is None else counts
             for other in group:
-                if other == term:
-                    continue
-                changes = dict.fromkeys(stems(term), -1)
-                for stem in stems(other) if other not in found else ():
-                    changes[stem] = changes.get(stem, 0) + 1
-                gone, came = [], []
-                for stem, change in changes.items():
-                    n = counts.get(stem, 0)
-                    gone += [f"{stem}*{level}" for level in range(n + change + 1, min(n, LEVELS) + 1)]
-                    came += [f"{stem}*{level}" for level in range(n + 1, min(n + change, LEVELS) + 1)]
-                yield gone, came
+                if other != term:
+                    yield _change(counts, term, None if other in found else other)
+
+
+def drawn_swap(text: str | None, identities: tuple) -> Iterator[tuple[list[str], list[str]]]:
+    """The same for a term that a hash of the text draws, once it has been put into the text."""
+    found = words(text)
+    number = zlib.crc32((text or "").encode("utf-8", "replace"))
+    group = identities[number % len(identities)]
+    number //= len(identities)
+    term, other = group[number % len(group)], group[(number + 1 + number // len(group) % (len(group) - 1)) % len(group)]
+    if term not in found and other not in found:
+        yield _change(stem_counts(found | {term}), term, other)
 
 
 @dataclass(frozen=True)
 class Model:
-    """Weights by feature and the intercept; with intercept None nothing was learned."""
+    """Weights by feature and the intercept; with intercept None nothing was learned. And how many swaps it learned from."""
 
     weights: dict[str, float]
     intercept: float | None
+    swaps: int = 0
 
     def scorer(self) -> Callable[[str | None], float]:
         """A function from text to score that remembers, for a bounded number of words, which stems of theirs have a weight."""
@@ -153,36 +202,41 @@ def choose_features(teaching: DataFrame, clean: int, toxic: int) -> list[str]:
     return [row["feature"] for row in counts.orderBy(F.col("z").desc(), "feature").limit(VOCABULARY).collect()]
 
 
-def fit(rows: list[np.ndarray], toxic: np.ndarray, size: int, changes: dict[tuple[int, ...], int], swap: float = SWAP) -> tuple[np.ndarray, float]:
+def fit(
+    rows: list[np.ndarray], toxic: np.ndarray, size: int, changes: dict[tuple[int, ...], int], swap: float = SWAP, times: np.ndarray | None = None
+) -> tuple[np.ndarray, float]:
     """Weights and intercept by Newton steps, halved while they do not lower the loss.
 
-    ``changes``: how often a swap changes which features, those that come as i + 1 and those that go as -(i + 1).
+    ``times``: how often each row counts, once unless given. ``changes``: how often a swap changes which features, those that
+    come as i + 1 and those that go as -(i + 1).
     """
     n = len(rows)
+    part = np.ones(n) / n if times is None else times / times.sum()
     x = np.zeros((n, size + 1), np.float32)
     x[:, size] = 1
     for i, row in enumerate(rows):
         x[i, row] = 1
-    change, times = np.zeros((len(changes), size + 1)), np.zeros(len(changes))
+    change, often = np.zeros((len(changes), size + 1)), np.zeros(len(changes))
     for i, (signed, n_times) in enumerate(sorted(changes.items())):
-        times[i] = n_times
+        often[i] = n_times
         for at in signed:
             change[i, abs(at) - 1] = 1 if at > 0 else -1
     # quadratic part of the loss: ridge and swaps
-    bend = RIDGE * np.eye(size + 1) + 2 * swap * (change.T * (times / max(times.sum(), 1.0))) @ change
+    bend = RIDGE * np.eye(size + 1) + 2 * swap * (change.T * (often / max(often.sum(), 1.0))) @ change
     bend[size, size] = 0
 
     def loss(w: np.ndarray) -> float:
         z = x @ w
-        return float(np.mean(np.logaddexp(0, z) - toxic * z) + w @ bend @ w / 2)
+        return float(part @ (np.logaddexp(0, z) - toxic * z) + w @ bend @ w / 2)
 
     w = np.zeros(size + 1)
-    w[size] = np.log((toxic.sum() + 0.5) / (n - toxic.sum() + 0.5))
+    share = float(part @ toxic)
+    w[size] = np.log((share + 0.5 / n) / (1 - share + 0.5 / n))
     now = loss(w)
     for _ in range(STEPS):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
-        gradient = x.T @ (p - toxic) / n + bend @ w
-        spread = (p * (1 - p) / n).astype(np.float32)
+        gradient = x.T @ ((p - toxic) * part) + bend @ w
+        spread = (p * (1 - p) * part).astype(np.float32)
         step = np.linalg.solve((x * spread[:, None]).T @ x + bend + 1e-9 * np.eye(size + 1), gradient)
         size_of = 1.0
         while (then := loss(w - size_of * step)) > now and size_of > 1e-4:
@@ -202,7 +256,6 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     known = labels.where(F.col(label).isNotNull() & ~held_out(doc_id)).groupBy(doc_id).agg(F.max(F.col(label).cast("int")).alias("toxic"))
     sample = known.select(F.col(doc_id).alias("id"), "toxic").orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS)
     teaching = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(sample), "id").select("text", "toxic")
-    # rows that repeat teach once more each; a sample's ids are at most SAMPLE_ROWS
     total = {row["toxic"]: row["count"] for row in teaching.groupBy("toxic").count().collect()}
     if not (total.get(0) and total.get(1)):
         return Model({}, None)
@@ -214,24 +267,21 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         for batch in batches:
             texts = [t.as_py() for t in batch.column("text")]
             found = [sorted(vocabulary[f] for f in features(t) if f in vocabulary) for t in texts]
-            swapped = [
-                [
-                    sorted([-vocabulary[f] - 1 for f in gone if f in vocabulary] + [vocabulary[f] + 1 for f in came if f in vocabulary])
-                    for gone, came in swaps(t, identities)
-                ]
-                for t in texts
-            ]
+            signed = lambda gone, came: sorted([-vocabulary[f] - 1 for f in gone if f in vocabulary] + [vocabulary[f] + 1 for f in came if f in vocabulary])
+            swapped = [[signed(*change) for change in (*swaps(t, identities), *drawn_swap(t, identities))] for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(found, pa.list_(pa.int32())), pa.array(swapped, pa.list_(pa.list_(pa.int32()))), batch.column("toxic")], names=["features", "swaps", "toxic"]
             )
 
-    rows = teaching.mapInArrow(indexed, "features array<int>, swaps array<array<int>>, toxic int").toArrow()
-    lists = [np.array(x, np.int64) for x in rows.column("features").to_pylist()]
-    changes = Counter(tuple(x) for row in rows.column("swaps").to_pylist() for x in row if x)
-    order = sorted(range(len(lists)), key=lambda i: (lists[i].tolist(), rows.column("toxic")[i].as_py()))
-    toxic = rows.column("toxic").to_numpy()[order].astype(float)
-    w, b = fit([lists[i] for i in order], toxic, len(vocabulary), changes, swap)
-    return Model({name: round(float(w[i]), 6) for name, i in vocabulary.items() if abs(w[i]) >= 1e-6}, round(b, 6))
+    rows = materialize(teaching.mapInArrow(indexed, "features array<int>, swaps array<array<int>>, toxic int"), "features")
+    same = rows.groupBy("features", "toxic").agg(F.count(F.lit(1)).alias("n"))
+    same = same.orderBy(F.xxhash64("features", "toxic"), "features", "toxic").limit(SAMPLE_ROWS).toArrow()
+    changes = rows.select(F.explode("swaps").alias("change")).where(F.size("change") > 0).groupBy("change").agg(F.count(F.lit(1)).alias("n"))
+    changes = changes.orderBy(F.xxhash64("change"), "change").limit(MAX_SWAPS).collect()
+    lists = [np.array(x, np.int64) for x in same.column("features").to_pylist()]
+    often = {tuple(row["change"]): row["n"] for row in changes}
+    w, b = fit(lists, same.column("toxic").to_numpy().astype(float), len(vocabulary), often, swap, same.column("n").to_numpy().astype(float))
+    return Model({name: round(float(w[i]), 6) for name, i in vocabulary.items() if abs(w[i]) >= 1e-6}, round(b, 6), sum(often.values()))
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -82,6 +82,76 @@ def test_swaps_lower_the_score_of_neutral_mentions(spark):
     assert np.mean([(fair(t) >= 0.5) == bool(y) for _, t, y in test]) > 0.97
 
 
+def test_the_given_labels_give_swaps_that_bind(spark):
+    """On given documents: there are swaps, they halve what terms put into held-out texts change, and accuracy stays."""
+    path = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet")
+    plain, fair = toxicity.learn(docs, labels, swap=0.0), toxicity.learn(docs, labels)
+    assert fair.swaps > 200 and fair.swaps == plain.swaps
+    known = {r.doc_id: r.toxic for r in labels.collect()}
+    held = [r for r in docs.select("doc_id", "text").collect() if r.doc_id in known and zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    logit = lambda p: np.log(np.clip(p, 1e-9, 1 - 1e-9) / np.clip(1 - p, 1e-9, 1))
+
+    def change(model):
+        score, out = model.scorer(), []
+        for i, r in enumerate(held):
+            group = toxicity.IDENTITIES[i % len(toxicity.IDENTITIES)]
+            out.append(np.ptp([logit(score(f"{r.text} {term}")) for term in group]))
+        return float(np.mean(out))
+
+    accuracy = lambda model: np.mean([(model.scorer()(r.text) >= 0.5) == bool(known[r.doc_id]) for r in held])
+    assert change(fair) <= change(plain) / 2
+    assert accuracy(fair) >= accuracy(plain) - 1e-9 and accuracy(fair) > 0.9
+
+
+def test_fit_equals_plain_descent(monkeypatch):
+    """The Newton fit against many small steps down the same loss, with weighted rows and swaps."""
+    rng = np.random.default_rng(4)
+    rows = [np.flatnonzero(rng.random(6) < 0.4) for _ in range(60)]
+    toxic = (rng.random(60) < 0.4).astype(float)
+    times = rng.integers(1, 4, 60).astype(float)
+    changes = {(-1, 2): 3, (-3, 4, 5): 1}
+    monkeypatch.setattr(toxicity, "RIDGE", 0.01)
+    w, b = toxicity.fit(rows, toxic, 6, changes, 0.5, times)
+    x = np.zeros((60, 7))
+    x[:, 6] = 1
+    for i, row in enumerate(rows):
+        x[i, row] = 1
+    swaps = np.array([[-1, 1, 0, 0, 0, 0, 0], [0, 0, -1, 1, 1, 0, 0]], float)
+    v, part = np.zeros(7), times / times.sum()
+    for _ in range(60_000):
+        p = 1 / (1 + np.exp(-x @ v))
+        ridge = 0.01 * np.append(v[:6], 0)
+        v -= 0.2 * (x.T @ (part * (p - toxic)) + ridge + 0.5 * 2 * swaps.T @ (np.array([0.75, 0.25]) * (swaps @ v)))
+    assert np.allclose(np.append(w, b), v, atol=2e-3)
+
+
+def test_repeated_teaching_rows_are_summed(spark, monkeypatch):
+    """One labelled id with very many rows sends one row to the driver, and teaches as often as it stands there."""
+    rows = sentences(300, 5)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(1, rows[1][1])] * 2_000, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    seen = []
+    fit = toxicity.fit
+
+    def watched(lists, *rest):
+        seen.append((len(lists), rest[-1].sum()))
+        return fit(lists, *rest)
+
+    monkeypatch.setattr(toxicity, "fit", watched)
+    model = toxicity.learn(docs, labels)
+    taught = sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(300))
+    assert model.intercept is not None and seen[0][0] <= taught and seen[0][1] == taught + 2_000 * (zlib.crc32(b"1") % 5 != 0)
+
+
+def test_swaps_of_a_drawn_term():
+    for text in (None, "", "some words", "man woman person"):
+        for gone, came in toxicity.drawn_swap(text, toxicity.IDENTITIES):
+            terms = {t for group in toxicity.IDENTITIES for t in group}
+            assert {f.partition("$")[0] for f in gone if "$" in f} <= terms and {f.partition("$")[0] for f in came if "$" in f} <= terms
+    assert list(toxicity.drawn_swap("a b", (("a", "b"),))) == []
+
+
 def test_scores_of_all_rows(spark, both, rows, labels):
     model = toxicity.Model({"idiot$*1": 5.0, "bad*2": 1.0}, -2.0)
     got = {r.doc_id: r for r in toxicity.score(both, model).collect() if r.doc_id is not None}
