@@ -12,7 +12,7 @@ read back as it was. The mask is a list of code point ranges of the formatted te
 
 Results: null text or role counts as empty; a message whose parent is missing is a root; messages in a circle of replies
 have no root and are left out; a null tree is a tree of its own; an empty table gives an empty result. One conversation is
-one row, so it has to fit into memory; nothing else is gathered.
+one row, so it has to fit into memory; nothing else is gathered, and a row is made in time that goes with its length.
 """
 
 from __future__ import annotations
@@ -118,22 +118,19 @@ def branches(messages: DataFrame, top: int = 1) -> DataFrame:
 
 
 def formatted(paths: DataFrame) -> DataFrame:
-    """One row for each branch: tree, branch, formatted, and learned, the [start, end) ranges of the assistant's texts."""
+    """One row for each branch: tree, branch, formatted, and learned, the [start, end) ranges of the assistant's texts.
+
+    Where a turn begins is a running sum over the rows of its branch, made before they are gathered.
+    """
     head = F.concat(F.lit(OPEN), escape(F.col("role"), ROLE_ESCAPES), F.lit(": "))
-    turns = F.transform(
-        F.array_sort(F.collect_list(F.struct("position", head.alias("head"), escape(F.col("text")).alias("body"), (F.col("role") == LEARNED).alias("learned")))),
-        lambda t: F.struct(t["head"].alias("head"), t["body"].alias("body"), t["learned"].alias("learned")),
-    )
-    rows = paths.groupBy("tree_key", "branch").agg(F.first("tree").alias("tree"), turns.alias("turns"))
-    tail = F.lit(END + "\n")
-    text = F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"], tail)), "")
-    sizes = F.transform("turns", lambda t: (F.length(t["head"]) + F.length(t["body"]) + F.length(tail)).cast("long"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<long>").alias("all"))
-    begins = F.aggregate(sizes, start, lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["all"], F.array(s["at"])).alias("all")))["all"]
-    rows = rows.withColumn("begins", begins)
-    spans = F.zip_with("turns", "begins", lambda t, b: F.struct(t["learned"].alias("learned"), (b + F.length(t["head"])).alias("start"), (b + F.length(t["head"]) + F.length(t["body"])).alias("end")))
-    spans = F.transform(F.filter(spans, lambda s: s["learned"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
-    return rows.select("tree", "branch", text.alias("formatted"), spans.alias("learned"))
+    rows = paths.select("tree_key", "branch", "tree", "position", head.alias("head"), escape(F.col("text")).alias("body"), (F.col("role") == LEARNED).alias("learned"))
+    size = (F.length("head") + F.length("body") + len(END) + 1).cast("long")
+    before = Window.partitionBy("tree_key", "branch").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("start", F.coalesce(F.sum(size).over(before), F.lit(0)) + F.length("head"))
+    turns = F.array_sort(F.collect_list(F.struct("position", F.concat("head", "body", F.lit(END + "\n")).alias("turn"))))
+    spans = F.array_sort(F.collect_list(F.when(F.col("learned"), F.struct("start", (F.col("start") + F.length("body")).alias("end")))))
+    gathered = rows.groupBy("tree_key", "branch").agg(F.first("tree").alias("tree"), turns.alias("turns"), spans.alias("learned"))
+    return gathered.select("tree", "branch", F.array_join(F.col("turns.turn"), "").alias("formatted"), "learned")
 
 
 def read_back(conversations: DataFrame) -> DataFrame:

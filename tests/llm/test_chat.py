@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import time
 
 from pyspark.sql import functions as F
 
@@ -46,6 +47,20 @@ def test_deep_paths(spark):
     assert sorted((r.position, r.text) for r in got) == [(i + 1, str(i)) for i in range(150)]
 
 
+def test_very_long_conversations(spark):
+    """60,000 turns of one conversation; the ranges are those of the texts, in order."""
+    n = 60_000
+    paths = spark.range(n).select(
+        F.lit("t").alias("tree_key"), F.lit(1).alias("branch"), F.lit(1).alias("tree"), (F.col("id") + 1).alias("position"),
+        F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"),
+    )
+    begin = time.perf_counter()
+    row = op.formatted(paths).first()
+    assert time.perf_counter() - begin < 20
+    assert len(row.learned) == n // 2
+    assert [row.formatted[s.start : s.end] for s in row.learned] == [f"text {i}" for i in range(1, n, 2)]
+
+
 def test_mask_covers_the_answers_alone(spark):
     rows = [(1, 0, None, "user", "q", 0.0), (1, 1, 0, "assistant", "a\\b", 0.0)]
     row = op.formatted(op.branches(spark.createDataFrame(rows, SCHEMA))).first()
