@@ -43,8 +43,9 @@ MIN_COUNT, COVER_PERCENT, TOP, SCALE = 30, 80, 2_000, 2_000_000
 #: Bits of a bitmap, at least and at most 2 to the power of these. A frequent phrase takes BYTES_PER_PHRASE of text at least:
 #: MIN_COUNT words of two bytes, each the begin of three phrases that are asked for.
 MIN_BITS, MAX_BITS, BYTES_PER_PHRASE = 6, 27, 20
-#: Bytes of text of a shard whose phrases make one range of hashes, and phrases a task holds before it hands them out.
-RANGE_BYTES, HELD = 4 << 20, 3_000_000
+#: Bytes of text of a shard whose phrases make one range of hashes, phrases a task holds before it hands them out, and bytes of
+#: text whose phrases it puts into words at once.
+RANGE_BYTES, HELD, HELD_BYTES = 4 << 20, 3_000_000, 24 << 20
 LENGTH = U(3)
 STATE = "bucket int, keys binary, counts binary, seen binary, first binary, reached binary, recent long"
 FOUND = "lang string, phrase string, n_words int, f long"
@@ -236,16 +237,35 @@ def _bitmaps(spark: SparkSession, state: DataFrame, bits: int, since: int, all_l
 
 
 def _texts(bits: int, tables: Broadcast) -> Callable:
-    """How often a task has each frequent phrase, as text, and, with no words, how many words it has of each language."""
+    """How often a task has each frequent phrase, as text, and, with no words, how many words it has of each language.
+
+    Phrases are counted by their keys over HELD_BYTES of text; only then is each put into words, once.
+    """
+    def out(held: list[tuple[Chunk, list[str]]], found: list[tuple[np.ndarray, ...]], totals: dict[str, int]) -> pa.RecordBatch:
+        lang, phrase, n_words, f = list(totals), [""] * len(totals), [0] * len(totals), list(totals.values())
+        if found:
+            number = np.repeat(np.arange(len(found)), [len(part[0]) for part in found])
+            key, at, times = (np.concatenate(c) for c in zip(*found, strict=True))
+            order = np.argsort(key)
+            heads = arrays.starts_of_runs(key[order])
+            f += np.add.reduceat(times[order], heads).tolist()
+            sizes = (key[order][heads] & LENGTH).astype(np.int64) + 1
+            for part, i, n in zip(number[order][heads].tolist(), at[order][heads].tolist(), sizes.tolist(), strict=True):
+                chunk, langs = held[part]
+                lang.append(langs[chunk.doc[i]])
+                phrase.append(chunk.text(i, n))
+                n_words.append(n)
+        return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(phrase, pa.string()), pa.array(n_words, pa.int32()), pa.array(f, pa.int64())], names=["lang", "phrase", "n_words", "f"])
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = tables.value[0]
+        held, found, totals, size = [], [], {}, 0
         for batch in batches:
-            counts: dict[tuple[str, str, int], int] = {}
             for first, chunk in _chunks(batch):
                 langs = batch.column("lang").slice(first).to_pylist()
                 for doc, n in zip(*np.unique(chunk.doc, return_counts=True), strict=True):
-                    counts[langs[doc], "", 0] = counts.get((langs[doc], "", 0), 0) + int(n)
-                able = np.ones(len(chunk.words), bool)
+                    totals[langs[doc]] = totals.get(langs[doc], 0) + int(n)
+                able, parts = np.ones(len(chunk.words), bool), []
                 for n in range(1, LONGEST + 1):
                     if n > 1:
                         if len(able) < 2:
@@ -254,13 +274,16 @@ def _texts(bits: int, tables: Broadcast) -> Callable:
                     key = chunk.keys(n)
                     able[able] = _in(table, bits, key[able])
                     at = np.flatnonzero(able)
-                    _, one, times = np.unique(key[at], return_index=True, return_counts=True)
-                    for i, f in zip(at[one].tolist(), times.tolist(), strict=True):
-                        phrase = langs[chunk.doc[i]], chunk.text(i, n), n
-                        counts[phrase] = counts.get(phrase, 0) + f
-            if counts:
-                lang, phrase, n_words = zip(*counts, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(phrase), pa.array(n_words, pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["lang", "phrase", "n_words", "f"])
+                    keys, one, times = np.unique(key[at], return_index=True, return_counts=True)
+                    parts.append((keys, at[one], times))
+                held.append((chunk, langs))
+                found.append(tuple(np.concatenate(c) for c in zip(*parts, strict=True)))
+                size += len(chunk.data)
+                if size > HELD_BYTES:
+                    yield out(held, found, totals)
+                    held, found, totals, size = [], [], {}, 0
+        if held:
+            yield out(held, found, totals)
 
     return find
 
