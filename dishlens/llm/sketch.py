@@ -1,11 +1,15 @@
-"""Count-min sketches of 64-bit keys, made per task, merged by Spark and used to find keys that may occur twice.
-
-A sketch has ``ROWS`` rows of cells that count to 2. A key's estimate is the least of its cells, so it is never under the
-true count: a key that occurs twice is always found, a key that occurs once is found if others fell into all of its cells.
-
-Size: 8 cells a key, at most 2 ** MAX_BITS a row. What goes to every task is one bit a cell, so at most
-ROWS * 2 ** MAX_BITS / 8 = 64 MB whatever the input. Beyond 2 ** MAX_BITS / 8 keys more single keys are found too, which
-costs time in the second pass and changes no result.
+"""A count-min sketch of 64-bit keys kept in parts, made per task, merged by Spark and used to find keys that may occur twice.
+
+The sketch has one row of CELLS cells or more a key, however many keys there are, so it is as good for a large input as for a
+small one.
+Nobody holds it whole: a task hands out the cells its keys fall into, sorted and packed, by part of the row, and a part's lists
+are merged where the part is. A part takes some PART_KEYS keys, whatever the number of tasks. A key's estimate is its cell's
+count, so it is never under the true count: a key that occurs twice is always found, and a key that occurs once is found if
+another one fell into its cell, one in CELLS.
+
+What goes to every task is a bitmap of the cells that count 2 or more only: BITS bits for each, at most 2 ** MAX_BITS (64 MB). Its
+size follows the keys that repeat, not all keys; a single key passes it by chance with one in BITS, and more often beyond
+2 ** MAX_BITS / BITS cells that repeat, which costs time in the second pass and changes no result.
 """
 
 from __future__ import annotations
@@ -16,115 +20,119 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dishlens.llm.arrays import BASE, U, mix
-
-ROWS = 2
-MIN_BITS, MAX_BITS, MAX_MAP_BITS = 16, 28, 27
-#: Cells of a part of a row; parts are merged apart from each other.
-PART_BITS = 20
+from dishlens.llm.arrays import BASE, U, mix, starts_of_runs
+from dishlens.sources.sinks import materialize
+
+#: Cells a key, and bits of the bitmap for each cell that counts twice.
+CELLS, BITS = 512, 32
+#: A size is given as the bits of so many times fewer cells: SIZE cells a key.
+FINER = 6
+SIZE = CELLS >> FINER
+#: Least and most bits of a size, and of a place in the bitmap.
+MIN_SIZE_BITS, MAX_SIZE_BITS, MIN_BITS, MAX_BITS, MAX_MAP_BITS = 16, 56, 22, 29, 27
+#: Keys of a part; up to 2 ** PART_BITS parts, then larger parts up to MOST_KEYS, then more parts again.
+PART_KEYS, PART_BITS, MOST_KEYS = 1 << 20, 12, 1 << 23
 #: Keys a task counts before it hands out what it has.
-KEYS_AT_ONCE = 1_000_000
-#: Tasks' parts are merged in two steps, the first over this many shares of the tasks.
-SHARES = 16
-SCHEMA = "part int, share int, cells binary"
+KEYS_AT_ONCE = 2_000_000
+SCHEMA = "part int, cells binary"
 
 
 def bits_for(keys: float) -> int:
-    """Bits of a cell number for an expected number of keys."""
-    return int(np.clip(np.ceil(np.log2(max(8 * keys, 1))), MIN_BITS, MAX_BITS))
+    """The size for an expected number of keys."""
+    return int(np.clip(np.ceil(np.log2(max(SIZE * keys, 1))), MIN_SIZE_BITS, MAX_SIZE_BITS))
 
 
-def cells_of(keys: np.ndarray, row: int, bits: int) -> np.ndarray:
-    return mix(keys + U((row + 1) * BASE % 2**64)) >> U(64 - bits)
+def part_bits(bits: int) -> int:
+    """Bits of a part's number."""
+    keys = bits - int(np.log2(SIZE))
+    return max(0, min(keys - int(np.log2(PART_KEYS)), PART_BITS), keys - int(np.log2(MOST_KEYS)))
+
+
+def cells_of(keys: np.ndarray, bits: int) -> np.ndarray:
+    return mix(keys + U(BASE)) >> U(64 - FINER - bits)
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Ascending 32-bit numbers, as compressed steps."""
-    return zstandard.compress(np.diff(values, prepend=np.uint32(0)).astype("<u4").tobytes(), 1)
+    """Ascending numbers, as compressed steps, the bytes of one place after another."""
+    steps = np.diff(values, prepend=U(0)).astype("<u8")
+    return zstandard.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
 
 
 def unpack(value: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zstandard.decompress(value), "<u4"), dtype=np.uint32)
+    data = np.frombuffer(zstandard.decompress(value), np.uint8)
+    return np.cumsum(np.ascontiguousarray(data.reshape(8, -1).T).view("<u8").reshape(-1), dtype=U)
 
 
-def _parts(keys: list[np.ndarray], bits: int, share: int) -> Iterator[pa.RecordBatch]:
+def _parts(keys: list[np.ndarray], bits: int, own: int) -> pa.RecordBatch:
     """Cells and whether they count 2 (lowest bit), ascending, one record for each part that has any."""
-    joined = np.concatenate(keys)
-    low = min(PART_BITS, bits)
-    for row in range(ROWS):
-        cells, count = np.unique(cells_of(joined, row, bits), return_counts=True)
-        part = (cells >> U(low)).astype(np.int64)
-        values = ((cells & U((1 << low) - 1)).astype(np.uint32) << np.uint32(1)) | (count > 1)
-        ids, first = np.unique(part, return_index=True)
-        ends = np.append(first[1:], len(part))
-        yield pa.RecordBatch.from_arrays([
-            pa.array((ids + (row << (bits - low))).astype(np.int32)),
-            pa.array(np.full(len(ids), share, np.int32)),
-            pa.array([pack(values[a:b]) for a, b in zip(first, ends, strict=True)], pa.binary()),
-        ], names=["part", "share", "cells"])
-
-
-def _merged(group: pa.Table, low: int) -> np.ndarray:
-    """Cells' counts up to 2; the sum of any number of parts, in any order."""
-    count = np.zeros(1 << low, np.uint8)
-    for value in group.column("cells"):
-        cells = unpack(value.as_buffer().to_pybytes())
-        at = cells >> np.uint32(1)
-        count[at] = np.minimum(count[at] + 1 + (cells & np.uint32(1)).astype(np.uint8), 2)
-    return count
+    cells, count = np.unique(cells_of(np.concatenate(keys), bits), return_counts=True)
+    part = (cells >> U(FINER + bits - own)).astype(np.int32)
+    values = (cells << U(1)) | (count > 1).astype(U)
+    heads = np.append(starts_of_runs(part), len(part))
+    packed = [pack(values[a:b]) for a, b in zip(heads[:-1], heads[1:], strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(part[heads[:-1]]), pa.array(packed, pa.binary())], names=["part", "cells"])
+
+
+def _repeated(group: pa.Table) -> pa.Table:
+    """The cells of a part that count 2 or more over all tasks."""
+    values = np.concatenate([unpack(v.as_buffer().to_pybytes()) for v in group.column("cells")])
+    values.sort()
+    cells = values >> U(1)
+    heads = starts_of_runs(cells)
+    more = np.diff(np.append(heads, len(cells))) > 1
+    more |= (values[np.append(heads[1:], len(cells)) - 1] & U(1)) > 0
+    found = cells[heads[more]]
+    return pa.table({"part": group.column("part")[:1], "n": pa.array([len(found)], pa.int64()), "cells": pa.array([pack(found)], pa.binary())})
 
 
 def repeated_keys(texts: DataFrame, keys: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int) -> Broadcast:
-    """One bit for each cell that counts 2 or more, over the keys that ``keys`` finds in the batches of ``texts``."""
-    spark, low = texts.sparkSession, min(PART_BITS, bits)
+    """A bitmap of the cells that count 2 or more, over the keys that ``keys`` finds in the batches of ``texts``."""
+    own = part_bits(bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        share, held, n = 0, [], 0
+        held, n = [], 0
         for batch in batches:
             for found in keys(batch):
                 held.append(found)
                 n += len(found)
                 if n >= KEYS_AT_ONCE:
-                    yield from _parts(held, bits, share % SHARES)
-                    share, held, n = share + 1, [], 0
+                    yield _parts(held, bits, own)
+                    held, n = [], 0
         if n:
-            yield from _parts(held, bits, int(held[0][0] % U(SHARES)))
+            yield _parts(held, bits, own)
 
-    def fold(group: pa.Table) -> pa.Table:
-        total = _merged(group, low)
-        at = np.flatnonzero(total).astype(np.uint32)
-        cells = (at << np.uint32(1)) | (total[at] > 1)
-        return pa.table({"part": group.column("part")[:1], "share": pa.array([0], pa.int32()), "cells": pa.array([pack(cells)], pa.binary())})
+    parts = texts.mapInArrow(count, SCHEMA).groupBy("part").applyInArrow(_repeated, "part int, n long, cells binary")
+    return spread(materialize(parts, "sketch"), bits, own)
 
-    def many(group: pa.Table) -> pa.Table:
-        total = np.packbits(_merged(group, low) > 1, bitorder="little")
-        return pa.table({"part": group.column("part")[:1], "bits": pa.array([total.tobytes()], pa.binary())})
 
-    parts = texts.mapInArrow(count, SCHEMA)
-    merged = parts.groupBy("part", "share").applyInArrow(fold, SCHEMA).groupBy("part").applyInArrow(many, "part int, bits binary")
-    return spread(spark, merged, bits)
+def spread(repeated: DataFrame, bits: int, own: int) -> Broadcast:
+    """The cells as a bitmap, of the size given above, to every task; a part is a stretch of it."""
+    n = repeated.agg(F.sum("n")).first()[0] or 0
+    width = int(np.clip(np.ceil(np.log2(max(BITS * n, 1))), max(MIN_BITS, own + 3), max(MAX_BITS, own + 3)))
+    width = min(width, bits + FINER)
+    stretch = 1 << (width - own)
 
+    def flags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, value in zip(batch.column("part").to_pylist(), batch.column("cells"), strict=True):
+                one = np.zeros(stretch, bool)
+                one[((unpack(value.as_buffer().to_pybytes()) >> U(FINER + bits - width)) & U(stretch - 1)).astype(np.int64)] = True
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(one, bitorder="little").tobytes()], pa.binary())], names=["part", "bits"])
 
-def spread(spark: SparkSession, merged: DataFrame, bits: int) -> Broadcast:
-    """The merged bits, of the size given above, to every task."""
-    low = min(PART_BITS, bits)
-    size = max(1, (1 << low) // 8)
-    table = np.zeros((ROWS << (bits - low), size), np.uint8)
-    for row in merged.select("part", "bits").collect():
+    table = np.zeros((1 << own, stretch // 8), np.uint8)
+    for row in repeated.where("n > 0").select("part", "cells").mapInArrow(flags, "part int, bits binary").toLocalIterator():
         table[row["part"]] = np.frombuffer(row["bits"], np.uint8)
-    return spark.sparkContext.broadcast(table.reshape(ROWS, -1))
+    return repeated.sparkSession.sparkContext.broadcast(table.reshape(-1))
 
 
 def may_repeat(table: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
-    """Whether a key's estimate is 2 or more."""
-    found = np.ones(len(keys), bool)
-    for row in range(ROWS):
-        cells = cells_of(keys, row, bits)
-        found &= (table[row][(cells >> U(3)).astype(np.int64)] >> (cells & U(7)).astype(np.uint8)) & 1 > 0
-    return found
+    """Whether a key's estimate may be 2 or more."""
+    width = (len(table) * 8).bit_length() - 1
+    slot = cells_of(keys, bits) >> U(FINER + bits - width)
+    return (table[(slot >> U(3)).astype(np.int64)] >> (slot & U(7)).astype(np.uint8)) & 1 > 0
 
 
 def bitmap(df: DataFrame, column: str) -> tuple[int, Broadcast]:

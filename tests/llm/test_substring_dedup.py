@@ -63,6 +63,33 @@ def test_sketch_never_misses_a_repeated_key(spark):
         assert hits[500:].mean() < (0.2 if bits == 16 else 0.001)
 
 
+def test_sketch_grows_with_the_keys(spark, monkeypatch):
+    """Many more keys than the bitmap has room for: what passes follows the keys that repeat, in parts of any size."""
+    rng = np.random.default_rng(2)
+    n = 120_000
+    keys = rng.integers(0, 2**63, n).astype(np.uint64)
+    monkeypatch.setattr(sketch, "MIN_BITS", 6)
+    monkeypatch.setattr(sketch, "MAX_BITS", 12)  # 4,096 places for 30 times the keys
+    rows = spark.createDataFrame([(int(k),) for k in np.concatenate([keys, keys[:50]])], "key long").repartition(9)
+
+    def found(batch):
+        yield batch.column(0).to_numpy().view(np.uint64)
+
+    for part_keys in (1 << 20, 1 << 12):
+        monkeypatch.setattr(sketch, "PART_KEYS", part_keys)
+        bits = sketch.bits_for(n)
+        table = sketch.repeated_keys(rows, found, bits).value
+        assert len(table) * 8 <= 1 << max(12, sketch.part_bits(bits) + 3)
+        hits = sketch.may_repeat(table, keys, bits)
+        assert hits[:50].all() and hits[50:].mean() < 0.05
+
+
+def test_parts_do_not_grow_with_the_keys():
+    for keys in (10, 10**6, 10**9, 10**12):
+        bits = sketch.bits_for(keys)
+        assert keys / 2 ** sketch.part_bits(bits) <= 2 * sketch.MOST_KEYS
+
+
 def test_bitmap_names_all_values(spark):
     bits, table = sketch.bitmap(spark.range(1_000), "id")
     assert sketch.in_bitmap(table.value, np.arange(1_000), bits).all()
