@@ -3,16 +3,24 @@
 Rows are put in the order of a 32-bit hash of their key. The hash range is cut into chunks of about ``CHUNK_ROWS`` rows;
 a small table of chunk counts gives every chunk its offset, and rows are only numbered inside their chunk. The numbers
 depend on the keys alone: not on the chunk size, the partitioning or a retry.
+
+Where only some numbers are wanted, a ``Directory`` of much smaller chunks answers which chunk holds a number, and only rows
+of such chunks are shuffled and numbered.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dishlens.functions.hashing import HASH_BITS, hash32
+from dishlens.sources.sinks import materialize
 
 CHUNK_ROWS = 500_000
+#: Rows of a directory's chunk, about; and its chunks that are added up together.
+DIRECTORY_ROWS, SUPER_BITS = 1_024, 10
 MAX_BROADCAST_IDS = 1_000_000
 
 
@@ -81,3 +89,57 @@ def exact_sample(
     chosen = with_ordinal(df.select(id_col), [id_col], hash_text=text, chunks=chunks, chunk_rows=chunk_rows, out_col="_o", below=n)
     chosen = chosen.select(id_col)
     return df.join(F.broadcast(chosen) if n <= MAX_BROADCAST_IDS else chosen, id_col, "left_semi")
+
+
+@dataclass(frozen=True)
+class Directory:
+    """Rows by chunk of their hash, and the first number and size of each chunk (``_chunk, _first, _n``, by group)."""
+
+    rows: DataFrame
+    chunks: DataFrame
+    id_cols: list[str]
+    group_cols: list[str]
+
+    def sizes(self) -> DataFrame:
+        """``size`` of each group; one row if there are no groups."""
+        return self.chunks.groupBy(*self.group_cols).agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("size"))
+
+    def pick(self, wanted: DataFrame, at_most: int) -> DataFrame:
+        """The rows behind the numbers of ``wanted`` (group columns, ``ordinal`` and whatever else), of which there are ``at_most``.
+
+        A number is found by its page: a chunk lies on few pages of DIRECTORY_ROWS numbers, and a page has as many chunks at most.
+        """
+        page = lambda c: F.floor(c / DIRECTORY_ROWS).cast("bigint")
+        by = [*self.group_cols, "_page"]
+        pages = self.chunks.withColumn("_page", F.explode(F.sequence(page(F.col("_first")), page(F.col("_first") + F.col("_n") - 1))))
+        asked = wanted.withColumn("_page", page(F.col("ordinal")))
+        small = at_most <= MAX_BROADCAST_IDS
+        found = pages.join(F.broadcast(asked) if small else asked, by).where("ordinal >= _first AND ordinal < _first + _n")
+        found = materialize(found.withColumn("_local", F.col("ordinal") - F.col("_first") + 1).drop("_page", "_n", "_first"), "wanted")
+        place = [*self.group_cols, "_chunk"]
+        chunks = found.select(*place).distinct()
+        near = self.rows.join(F.broadcast(chunks) if small else chunks, place, "left_semi")
+        local = F.row_number().over(Window.partitionBy(*place).orderBy("_h", *self.id_cols)).cast("bigint")
+        numbered = near.withColumn("_local", local)
+        return numbered.join(F.broadcast(found) if small else found, [*place, "_local"]).drop("_h", "_chunk", "_local")
+
+
+def directory(df: DataFrame, id_cols: list[str], group_cols: list[str] | None = None, rows: int | None = None, chunk_rows: int = DIRECTORY_ROWS) -> Directory:
+    """Number the rows as ``with_ordinal`` does, without doing it: what is shuffled and written is one row a chunk.
+
+    ``rows`` is about how many rows the largest group has at most; they are counted if it is not given.
+    """
+    group_cols = group_cols or []
+    count = df.count() if rows is None else rows
+    bits = min(HASH_BITS - 1, max(0, (max(1, count) // chunk_rows).bit_length()))
+    chunked = df.withColumn("_h", hash32(F.concat_ws(":", *[F.col(c).cast("string") for c in id_cols])))
+    chunked = chunked.withColumn("_chunk", F.shiftright("_h", HASH_BITS - bits).cast("int"))
+    counts = chunked.groupBy(*group_cols, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.withColumn("_super", F.shiftright("_chunk", SUPER_BITS))
+    before = lambda by, order: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    sums = counts.groupBy(*group_cols, "_super").agg(F.sum("_n").alias("_sum"))
+    sums = sums.withColumn("_base", F.coalesce(F.sum("_sum").over(before(group_cols or [F.lit(0)], "_super")), F.lit(0))).drop("_sum")
+    within = F.coalesce(F.sum("_n").over(before([*group_cols, "_super"], "_chunk")), F.lit(0))
+    chunks = counts.withColumn("_within", within).join(sums, [*group_cols, "_super"])
+    chunks = chunks.select(*group_cols, "_chunk", (F.col("_base") + F.col("_within")).alias("_first"), "_n")
+    return Directory(chunked, materialize(chunks, "directory"), id_cols, group_cols)

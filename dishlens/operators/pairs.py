@@ -1,8 +1,9 @@
 """Contrastive training pairs, mined with seeded draws.
 
 Instead of a loop that picks and rejects, the picks are a table: ``j = 0 .. attempts-1`` with a position drawn for each
-slot. Positions are equi-joined with dense row numbers, rejected picks drop out, and the lowest ``j`` fill the quota. The
-work follows the number of reviews and of draws, never the number of possible pairs, and no group is gathered in a task.
+slot. A directory of the groups' chunks says where a position lies, and only rows of chunks that were drawn are shuffled and
+numbered; rejected picks drop out, and the lowest ``j`` fill the quota. The work follows the number of reviews (one scan) and
+of draws, never the number of possible pairs, and no group is gathered in a task.
 
 All functions read a processed review table (``review_id, review_text, star_rating``, tags, ``search_text``) more than
 once; give them a written table.
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from dishlens.functions.hashing import draw
 from dishlens.operators.metrics import facet_members
-from dishlens.operators.ordinals import CHUNK_ROWS, with_ordinal
+from dishlens.operators.ordinals import DIRECTORY_ROWS, directory, with_ordinal
 from dishlens.operators.query_match import draw_matches
 from dishlens.sources.sinks import materialize
 
@@ -116,44 +117,41 @@ def query_pairs(reviews: DataFrame, queries: DataFrame, num_pairs: int, seed: in
     )
 
 
-def similar_pairs(reviews: DataFrame, num_pairs: int, seed: int = 42, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def similar_pairs(reviews: DataFrame, num_pairs: int, seed: int = 42, chunk_rows: int = DIRECTORY_ROWS) -> DataFrame:
     """Two different reviews with a tag in common: first a tag, all equally likely, then two of its reviews."""
     want, spark = quota("similar", num_pairs), reviews.sparkSession
-    members = facet_members(reviews)
-    sizes = members.groupBy("facet", "value").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= 2)
+    members = directory(facet_members(reviews), ["review_id"], ["facet", "value"], rows=reviews.count(), chunk_rows=chunk_rows)
+    sizes = materialize(members.sizes().where(F.col("size") >= 2), "sizes")
     groups = with_ordinal(sizes, ["facet", "value"], out_col="group_ord")
     picks = _draws(spark, want).select("j", draw(seed, "similar", F.col("j"), "group", _count(sizes)).alias("group_ord"))
     p1, p2 = _two_distinct(seed, "similar", F.col("size"))
     drawn = picks.join(groups, "group_ord").select("j", "facet", "value", p1.alias("p1"), p2.alias("p2"))
-    numbered = with_ordinal(members, ["review_id"], ["facet", "value"], chunk_rows=chunk_rows)
-    found = numbered.join(_small(_ends(drawn, ["facet", "value"]), 2 * want), ["facet", "value", "ordinal"])
+    found = members.pick(_ends(drawn, ["facet", "value"]), 2 * want)
     return _with_texts(_sides(found, ["review_id"]), reviews, "similar", want)
 
 
-def rating_pairs(reviews: DataFrame, num_pairs: int, seed: int = 42, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def rating_pairs(reviews: DataFrame, num_pairs: int, seed: int = 42, chunk_rows: int = DIRECTORY_ROWS) -> DataFrame:
     """Two different well-rated reviews that share a food type."""
     want, spark = quota("rating", num_pairs), reviews.sparkSession
     attempts = want * ATTEMPTS["rating"]
     high = reviews.where(F.coalesce("star_rating", F.lit(0)) >= HIGH_RATING).select("review_id", "food_type")
-    n = _count(high)
+    high = directory(high, ["review_id"], rows=reviews.count(), chunk_rows=chunk_rows)
+    n = high.sizes().select("size").scalar()
     picks = _draws(spark, attempts).select(
         "j", draw(seed, "rating", F.col("j"), "first", n).alias("p1"), draw(seed, "rating", F.col("j"), "second", n).alias("p2")
     )
     different = picks.where(F.col("p1") != F.col("p2"))
-    numbered = with_ordinal(high, ["review_id"], chunk_rows=chunk_rows)
-    found = numbered.join(_small(_ends(different, []), 2 * attempts), "ordinal")
-    both = _sides(found, ["review_id", "food_type"])
+    both = _sides(high.pick(_ends(different, []), 2 * attempts), ["review_id", "food_type"])
     kept = both.where(F.arrays_overlap("left_food_type", "right_food_type")).orderBy("j").limit(want)
     return _with_texts(kept, reviews, "rating", want)
 
 
-def fill_pairs(reviews: DataFrame, mined: DataFrame, num_pairs: int, seed: int = 42, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def fill_pairs(reviews: DataFrame, mined: DataFrame, num_pairs: int, seed: int = 42, chunk_rows: int = DIRECTORY_ROWS) -> DataFrame:
     """Random pairs of different reviews, as many as ``mined`` falls short of ``num_pairs``."""
-    ids = reviews.select("review_id")
-    p1, p2 = _two_distinct(seed, "fill", _count(ids))
+    ids = directory(reviews.select("review_id"), ["review_id"], chunk_rows=chunk_rows)
+    p1, p2 = _two_distinct(seed, "fill", ids.sizes().select("size").scalar())
     drawn = _draws(reviews.sparkSession, num_pairs).where(F.col("j") < num_pairs - _count(mined)).select("j", p1.alias("p1"), p2.alias("p2"))
-    numbered = with_ordinal(ids, ["review_id"], chunk_rows=chunk_rows)
-    found = numbered.join(_small(_ends(drawn, []), 2 * num_pairs), "ordinal")
+    found = ids.pick(_ends(drawn, []), 2 * num_pairs)
     return _with_texts(_sides(found, ["review_id"]), reviews, "fill", num_pairs)
 
 
@@ -168,8 +166,9 @@ def batches(pairs: DataFrame, batch_size: int = 16) -> DataFrame:
 
 
 def batch_plan(pairs: DataFrame, batch_size: int = 16, epochs: int = 3) -> DataFrame:
-    """Size of every batch, with the number of steps a training run of ``epochs`` takes."""
-    steps = F.ceil(_count(pairs) / F.lit(batch_size)) * epochs
-    return batches(pairs, batch_size).groupBy("batch").agg(F.count(F.lit(1)).alias("n_pairs")).withColumn("total_steps", steps)
+    """Size of every batch, with the number of steps a training run of ``epochs`` takes; the pairs are read once."""
+    sizes = materialize(batches(pairs, batch_size).groupBy("batch").agg(F.count(F.lit(1)).alias("n_pairs")), "batches")
+    steps = F.ceil(sizes.agg(F.sum("n_pairs")).scalar() / F.lit(batch_size)) * epochs
+    return sizes.withColumn("total_steps", steps)
 
 

@@ -1,13 +1,18 @@
 """Which reviews contain a term of a query, counted or drawn from, without listing (query, review) pairs.
 
-Queries in a checked size travel with the tasks as one automaton over their distinct terms, each term with a bit per
-query; a review's queries are the union of the bits of its terms. Counts and draws are combined inside the task, so one
-row per query or draw leaves it. Larger query tables are worked off in blocks, one scan each.
+A task takes a few hundred reviews at a time. One pass of an automaton over the distinct terms makes a bitmap of reviews for
+each term that occurs; a query is the union of its terms' bitmaps, so its matches are counted as bits, and a draw takes the
+least of its order under the bitmap. Work follows the terms that occur, not the length of the query list: nothing is as long
+as that list for each review. Counts and draws are combined inside the task, so one row per query or draw leaves it.
+
+The query list travels with the tasks as distinct terms and numbers, up to ``MAX_BLOCK_BYTES`` (some hundred thousand queries
+at one scan). A longer list is cut into blocks of at most that size, one scan each.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,94 +23,102 @@ from pyspark.sql import functions as F
 from dishlens.functions import text as tx
 from dishlens.functions.hashing import draw, hash32
 
-MAX_QUERIES = 65_536
-MAX_BIT_BYTES = 256 << 20
-BLOCK_QUERIES = 4_096
+MAX_BLOCK_BYTES = 64 << 20
 MAX_BLOCK_DRAWS = 200_000
+#: What a query and each of its terms take besides the term's text.
+QUERY_BYTES, TERM_BYTES = 16, 12
+#: Reviews whose bitmaps are made at once, places of queries' terms and draws worked on at once.
+BITMAP_ROWS, STEP_PLACES, STEP_DRAWS = 512, 1 << 18, 512
 PRIME = 2_147_483_647
 
 
-class TermBits:
-    """Distinct terms of some queries, and for every term which queries have it."""
+class QueryTerms:
+    """Some queries as numbers of distinct terms: ``places[begin[q] : begin[q + 1]]`` are those of query ``q``."""
 
-    def __init__(self, rows: list[tuple[int, list[str]]]):
-        self.query_ids = np.array([q for q, _ in rows], dtype="int64")
-        self.terms = sorted({t for _, ts in rows for t in ts})
-        self.bit_bytes = len(self.terms) * (len(rows) + 7) // 8
-        self.rows = rows
+    def __init__(self, table: pa.Table):
+        table = table.sort_by("query_id").combine_chunks()
+        lists = table["terms"].combine_chunks()
+        coded = pc.dictionary_encode(lists.flatten())
+        self.query_ids = table["query_id"].to_numpy().astype("int64")
+        self.terms = coded.dictionary.to_pylist()
+        self.places = coded.indices.to_numpy().astype("int64")
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        self.owner = np.repeat(np.arange(len(sizes)), sizes)
 
-    def compile(self) -> Callable[[str], np.ndarray]:
-        """A function from a lower-cased text to one flag per query."""
+    def compile(self) -> Callable[[list[str | None]], tuple[np.ndarray, np.ndarray]]:
+        """A function from lower-cased texts to the queries that match any, and a bitmap of texts for each of them."""
         import ahocorasick
 
-        at = {t: i for i, t in enumerate(self.terms)}
-        n = len(self.rows)
-        bits = np.zeros((len(self.terms), (n + 7) // 8), dtype="uint8")
-        for q, (_, ts) in enumerate(self.rows):
-            for t in ts:
-                bits[at[t], q // 8] |= 128 >> (q % 8)
         automaton = ahocorasick.Automaton()
-        for t, i in at.items():
-            automaton.add_word(t, i)
-        if at:
+        for i, term in enumerate(self.terms):
+            automaton.add_word(term, i)
+        if self.terms:
             automaton.make_automaton()
-        nothing = np.zeros(n, dtype=bool)
-
-        def flags(text: str | None) -> np.ndarray:
-            found = {i for _, i in automaton.iter(text)} if text and at else ()
-            if not found:
-                return nothing
-            union = np.bitwise_or.reduce(bits[np.fromiter(found, dtype="int64")], axis=0)
-            return np.unpackbits(union, count=n).astype(bool)
-
-        return flags
-
-
-def _fetch(queries: DataFrame, most: int) -> TermBits | None:
-    head = queries.select("query_id", tx.query_terms("query").alias("terms")).limit(most + 1).collect()
-    return TermBits([(r.query_id, r.terms) for r in sorted(head, key=lambda r: r.query_id)]) if len(head) <= most else None
-
-
-def term_blocks(queries: DataFrame, max_queries: int = MAX_QUERIES, block_queries: int = BLOCK_QUERIES) -> Iterator[TermBits]:
-    """All queries as one block if that is small enough, else block by block."""
-    whole = _fetch(queries, max_queries)
-    if whole is not None and whole.bit_bytes <= MAX_BIT_BYTES:
-        yield whole
-        return
-    blocks = -(-queries.count() * 2 // block_queries)
+        slot = np.zeros(len(self.terms), "int64")
+
+        def match(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+            found = [{i for _, i in automaton.iter(text)} if text and self.terms else () for text in texts]
+            row = np.repeat(np.arange(len(texts)), [len(f) for f in found])
+            terms, at = np.unique(np.fromiter((i for f in found for i in f), "int64", len(row)), return_inverse=True)
+            words = -(-len(texts) // 64)
+            flags = np.zeros((len(terms), words * 64), bool)
+            flags[at, row] = True
+            bitmaps = np.packbits(flags, axis=1, bitorder="little").view("uint64")
+            slot[terms] = np.arange(len(terms)) + 1
+            queries, unions = [], []
+            for k in range(0, len(self.places), STEP_PLACES):
+                # a query whose terms fall into two steps comes in both, and is put together below
+                mine = slot[self.places[k : k + STEP_PLACES]]
+                some = np.flatnonzero(mine)
+                if len(some):
+                    owner = self.owner[k + some]
+                    heads = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+                    queries.append(owner[heads])
+                    unions.append(np.bitwise_or.reduceat(bitmaps[mine[some] - 1], heads, axis=0))
+            slot[terms] = 0
+            if not queries:
+                return np.zeros(0, "int64"), np.zeros((0, words), "uint64")
+            query, union = np.concatenate(queries), np.concatenate(unions)
+            heads = np.flatnonzero(np.append(True, query[1:] != query[:-1]))
+            return query[heads], np.bitwise_or.reduceat(union, heads, axis=0)
+
+        return match
+
+
+def term_blocks(queries: DataFrame, max_bytes: int = MAX_BLOCK_BYTES) -> Iterator[QueryTerms]:
+    """All queries as one block if they are within the bound, else block by block."""
+    rows = queries.select(F.col("query_id").cast("bigint").alias("query_id"), tx.query_terms("query").alias("terms"))
+    rows = rows.where(F.size("terms") > 0)
+    weight = QUERY_BYTES + F.aggregate("terms", F.lit(0).cast("bigint"), lambda a, t: a + F.octet_length(t) + TERM_BYTES)
+    blocks = 1 + int(rows.agg(F.sum(weight)).first()[0] or 0) * 2 // max_bytes
+    number = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    fits = rows.groupBy(number.alias("block")).agg(F.sum(weight).alias("weight")).agg(F.max("weight")).first()[0] or 0
+    if blocks > 1 and fits > 2 * max_bytes:
+        raise ValueError("query ids are not unique, or a query is very long")
     for b in range(blocks):
-        part = _fetch(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b), block_queries)
-        if part is None:
-            raise ValueError("query ids are not unique")
-        yield part
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.union(part)
-    return out
+        yield QueryTerms((rows.where(number == b) if blocks > 1 else rows).toArrow())
 
 
-def match_counts(reviews: DataFrame, queries: DataFrame, max_queries: int = MAX_QUERIES, block_queries: int = BLOCK_QUERIES) -> DataFrame:
+def match_counts(reviews: DataFrame, queries: DataFrame, max_bytes: int = MAX_BLOCK_BYTES) -> DataFrame:
     """``query_id, n_matches`` for queries with at least one matching review."""
     lowered = reviews.select(F.lower("review_text").alias("lowered"))
-    parts = [_count_block(lowered, block) for block in term_blocks(queries, max_queries, block_queries)]
-    return _union(parts).groupBy("query_id").agg(F.sum("n").alias("n_matches"))
+    parts = [_count_block(lowered, block) for block in term_blocks(queries, max_bytes)]
+    return reduce(DataFrame.union, parts).groupBy("query_id").agg(F.sum("n").alias("n_matches"))
 
 
-def _count_block(lowered: DataFrame, block: TermBits) -> DataFrame:
+def _count_block(lowered: DataFrame, block: QueryTerms) -> DataFrame:
     shared = lowered.sparkSession.sparkContext.broadcast(block)
     out_schema = pa.schema([("query_id", pa.int64()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
-        flags, totals = bits.compile(), np.zeros(len(bits.rows), dtype="int64")
+        terms = shared.value
+        match, totals = terms.compile(), np.zeros(len(terms.query_ids), "int64")
         for batch in batches:
-            for text in batch["lowered"].to_pylist():
-                totals += flags(text)
+            for k in range(0, batch.num_rows, BITMAP_ROWS):
+                query, bitmaps = match(batch["lowered"].slice(k, BITMAP_ROWS).to_pylist())
+                totals[query] += np.bitwise_count(bitmaps).sum(axis=1, dtype="int64")
         some = totals > 0
-        yield pa.RecordBatch.from_arrays([pa.array(bits.query_ids[some]), pa.array(totals[some])], schema=out_schema)
+        yield pa.RecordBatch.from_arrays([pa.array(terms.query_ids[some]), pa.array(totals[some])], schema=out_schema)
 
     return lowered.mapInArrow(count, "query_id bigint, n bigint")
 
@@ -119,47 +132,58 @@ def draw_factors(seed: int, strategy: str, j: Column) -> tuple[Column, Column]:
 
 
 def draw_matches(
-    reviews: DataFrame, queries: DataFrame, draws: DataFrame, seed: int, strategy: str, max_queries: int = MAX_QUERIES, block_queries: int = BLOCK_QUERIES
+    reviews: DataFrame, queries: DataFrame, draws: DataFrame, seed: int, strategy: str, max_bytes: int = MAX_BLOCK_BYTES, max_draws: int = MAX_BLOCK_DRAWS
 ) -> DataFrame:
     """``j, review_id``: for each draw ``j, query_id`` one matching review, each of them equally likely.
 
     A draw puts the reviews in an order of its own, ``(factor * h(review) + offset) mod p``, and takes the first that
     matches: the least value over all matching reviews, which combines like any minimum. Draws whose query matches no
-    review give no row. ``draws`` is read once per block and should be cheap to read.
+    review give no row. Draws are collected once, ``max_draws`` at a time; only the queries that are drawn travel.
     """
     factor, offset = draw_factors(seed, strategy, F.col("j"))
     draws = draws.select("j", "query_id", factor.alias("a"), offset.alias("b"))
     point = F.pmod(hash32(F.col("review_id").cast("string")), F.lit(PRIME)).alias("x")
     scanned = reviews.select(F.col("review_id").cast("bigint").alias("review_id"), point, F.lower("review_text").alias("lowered"))
-    rounds = max(1, -(-draws.count() * 2 // MAX_BLOCK_DRAWS)) if draws.limit(MAX_BLOCK_DRAWS + 1).count() > MAX_BLOCK_DRAWS else 1
+    rounds = 1 + draws.count() * 2 // max_draws
     parts = []
     for r in range(rounds):
-        some = draws.where(F.pmod("j", F.lit(rounds)) == r) if rounds > 1 else draws
+        some = draws.where(F.pmod(F.xxhash64("j"), F.lit(rounds)) == r) if rounds > 1 else draws
+        table = some.toArrow()
         wanted = queries.join(some.select("query_id").distinct(), "query_id", "left_semi")
-        for block in term_blocks(wanted, max_queries, block_queries):
-            table = some.toArrow()
+        for block in term_blocks(wanted, max_bytes):
             parts.append(_pick_block(scanned, block, table.filter(pc.is_in(table["query_id"], pa.array(block.query_ids)))))
-    best = _union(parts).groupBy("j").agg(F.min(F.struct("h", "review_id")).alias("m"))
+    best = reduce(DataFrame.union, parts).groupBy("j").agg(F.min(F.struct("h", "review_id")).alias("m"))
     return best.select("j", F.col("m.review_id").alias("review_id"))
 
 
-def _pick_block(scanned: DataFrame, block: TermBits, draws: pa.Table) -> DataFrame:
-    shared = scanned.sparkSession.sparkContext.broadcast((block, draws))
+def _pick_block(scanned: DataFrame, block: QueryTerms, draws: pa.Table) -> DataFrame:
+    shared = scanned.sparkSession.sparkContext.broadcast((block, draws.sort_by("query_id")))
     out_schema = pa.schema([("j", pa.int64()), ("h", pa.int64()), ("review_id", pa.int64())])
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, table = shared.value
-        flags = bits.compile()
+        terms, table = shared.value
+        match = terms.compile()
         j, a, b, q = (table[c].to_numpy() for c in ("j", "a", "b", "query_id"))
-        at = np.searchsorted(bits.query_ids, q)
+        begin = np.searchsorted(q, terms.query_ids)
+        n_draws = np.searchsorted(q, terms.query_ids, side="right") - begin
         least, chosen = np.full(len(j), PRIME, dtype="int64"), np.full(len(j), -1, dtype="int64")
         for batch in batches:
-            rows = zip(batch["review_id"].to_pylist(), batch["x"].to_pylist(), batch["lowered"].to_pylist())
-            for review_id, x, text in rows:
-                wanted = np.nonzero(flags(text)[at])[0]
-                h = (a[wanted] * x + b[wanted]) % PRIME
-                better = (h < least[wanted]) | ((h == least[wanted]) & (review_id < chosen[wanted]))
-                least[wanted[better]], chosen[wanted[better]] = h[better], review_id
+            for k in range(0, batch.num_rows, BITMAP_ROWS):
+                part = batch.slice(k, BITMAP_ROWS)
+                part = part.take(pc.sort_indices(part["review_id"]))  # equal values go to the least id
+                review_id, x = part["review_id"].to_numpy(), part["x"].to_numpy()
+                query, bitmaps = match(part["lowered"].to_pylist())
+                n = n_draws[query]
+                at = np.repeat(begin[query] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+                of = np.repeat(np.arange(len(query)), n)
+                for s in range(0, len(at), STEP_DRAWS):
+                    mine, own = at[s : s + STEP_DRAWS], of[s : s + STEP_DRAWS]
+                    able = np.unpackbits(bitmaps[own].view("uint8"), axis=1, count=len(x), bitorder="little").view(bool)
+                    h = np.where(able, (a[mine, None] * x[None, :] + b[mine, None]) % PRIME, PRIME)
+                    first = np.argmin(h, axis=1)
+                    value, row = h[np.arange(len(mine)), first], review_id[first]
+                    better = (value < least[mine]) | ((value == least[mine]) & (value < PRIME) & (row < chosen[mine]))
+                    least[mine[better]], chosen[mine[better]] = value[better], row[better]
         some = least < PRIME
         yield pa.RecordBatch.from_arrays([pa.array(j[some]), pa.array(least[some]), pa.array(chosen[some])], schema=out_schema)
 

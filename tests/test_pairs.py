@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from dishlens.operators import pairs as pr
 from dishlens.operators.encode import Space, encode
 from dishlens.operators.loss import in_batch_loss
+from dishlens.operators.ordinals import directory, with_ordinal
 from dishlens.operators.query_match import draw_matches, match_counts
 from dishlens.plans.training import training_pairs
 
@@ -65,12 +66,32 @@ def test_counts_equal_brute_force_in_one_or_many_blocks(spark, table, queries):
         if n:
             want[r.query_id] = n
     assert dict(rows(match_counts(table, numbered))) == want
-    assert dict(rows(match_counts(table, numbered, max_queries=2, block_queries=4))) == want
+    assert dict(rows(match_counts(table, numbered, max_bytes=64))) == want
     draws = numbered.select("query_id", F.explode(F.sequence(F.lit(0), F.lit(49))).alias("n")).select(
         (F.col("n") * 1000 + F.col("query_id")).alias("j"), "query_id"
     )
     whole = rows(draw_matches(table, numbered, draws, 5, "query"))
-    assert whole == rows(draw_matches(table, numbered, draws, 5, "query", max_queries=2, block_queries=4)) and whole
+    assert whole == rows(draw_matches(table, numbered, draws, 5, "query", max_bytes=64, max_draws=60)) and whole
+
+
+def test_more_queries_than_a_list_of_flags_would_take(spark, table):
+    """70,000 queries at one scan, of which every tenth matches."""
+    many = spark.range(70_000).select(F.col("id").alias("query_id"), F.when(F.col("id") % 10 == 0, F.lit("steak tea")).otherwise(F.concat(F.lit("none"), F.col("id").cast("string"))).alias("query"))
+    counts = match_counts(table, many)
+    matching = table.where("review_text LIKE '%steak%' OR review_text LIKE '%tea%'").count()
+    found = counts.agg(F.count("*").alias("n"), F.min("n_matches").alias("lo"), F.max("n_matches").alias("hi")).first()
+    assert (found.n, found.lo, found.hi) == (7_000, matching, matching)
+
+
+def test_steps_of_places_rows_and_draws_change_nothing(spark, table, queries, monkeypatch):
+    from dishlens.operators import query_match as qm
+
+    numbered = queries.withColumn("query_id", F.length("query").cast("bigint") * 10 + F.ascii("query"))
+    draws = numbered.select("query_id", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("n")).select((F.col("n") * 1000 + F.col("query_id")).alias("j"), "query_id")
+    want = rows(match_counts(table, numbered)), rows(draw_matches(table, numbered, draws, 5, "query"))
+    for name in ("STEP_PLACES", "STEP_DRAWS", "BITMAP_ROWS"):
+        monkeypatch.setattr(qm, name, 3)
+    assert (rows(match_counts(table, numbered)), rows(draw_matches(table, numbered, draws, 5, "query"))) == want
 
 
 def test_similar_pairs(table):
@@ -98,6 +119,22 @@ def test_chunks_and_partitions_do_not_matter(table):
     assert rows(pr.similar_pairs(table, 50, seed=1)) != want
 
 
+def test_only_chunks_that_were_drawn_are_numbered(spark):
+    """A directory finds the numbers that numbering all rows gives, and drops rows of other chunks before the shuffle."""
+    df = spark.range(5_000).select(F.col("id"), F.when(F.col("id") % 3 == 0, "a").otherwise(F.concat(F.lit("g"), (F.col("id") % 400).cast("string"))).alias("grp"))
+    every = {(r.grp, r.ordinal): r.id for r in with_ordinal(df, ["id"], ["grp"]).collect()}
+    wanted = spark.createDataFrame([("a", 0), ("a", 1_666), ("a", 700), ("a", 9_999), ("g1", 0), ("g1", 5), ("none", 0)], "grp string, ordinal long")
+    for chunk_rows in (1, 16, 1_000):
+        found = directory(df, ["id"], ["grp"], chunk_rows=chunk_rows)
+        got = {(r.grp, r.ordinal): r.id for r in found.pick(wanted, 7).collect()}
+        assert got == {k: every[k] for k in [("a", 0), ("a", 1_666), ("a", 700), ("g1", 0), ("g1", 5)] if k in every}
+        assert {r.grp: r["size"] for r in found.sizes().collect()} == {g: sum(k[0] == g for k in every) for g in {k[0] for k in every}}
+    plan = directory(df, ["id"], ["grp"], chunk_rows=16).pick(wanted, 7)._jdf.queryExecution().executedPlan().toString()
+    window, semi = plan.index("Window"), plan.index("LeftSemi")
+    assert window < semi and "Exchange hashpartitioning(grp" in plan[window:semi]  # printed from the top: the join is below the shuffle
+    assert directory(df.limit(0), ["id"]).sizes().first()["size"] == 0
+
+
 def test_all_pairs_fill_the_shortfall(spark, table, queries):
     none = spark.createDataFrame([("zzz",)], "query string")
     got = training_pairs(table, none, 50)
