@@ -1,7 +1,8 @@
 """Which terms of a dictionary occur inside a text, as plain substrings.
 
 A dictionary within a checked size is scanned for in one pass over each text: no shuffle, and the work grows with the
-text and not with text x terms. A larger one is cut into blocks of that size, with one such pass each. Terms of any length
+text and not with text x terms. A larger one is cut into blocks of that size, with one such pass each; between the passes only
+the places of terms found are written, and a text that has all it may list leaves the later passes. Terms of any length
 count, and the rows are the same whatever the cut.
 """
 
@@ -19,6 +20,8 @@ from dishlens.sources.sinks import materialize
 
 MAX_SCAN_TERMS = 200_000
 MAX_SCAN_CHARS = 8_000_000
+#: Texts that have all their mentions up to which their keys go to every task; more are joined.
+MAX_BROADCAST_DONE = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -112,17 +115,31 @@ def with_mentions(
 ) -> DataFrame:
     """Add the ``max_mentions`` first terms of the dictionary, by rank, that the text contains.
 
-    Each block of the dictionary is one pass without a shuffle; as blocks come by rank, what is found is only added to.
+    Each block of the dictionary is one pass over the texts that are not done; as blocks come by rank, what is found is only
+    added to. A text is known by two hashes of its own, so rows need no id and equal texts are scanned for alike.
     """
     small = fetch_dictionary(dictionary, max_scan_terms, max_scan_chars)
     if small is not None:
         return with_mentions_of(df, small, text_col, out_col, max_mentions)
-    out = df.withColumn(out_col, F.array().cast("array<string>"))
-    for block in dictionary_blocks(dictionary, max_scan_terms, max_scan_chars):
-        found = with_mentions_of(out, block, text_col, "_more", max_mentions)
-        both = F.slice(F.concat(out_col, "_more"), 1, max_mentions)
-        out = materialize(found.withColumn(out_col, both).drop("_more"), "mentions")
-    return out
+    key = [F.xxhash64(text_col).alias("_key"), F.hash(text_col).alias("_check")]
+    texts = df.where(F.col(text_col).isNotNull()).select(*key, text_col)
+    found: DataFrame | None = None
+    for number, block in enumerate(dictionary_blocks(dictionary, max_scan_terms, max_scan_chars)):
+        going = texts
+        if found is not None:
+            done = found.groupBy("_key", "_check").agg(F.sum(F.size("_terms")).alias("_n")).where(F.col("_n") >= max_mentions).select("_key", "_check")
+            done = materialize(done, "done")
+            few = done.count() <= MAX_BROADCAST_DONE
+            going = texts.join(F.broadcast(done) if few else done, ["_key", "_check"], "left_anti")
+        hits = with_mentions_of(going, block, text_col, "_terms", max_mentions).where(F.size("_terms") > 0)
+        hits = hits.groupBy("_key", "_check").agg(F.first("_terms").alias("_terms")).withColumn("_block", F.lit(number))
+        hits = materialize(hits, "mentions")
+        found = hits if found is None else found.unionByName(hits)
+    ordered = F.array_sort(F.collect_list(F.struct("_block", "_terms")))  # a row for each block that a text has terms of
+    lists = found.groupBy("_key", "_check").agg(F.slice(F.flatten(F.transform(ordered, lambda x: x["_terms"])), 1, max_mentions).alias(out_col))
+    columns = [F.col(c) for c in df.columns if c != out_col]
+    joined = df.withColumns({"_key": key[0], "_check": key[1]}).drop(out_col).join(lists, ["_key", "_check"], "left")
+    return joined.select(*columns, F.coalesce(out_col, F.array().cast("array<string>")).alias(out_col))
 
 
 def with_mentions_of(

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from dishlens.config import Settings
@@ -46,9 +44,14 @@ def process_reviews(
     out = clean_reviews(reviews)
     if max_reviews is not None:
         out = exact_sample(out, max_reviews, "review_id", seed)
+    return tagged_reviews(out, dictionary, entries, search_chars)
+
+
+def tagged_reviews(cleaned: DataFrame, dictionary: DataFrame | None, entries: tuple[lx.Entry, ...] | None = None, search_chars: int | None = None) -> DataFrame:
+    """What ``process_reviews`` makes of reviews that are clean and chosen."""
     entries = lx.shipped_entries() if entries is None else entries
     small = fetch_dictionary(dictionary) if dictionary is not None else None
-    tagged = tag_reviews(out, entries, dictionary=small)
+    tagged = tag_reviews(cleaned, entries, dictionary=small)
     if dictionary is None:
         tagged = tagged.withColumn("mentioned_foods", F.array().cast("array<string>"))
     elif small is None:
@@ -56,13 +59,30 @@ def process_reviews(
     return tagged.withColumn("search_text", tx.search_text("review_text", list(SEARCH_FACETS), search_chars)).select(PROCESSED)
 
 
+STAGES = ("loaded", "cleaned", "sampled")
+
+
+def counted_cleaning(reviews: DataFrame, max_reviews: int | None, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """The cleaned reviews, sampled if asked to, as a written table, and ``stage_rank, stage, n`` of the rows at each stage.
+
+    Rows are counted in passing while they are written; a count costs no scan of its own.
+    """
+    seen = {stage: Observation(stage) for stage in STAGES}
+    count = lambda df, stage: df.observe(seen[stage], F.count(F.lit(1)).alias("n"))
+    cleaned = count(clean_reviews(count(reviews.where(F.col("review_text").isNotNull()), "loaded")), "cleaned")
+    if max_reviews is None:
+        out = sinks.materialize(count(cleaned, "sampled"), "cleaned")
+    else:
+        # a sample reads its input twice, so that is written first
+        sampled = exact_sample(sinks.materialize(cleaned, "cleaned"), max_reviews, "review_id", seed)
+        out = sinks.materialize(count(sampled, "sampled"), "sampled")
+    rows = [(i, stage, seen[stage].get["n"]) for i, stage in enumerate(STAGES)]
+    return out, reviews.sparkSession.createDataFrame(rows, "stage_rank int, stage string, n bigint")
+
+
 def pipeline_counts(reviews: DataFrame, max_reviews: int | None, seed: int = 42) -> DataFrame:
-    """``stage_rank, stage, n`` after loading, cleaning and sampling, each counted on its rows."""
-    cleaned = clean_reviews(reviews)
-    sampled = cleaned if max_reviews is None else exact_sample(cleaned, max_reviews, "review_id", seed)
-    stages = (("loaded", reviews.where(F.col("review_text").isNotNull())), ("cleaned", cleaned), ("sampled", sampled))
-    counts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(i).alias("stage_rank"), F.lit(name).alias("stage"), "n") for i, (name, df) in enumerate(stages)]
-    return reduce(DataFrame.unionByName, counts)
+    """``stage_rank, stage, n`` after loading, cleaning and sampling."""
+    return counted_cleaning(reviews, max_reviews, seed)[1]
 
 
 def run_preprocessing(spark: SparkSession, settings: Settings) -> dict[str, DataFrame]:
@@ -71,14 +91,14 @@ def run_preprocessing(spark: SparkSession, settings: Settings) -> dict[str, Data
     dictionary = readers.prepare_dictionary(readers.read_dictionary(spark, settings.dictionary_path))
     judges = readers.read_queries(spark, settings.judge_queries_path)
     algo = readers.read_queries(spark, settings.algo_queries_path)
-    processed = process_reviews(reviews, dictionary, max_reviews=settings.max_reviews, seed=settings.seed)
-    sinks.write_table(processed, settings.processed_path)
+    cleaned, counts = counted_cleaning(reviews, settings.max_reviews, settings.seed)
+    sinks.write_table(tagged_reviews(cleaned, dictionary), settings.processed_path)
     written = readers.read_table(spark, settings.processed_path, "run_preprocessing")
     return {
         "processed": written,
         "dictionary": dictionary,
         "judge_queries": judges,
         "algo_queries": algo,
-        "counts": pipeline_counts(reviews, settings.max_reviews, settings.seed),
+        "counts": counts,
         "ratings": metrics.rating_distribution(written),
     }

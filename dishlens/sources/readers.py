@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dishlens.functions import text as tx
 from dishlens.operators.encode import Space
+from dishlens.sources.sinks import materialize
 
 # Strings that a data frame reader takes for a missing value by default.
 NA_VALUES = (
@@ -15,14 +16,36 @@ NA_VALUES = (
     "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 SMALL_INPUT_BYTES = 1 << 30
+#: Blocks of files whose first numbers go to every task; more are joined.
+MAX_BROADCAST_BLOCKS = 1_000_000
 INDEX_COLUMNS = ("space", "row_id")
 
 
+def numbered(lines: DataFrame, name: str) -> DataFrame:
+    """Number the rows of a file scan 0.. by file name and place in the file, whatever splits and tasks the scan has.
+
+    Blocks of files are counted in one light scan, and a small table says with which number each begins.
+    """
+    place = lines.withColumns({
+        "_file": F.xxhash64("_metadata.file_path"),
+        "_path": F.col("_metadata.file_path"),
+        "_block": F.col("_metadata.file_block_start"),
+        "_place": F.monotonically_increasing_id(),
+    })
+    blocks = place.groupBy("_file", "_block").agg(F.min("_path").alias("_path"), F.min("_place").alias("_least"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_path", "_block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
+    firsts = blocks.select("_file", "_block", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_least")).alias("_first"))
+    firsts = materialize(firsts, "blocks")
+    few = firsts.count() <= MAX_BROADCAST_BLOCKS
+    joined = place.join(F.broadcast(firsts) if few else firsts, ["_file", "_block"])
+    return joined.select((F.col("_place") + F.col("_first")).alias(name), *lines.columns)
+
+
 def read_reviews_csv(spark: SparkSession, path: str, na_values: tuple[str, ...] = NA_VALUES) -> DataFrame:
     """``review_id, review_text, star_rating`` from ``;``-separated lines without header, quoted line breaks allowed.
 
-    Rows without text are dropped; a rating that is not an integer fails the job. A file with line breaks inside quotes
-    cannot be split, so large inputs should come as many files.
+    Rows without text are dropped; a rating that is not an integer fails the job. Ids are places of rows in the files, by file
+    name. A file with line breaks inside quotes cannot be split, so large inputs should come as many files.
     """
     raw = (
         spark.read.schema("review_text string, star_rating string")
@@ -38,7 +61,7 @@ def read_reviews_csv(spark: SparkSession, path: str, na_values: tuple[str, ...]
         F.col("star_rating").cast("int")
     )
     return (
-        raw.select(F.monotonically_increasing_id().alias("review_id"), *missing)
+        numbered(raw, "review_id").select("review_id", *missing)
         .dropna(subset=["review_text"])
         .select("review_id", "review_text", rating.alias("star_rating"))
     )
@@ -46,7 +69,7 @@ def read_reviews_csv(spark: SparkSession, path: str, na_values: tuple[str, ...]
 
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
     """``rank, term``, one term per line, in the order of the file."""
-    return dictionary_lines(spark.read.text(path).select(F.monotonically_increasing_id().alias("rank"), F.col("value").alias("line")))
+    return dictionary_lines(numbered(spark.read.text(path), "rank").withColumnRenamed("value", "line"))
 
 
 def dictionary_lines(lines: DataFrame) -> DataFrame:
@@ -62,8 +85,7 @@ def prepare_dictionary(terms: DataFrame, min_chars: int = 4, max_chars: int = 50
 
 def read_queries(spark: SparkSession, path: str) -> DataFrame:
     """``query_id, query`` from lines whose terms are separated by pipes."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("query_id"), F.col("value").alias("line"))
-    return query_lines(lines)
+    return query_lines(numbered(spark.read.text(path), "query_id").withColumnRenamed("value", "line"))
 
 
 def query_lines(lines: DataFrame) -> DataFrame:
