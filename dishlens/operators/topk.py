@@ -1,9 +1,11 @@
 """Exact top-k by inner product for a whole table of queries.
 
 The corpus is read in place: every task scores its Arrow batches against the queries as one matrix product and keeps
-only the best k per query, so what is shuffled is k rows per query and task, whatever the size of the corpus. Up to
+only the best k per query, so what is shuffled is k rows per query and task, whatever the size of the corpus. They are
+merged in two steps, first by query and share of the tasks, so no task gets more of a query than k rows of each share. Up to
 ``MAX_BLOCK_CELLS`` numbers the queries travel with the tasks; a larger query table is cut into blocks that travel one
-after another, with one scan each. The corpus is never shuffled. Equal scores are ranked by row id.
+after another, with one scan each. The corpus is never shuffled. Equal scores are ranked by row id. Queries may each have
+their own k, which is also what a task keeps for them.
 """
 
 from __future__ import annotations
@@ -15,18 +17,21 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dishlens.sources.sinks import materialize
+from dishlens.sources.sinks import Payload, materialize
 
 MAX_BLOCK_QUERIES = 8_192
 MAX_BLOCK_CELLS = 32_000_000
 SCORE_DIGITS = 9
 STEP_CELLS = 4_000_000
 MAX_BROADCAST_HITS = 1_000_000
-HITS = "query_id bigint, row_id bigint, score double"
-HITS_ARROW = pa.schema([("query_id", pa.int64()), ("row_id", pa.int64()), ("score", pa.float64())])
+#: Shares of the tasks whose hits are merged first.
+SHARES = 256
+HITS = "query_id bigint, row_id bigint, score double, k int, share int"
+HITS_ARROW = pa.schema([("query_id", pa.int64()), ("row_id", pa.int64()), ("score", pa.float64()), ("k", pa.int32()), ("share", pa.int32())])
 QUERY_FILTERS = ("min_rating", "cuisine_type", "food_type", "location", "price_level")
 
 
@@ -37,23 +42,29 @@ class Hits:
     rows: DataFrame
     at_most: int | None
 
-    def with_payload(self, table: DataFrame) -> DataFrame:
-        """Fetch the rest of each hit's row; few hits travel to the table, so the table is not shuffled."""
-        hits = self.rows
-        if self.at_most is not None and self.at_most <= MAX_BROADCAST_HITS:
+    def with_payload(self, table: DataFrame | Payload) -> DataFrame:
+        """Fetch the rest of each hit's row; few hits travel to the table, so the table is not shuffled.
+
+        Of a stored payload only the folders that hold hits are read; the hits are written first, to look at them.
+        """
+        hits, few = self.rows, self.at_most is not None and self.at_most <= MAX_BROADCAST_HITS
+        if isinstance(table, Payload):
+            hits = materialize(hits, "hits")
+            table = table.near(hits) if few else table.rows.drop("shelf")
+        if few:
             hits = F.broadcast(hits)
         payload = [c for c in table.columns if c not in ("space", "space_key", "vector", "features", "weights", "score", "rank", "query_id")]
         return table.select(payload).join(hits, "row_id")
 
 
 class QueryBlock:
-    """Some queries as one matrix, with the metadata a row must have for each of them."""
+    """Some queries as one matrix, with how many rows each wants and the metadata a row must have for it."""
 
-    def __init__(self, table: pa.Table, k: int):
+    def __init__(self, table: pa.Table):
         self.sparse = "features" in table.column_names
         self.vector_column = "features" if self.sparse else "vector"
         table = self._with_vector(table).combine_chunks()
-        self.k = k
+        self.k = table["k"].to_numpy().astype("int64")
         self.ids = table["query_id"].to_numpy().astype("int64")
         n = len(self.ids)
         if self.sparse:
@@ -108,7 +119,15 @@ class QueryBlock:
             out[held @ self.needs < self.needs.sum(axis=0)[None, :]] = -np.inf
         return out
 
-    def best(self, batches: Iterator[pa.Table | pa.RecordBatch]) -> pa.RecordBatch:
+    def raised(self, floor: np.ndarray, scores: np.ndarray) -> np.ndarray:
+        """The floor of each query, no lower than its k-th score among these."""
+        for k in np.unique(self.k):
+            if len(scores) > k:
+                mine = np.flatnonzero(self.k == k)
+                floor[mine] = np.maximum(floor[mine], np.partition(scores[:, mine], -k, axis=0)[-k])
+        return floor
+
+    def best(self, batches: Iterator[pa.Table | pa.RecordBatch], share: int = 0) -> pa.RecordBatch:
         n = len(self.ids)
         q, r, s = np.zeros(0, "int64"), np.zeros(0, "int64"), np.zeros(0)
         floor = np.full(n, -np.inf)
@@ -119,9 +138,7 @@ class QueryBlock:
             for start in range(0, batch.num_rows if n else 0, step):
                 part = batch.slice(start, step)
                 scores = self.scores(part)
-                if len(scores) > self.k:
-                    kth = np.partition(scores, -self.k, axis=0)[-self.k]
-                    floor = np.maximum(floor, kth)
+                floor = self.raised(floor, scores)
                 at_row, at_query = np.nonzero((scores >= floor[None, :]) & (scores > -np.inf))
                 q = np.concatenate([q, at_query])
                 r = np.concatenate([r, ids[start + at_row]])
@@ -129,11 +146,12 @@ class QueryBlock:
                 order = np.lexsort((r, -s, q))
                 q, r, s = q[order], r[order], s[order]
                 rank = np.arange(len(q)) - np.searchsorted(q, q)
-                keep = rank < self.k
-                last = rank == self.k - 1
+                keep = rank < self.k[q]
+                last = rank == self.k[q] - 1
                 floor[q[last]] = np.maximum(floor[q[last]], s[last])
                 q, r, s = q[keep], r[keep], s[keep]
-        return pa.RecordBatch.from_arrays([pa.array(self.ids[q]), pa.array(r), pa.array(s)], schema=HITS_ARROW)
+        columns = [self.ids[q], r, s, self.k[q].astype("int32"), np.full(len(q), share, "int32")]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=HITS_ARROW)
 
 
 def _lists(col):
@@ -185,13 +203,15 @@ def top_k(
     max_block_cells: int = MAX_BLOCK_CELLS,
     filtered: bool = False,
 ) -> Hits:
-    """The ``k`` rows of highest inner product for each query.
+    """The ``k`` rows of highest inner product for each query; a column ``k`` of ``queries`` goes before the argument.
 
     ``corpus`` has ``row_id`` and ``vector`` (or ``features, weights``), ``queries`` likewise with ``query_id``. With
-    ``filtered`` only rows that pass the filter columns of a query count for it.
+    ``filtered`` only rows that pass the filter columns of a query count for it. A query that wants no rows gets none.
     """
     vec = _vector_columns(queries)
-    q_cols, c_cols = ["query_id", *vec], ["row_id", *vec]
+    q_cols, c_cols = ["query_id", "k", *vec], ["row_id", *vec]
+    own = F.coalesce(F.col("k").cast("int"), F.lit(k)) if "k" in queries.columns else F.lit(k)
+    queries = queries.withColumn("k", own).where(F.col("k") > 0)
     if filtered:
         facets = [c for c in QUERY_FILTERS[1:] if c in queries.columns]
         queries = with_query_needs(queries)
@@ -206,35 +226,37 @@ def top_k(
     head = queries.limit(max_block_queries + 1).toArrow()
     width = len(np.unique(_flat(head[vec[0]]))) if len(vec) == 2 else int(_lengths(head["vector"]).max(initial=1))
     if head.num_rows <= max_block_queries and head.num_rows * width <= max_block_cells:
-        partial, at_most = _with_travelling_queries(corpus, head, k), head.num_rows * k
+        partial, at_most = _with_travelling_queries(corpus, head), int(pc.sum(head["k"]).as_py() or 0)
     else:
         at_most = None
-        partial = _in_blocks(corpus, queries, k, max(1, min(max_block_queries, max_block_cells // width) // 2))
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "row_id")
-    ranked = partial.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return Hits(ranked.select("query_id", "rank", "row_id", "score"), at_most)
+        partial = _in_blocks(corpus, queries, max(1, min(max_block_queries, max_block_cells // width) // 2))
+    return Hits(_merged(partial).select("query_id", "rank", "row_id", "score"), at_most)
+
+
+def _merged(partial: DataFrame) -> DataFrame:
+    """The best rows of each query, of those of each share of the tasks."""
+    for by in (["query_id", "share"], ["query_id"]):
+        best = Window.partitionBy(*by).orderBy(F.col("score").desc(), "row_id")
+        partial = partial.withColumn("rank", F.row_number().over(best)).where("rank <= k")
+    return partial
 
 
-def _with_travelling_queries(corpus: DataFrame, block: pa.Table, k: int) -> DataFrame:
+def _with_travelling_queries(corpus: DataFrame, block: pa.Table) -> DataFrame:
     shared = corpus.sparkSession.sparkContext.broadcast(block)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield QueryBlock(shared.value, k).best(batches)
+        yield QueryBlock(shared.value).best(batches, TaskContext.get().partitionId() % SHARES)
 
     return corpus.mapInArrow(scan, HITS)
 
 
-def _in_blocks(corpus: DataFrame, queries: DataFrame, k: int, block_queries: int) -> DataFrame:
+def _in_blocks(corpus: DataFrame, queries: DataFrame, block_queries: int) -> DataFrame:
     """One scan of the corpus for each block of queries; a block's best rows are written before the next block comes."""
     blocks = max(1, -(-queries.count() // block_queries))
     number = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "row_id")
     parts = []
     for i in range(blocks):
         block = queries.where(number == i).toArrow()
-        if not block.num_rows:
-            continue
-        found = _with_travelling_queries(corpus, block, k)
-        ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank")
-        parts.append(materialize(ranked, "hits"))
+        if block.num_rows:
+            parts.append(materialize(_merged(_with_travelling_queries(corpus, block)).drop("rank"), "hits"))
     return reduce(DataFrame.unionByName, parts)

@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 from dishlens.operators import answers, metrics
 from dishlens.operators.topk import top_k
 from dishlens.plans.retrieval import BASE, TUNED, in_space
+from dishlens.sources.sinks import Payload
 
 
-def hits_of_spaces(index: DataFrame, encoded: dict[str, DataFrame], k: int = 5) -> DataFrame:
+def hits_of_spaces(index: DataFrame, encoded: dict[str, DataFrame], k: int = 5, payload: DataFrame | Payload | None = None) -> DataFrame:
     """Hits with payload of every space, one search each, as one table with a ``space`` column."""
-    parts = [
-        top_k(in_space(index, name), queries, k).with_payload(in_space(index, name)).withColumn("space", F.lit(name))
-        for name, queries in encoded.items()
-    ]
+    parts = []
+    for name, queries in encoded.items():
+        own = in_space(index, name)
+        parts.append(top_k(own, queries, k).with_payload(own if payload is None else payload).withColumn("space", F.lit(name)))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

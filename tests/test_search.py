@@ -7,11 +7,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from dishlens.operators import topk
 from dishlens.operators.encode import Space, check_same_space, e5_prefixes, encode, encode_with, fit_idf, normalized, refitted
 from dishlens.operators.filters import Filters
 from dishlens.operators.lsh import approximate_top_k, recall
 from dishlens.operators.topk import top_k
 from dishlens.plans import retrieval as rt
+from dishlens.sources import sinks
 
 RNG = np.random.default_rng(7)
 VECTORS = RNG.normal(size=(400, 8))
@@ -117,6 +119,39 @@ def test_own_k_per_query(corpus, asked):
         assert got == {q: 1 + q % 3 for q in range(10)}
 
 
+def test_each_task_keeps_what_a_query_wants(spark, corpus, asked):
+    """One query that wants very many rows leaves the others' shares as small as they are."""
+    own = asked.withColumn("k", F.when(F.col("query_id") == 0, F.lit(300)).otherwise((F.col("query_id") % 3).cast("int")))
+    got = Counter(r.query_id for r in top_k(corpus, own, 5).rows.collect())
+    assert got == {q: 300 if q == 0 else q % 3 for q in range(10) if q == 0 or q % 3}
+    columns = own.where("k > 0").select("query_id", "k", "vector").toArrow()
+    rows = [b for b in corpus.select("row_id", "vector").toArrow().to_batches()]
+    kept = Counter(topk.QueryBlock(columns).best(iter(rows))["query_id"].to_pylist())
+    assert kept == got
+
+
+def test_hits_are_merged_by_share_first(spark, corpus, asked, monkeypatch):
+    want = sorted(map(tuple, top_k(corpus, asked, 4).rows.collect()))
+    monkeypatch.setattr(topk, "SHARES", 3)
+    found = top_k(corpus.repartition(12), asked, 4).rows
+    assert sorted(map(tuple, found.collect())) == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 2 and "query_id#" in plan and "share#" in plan
+
+
+def test_only_folders_that_hold_hits_are_read(spark, corpus, asked, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "SHELF_ROWS", 10)
+    payload = sinks.write_payload(corpus.drop("vector"), str(tmp_path / "payload"))
+    assert payload.shelves == 40 and payload.rows.select(F.input_file_name()).distinct().count() > 35
+    few = top_k(corpus, asked.where("query_id < 2"), 3)
+    ids = [r.row_id for r in few.rows.select("row_id").distinct().collect()]
+    near = payload.near(few.rows)
+    assert near.select(F.input_file_name()).distinct().count() <= len(ids)
+    assert "PartitionFilters: [" in near._jdf.queryExecution().toString() and "shelf" in near._jdf.queryExecution().toString()
+    want = {(r.query_id, r.row_id, r["rank"], r.star_rating, tuple(r.food_type)) for r in few.with_payload(corpus).collect()}
+    assert {(r.query_id, r.row_id, r["rank"], r.star_rating, tuple(r.food_type)) for r in few.with_payload(payload).collect()} == want
+
+
 def test_lsh_recall_is_bounded(corpus, asked):
     a, b = normalized(corpus.where("row_id <> 7")), normalized(asked)
     got = recall(top_k(a, b, 5).rows, approximate_top_k(a, b, 5)).collect()
@@ -140,7 +175,7 @@ def test_lsh_recall_of_rows(spark):
     """On the given vectors, against brute force; the row itself, which every search finds, is left out as well."""
     import __spark_entry__ as entry
 
-    got = entry.queries()["lsh_recall_rows"](spark, "/root/testdata/sf0.01").collect()
+    got = entry.queries()["lsh_recall"](spark, "/root/testdata/sf0.01").collect()
     assert len(got) > 20 and all(r.query_id % 20 == 0 and r.n_exact == 5 for r in got)
     assert sum(r.n_found for r in got) >= 0.9 * 5 * len(got)
     assert sum(r.n_found - 1 for r in got) >= 0.9 * 4 * len(got)
@@ -211,21 +246,22 @@ def test_requests_with_modes(spark, processed, tmp_path):
         [(1, "steak", 2, "base", 0, "", ""), (2, "coffee tea", 3, "compare", 4, "", ""), (3, "sea", 3, "finetuned", 0, "ไทย", ""), (4, "  ", 3, "base", 0, "", "")],
         "query_id bigint, query string, k int, mode string, min_rating int, cuisine_type string, food_type string",
     )
-    texts, found = rt.search_and_answer(index, spaces, q)
+    payload = rt.payload_rows(processed)
+    texts, found = rt.search_and_answer(index, spaces, q, payload=payload)
     rows = {(r.query_id, r.side): r for r in texts.collect()}
     assert set(rows) == {(1, "base"), (2, "base"), (2, "tuned"), (3, "tuned")}
     assert rows[(1, "base")].num_results == 2 and rows[(3, "tuned")].num_results == 1
     assert {r.row_id for r in found.where("query_id = 3").collect()} == {3}
     only_base = {"base": spaces["base"]}
-    texts, found = rt.search_and_answer(rt.in_space(index, "base"), only_base, q)
+    texts, found = rt.search_and_answer(rt.in_space(index, "base"), only_base, q, payload=payload)
     rows = {(r.query_id, r.side): r.answer for r in texts.collect()}
     assert "Fine-tuned" in rows[(2, "tuned")] and rows[(3, "tuned")].startswith("จากการค้นหา")
 
 
-def test_missing_space_falls_back(spark, processed):
-    index = rt.build_index(processed, SPACE)
-    asked = spark.createDataFrame([(1, "base"), (2, "tuned")], "query_id bigint, space string")
-    assert {r.query_id: r.used_space for r in rt.resolve_spaces(asked, index).collect()} == {1: "base", 2: "base"}
+def test_missing_space_falls_back(spark):
+    asked = spark.createDataFrame([(1, "base"), (2, "tuned"), (3, None)], "query_id bigint, space string")
+    assert {r.query_id: r.used_space for r in rt.resolve_spaces(asked, ["base"]).collect()} == {1: "base", 2: "base", 3: "base"}
+    assert {r.query_id: r.used_space for r in rt.resolve_spaces(asked, {"base": 0, "tuned": 0}).collect()} == {1: "base", 2: "tuned", 3: "base"}
 
 
 def test_rerank_by_coverage(spark, processed):
@@ -266,7 +302,8 @@ def test_queries_without_overlap_get_the_first_rows(spark, processed):
 def test_every_request_gets_its_own_k(spark, processed, tmp_path, mode):
     index, spaces = rt.build_two_spaces(processed, SPACE, str(tmp_path / "i"))
     q = spark.createDataFrame([(1, "good food", 1, "base"), (2, "good food", 7, "base")], "query_id bigint, query string, k int, mode string")
-    texts, _ = rt.search_and_answer(index, spaces, q, mode)
+    payload = sinks.write_payload(rt.payload_rows(processed), str(tmp_path / "payload"))
+    texts, _ = rt.search_and_answer(index, spaces, q, mode, payload)
     assert {r.query_id: r.num_results for r in texts.collect()} == {1: 1, 2: 7}
 
 
