@@ -327,16 +327,7 @@ wtags AS MATERIALIZED (SELECT review_id, col, category, min(r) AS r FROM ptext,
     out["rerank_topk"] = f"""WITH {text_hits(3 * K)}, qt AS (SELECT query_id, unnest(list_distinct({terms_list('query')})) AS term FROM bq),
 cov AS (SELECT h.query_id, h.row_id, any_value(h.rank) AS first_rank, any_value(h.score) AS score, avg(CASE WHEN contains(lower(h.review_text), term) THEN 1.0 ELSE 0.0 END) AS coverage FROM hits h JOIN qt USING (query_id) GROUP BY 1, 2)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, row_id, CAST(first_rank AS INTEGER) AS first_rank, {r6('coverage', 'coverage')}, {r6('score', 'score')} FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY coverage DESC, score DESC, row_id) AS rank FROM cov) WHERE rank <= {K}"""
-    out["lsh_recall"] = f"""WITH {DENSE_HITS}, planes AS (SELECT pos, band, bit, CASE WHEN {h32("'42:' || band || ':' || bit || ':' || pos")} % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS r
-  FROM range({suite.EMBEDDING_DIM}) AS a(pos), range(16) AS b(band), range(8) AS c(bit)),
-rs AS (SELECT row_id, band, sum(CASE WHEN s > 0 THEN 1 << bit ELSE 0 END) AS sig FROM (SELECT row_id, band, bit, sum(x * r) AS s FROM cells JOIN cleaned ON review_id = row_id JOIN planes USING (pos) WHERE space = 'base' GROUP BY ALL) GROUP BY ALL),
-qs AS (SELECT query_id, band, sum(CASE WHEN s > 0 THEN 1 << bit ELSE 0 END) AS sig FROM (SELECT query_id, band, bit, sum(x * r) AS s FROM dq JOIN planes USING (pos) WHERE space = 'base' GROUP BY ALL) GROUP BY ALL),
-near AS (SELECT DISTINCT query_id, row_id FROM rs JOIN qs USING (band, sig)),
-ranked_near AS (SELECT query_id, row_id, {again} FROM near JOIN (SELECT * FROM dscores WHERE space = 'base') USING (query_id, row_id)),
-looked AS (SELECT query_id, count(*) AS n FROM near GROUP BY 1)
-SELECT query_id, count(*) AS n_exact, count(a.row_id) AS n_found, {r6('count(a.row_id) / count(*)', 'recall')}, coalesce(any_value(n), 0) AS n_candidates
-FROM (SELECT query_id, row_id FROM dhits WHERE space = 'base') e LEFT JOIN (SELECT query_id, row_id FROM ranked_near WHERE rank <= {K}) a USING (query_id, row_id) LEFT JOIN looked USING (query_id) GROUP BY query_id"""
-    out["lsh_recall_rows"] = f"""WITH {CLEANED},{DENSE}, mine AS MATERIALIZED (SELECT row_id, pos, x FROM cells JOIN cleaned ON review_id = row_id WHERE space = 'base'),
+    out["lsh_recall"] = f"""WITH {CLEANED},{DENSE}, mine AS MATERIALIZED (SELECT row_id, pos, x FROM cells JOIN cleaned ON review_id = row_id WHERE space = 'base'),
 planes AS (SELECT pos, band, bit, CASE WHEN {h32("'42:' || band || ':' || bit || ':' || pos")} % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS r
   FROM range({suite.EMBEDDING_DIM}) AS a(pos), range(128) AS b(band), range(8) AS c(bit)),
 rs AS MATERIALIZED (SELECT row_id, band, sum(CASE WHEN s > 0 THEN 1 << bit ELSE 0 END) AS sig FROM (SELECT row_id, band, bit, sum(x * r) AS s FROM mine JOIN planes USING (pos) GROUP BY ALL) GROUP BY ALL),
@@ -347,6 +338,9 @@ ranked_near AS (SELECT query_id, row_id, {again} FROM near JOIN scores USING (qu
 looked AS (SELECT query_id, count(*) AS n FROM near GROUP BY 1)
 SELECT query_id, count(*) AS n_exact, count(a.row_id) AS n_found, {r6('count(a.row_id) / count(*)', 'recall')}, coalesce(any_value(n), 0) AS n_candidates
 FROM (SELECT query_id, row_id FROM ranked WHERE rank <= {K}) e LEFT JOIN (SELECT query_id, row_id FROM ranked_near WHERE rank <= {K}) a USING (query_id, row_id) LEFT JOIN looked USING (query_id) GROUP BY query_id"""
+    out["cell_topk"] = f"""WITH {CLEANED},{DENSE}, mine AS MATERIALIZED (SELECT row_id, pos, x FROM cells JOIN cleaned ON review_id = row_id WHERE space = 'base'),
+scores AS (SELECT a.row_id AS query_id, b.row_id, round(sum(a.x * b.x), 9) AS score FROM mine a JOIN mine b USING (pos) WHERE a.row_id % 20 = 0 GROUP BY ALL)
+SELECT {hit6} FROM (SELECT query_id, row_id, score, {again} FROM scores) WHERE rank <= {K}"""
     out["space_fallback"] = f"WITH {DENSE_HITS} SELECT query_id, CASE WHEN query_id % 2 = 0 THEN 'tuned' ELSE 'unbuilt' END AS space, space AS used_space, CAST(rank AS INTEGER) AS rank, row_id, {r6('score', 'score')} FROM dhits WHERE space = CASE WHEN query_id % 2 = 0 THEN 'tuned' ELSE 'base' END"
 
     out["answer_template"] = f"WITH {text_hits(K)} SELECT * FROM {answer('bq', 'hits', 'query_id')}"
@@ -361,16 +355,28 @@ FROM (SELECT query_id, row_id FROM ranked WHERE rank <= {K}) e LEFT JOIN (SELECT
     out["display_rows"] = f"WITH {text_hits(K)} SELECT query_id, CAST(rank AS INTEGER) AS rank, row_id, star_rating, {STARS} AS star_display, repeat('★', star_rating) || repeat('☆', 5 - star_rating) AS star_slots, {r6('score', 'score')}, {first('cuisine_type', 3)}, {first('food_type', 3)}, {first('location', 2)}, {excerpt('review_text', 400, False)} AS review_shown FROM hits"
     out["display_nested"] = f"WITH {text_hits(K)}, n AS (SELECT query_id, count(*) AS num_results FROM hits GROUP BY 1) SELECT query_id, num_results, CAST(rank AS INTEGER) AS rank, star_rating, {STARS} AS star_display, {r6('score', 'relevance_score')}, mentioned_foods FROM hits JOIN n USING (query_id)"
     out["demo_answers"] = f"WITH {text_hits(3)} SELECT query_id, {excerpt('answer', 500, False)} AS preview FROM {answer('bq', 'hits', 'query_id')}"
-    out["search_and_answer"] = f"""WITH {TEXT_SEARCH},
+    quick = text_hits(3).replace(BENCH_QUERIES, f"bq(query_id, query) AS ({values(list(enumerate(catalog.QUICK_QUERIES)))})")
+    out["quick_demo"] = f"WITH {quick} SELECT query_id, {excerpt('answer', 500, False)} AS preview FROM {answer('bq', 'hits', 'query_id')}"
+    out["csv_scan"] = "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS review_id, CAST(1 + doc_id % 5 AS INTEGER) AS star_rating, text AS review_text FROM documents"
+    out["text_scan"] = f"""WITH l AS (SELECT item_id, unnest(regexp_split_to_array(text, '[\\r\\n]')) AS line, unnest(range(len(regexp_split_to_array(text, '[\\r\\n]')))) AS pos FROM benchmark)
+SELECT rank, {strip('line')} AS term FROM (SELECT row_number() OVER (ORDER BY item_id, pos) - 1 AS rank, line FROM l) WHERE {strip('line')} <> ''"""
+    out["csv_export"] = f"WITH {TAGGED} SELECT review_id, star_rating, food_type, location FROM tagged"
+    out["model_index"] = f"WITH {PROCESSED} SELECT review_id, CAST(length('passage: ' || search_text) % 8 AS INTEGER) AS pos, 1.0::DOUBLE AS x FROM processed"
+
+    def answered(within: str) -> str:
+        """Requests answered from the rows found ``within`` some rank."""
+        return f"""WITH {TEXT_SEARCH},
 req AS (SELECT query_id, query, 3 + query_id % 3 AS k, (['base', 'finetuned', 'compare'])[CAST(query_id % 3 AS INTEGER) + 1] AS mode, query_id % 4 AS min_rating,
   CASE WHEN query_id % 7 = 3 THEN 'thai' ELSE '' END AS cuisine, CASE WHEN query_id % 2 = 0 THEN 'tea' ELSE '' END AS food FROM bq),
 want AS (SELECT *, unnest(CASE mode WHEN 'compare' THEN ['base', 'tuned'] WHEN 'finetuned' THEN ['tuned'] ELSE ['base'] END) AS side FROM req),
 found AS (SELECT w.side, h.query_id, h.row_id, h.score, p.* EXCLUDE (review_id), w.k, row_number() OVER (PARTITION BY w.side, h.query_id ORDER BY h.rank) AS rank
-  FROM want w JOIN tranked h ON h.query_id = w.query_id AND h.space = w.side AND h.rank <= 3 * w.k JOIN processed p ON p.review_id = h.row_id
+  FROM want w JOIN tranked h ON h.query_id = w.query_id AND h.space = w.side {within} JOIN processed p ON p.review_id = h.row_id
   WHERE (min_rating = 0 OR star_rating >= min_rating) AND (cuisine = '' OR list_contains(string_split(cuisine_type, ', '), cuisine)) AND (food = '' OR list_contains(string_split(food_type, ', '), food))),
 kept AS (SELECT * FROM found WHERE rank <= k)
 SELECT a.query_id, side, mode, num_results, answer FROM {answer('want', 'kept', 'query_id, side')} a JOIN req USING (query_id)"""
 
+    out["search_and_answer"] = answered("AND h.rank <= 3 * w.k")
+    out["search_and_answer_pre"] = answered("")
     out["retrieval_metrics"] = f"WITH {DENSE_HITS} SELECT u.query_id, category, coalesce(n, 0) AS num_results, {r6('coalesce(s, 0)', 'avg_score')}, {r6('coalesce(r, 0)', 'avg_rating')}, {r6('coalesce(c, 0)', 'metadata_coverage')} FROM dqueries u LEFT JOIN (SELECT query_id, count(*) AS n, avg(score) AS s, avg(star_rating) AS r, avg(covered) AS c FROM dhits WHERE space = 'base' GROUP BY 1) USING (query_id)"
     out["retrieval_overall"] = f"WITH {DENSE_HITS} SELECT {r6('avg(score)', 'avg_retrieval_score')}, {r6('avg(star_rating)', 'avg_star_rating')}, {r6('avg(covered) * 100', 'metadata_coverage')}, count(*) AS total_results, (SELECT count(*) FROM dqueries) AS num_queries FROM dhits WHERE space = 'base'"
     out["compare_spaces"] = f"WITH {COMPARE} SELECT query_id, category, {SCORES6}, {r6('score_improvement', 'score_improvement')} FROM cmp"

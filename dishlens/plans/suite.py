@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +18,8 @@ from dishlens.functions import text as tx
 from dishlens.functions import vectors as vx
 from dishlens.operators import answers, metrics
 from dishlens.operators import pairs as pr
-from dishlens.operators.encode import Space, encode, feature_idf, normalized, reweighted
+from dishlens.operators.cells import build_cells, search_cells
+from dishlens.operators.encode import Space, encode, encode_with, feature_idf, normalized, reweighted
 from dishlens.operators.loss import in_batch_loss
 from dishlens.operators.lsh import WIDE_BANDS, approximate_top_k, recall
 from dishlens.operators.ordinals import exact_sample
@@ -101,6 +103,15 @@ class Tables:
         e = self.read("embeddings").select(F.col("vec_id").alias("row_id"), "label", F.col("embedding").alias("vector"))
         return normalized(e) if space == rt.BASE else reweighted(e, TUNED_WEIGHTS)
 
+    def payload(self) -> sinks.Payload:
+        """The reviews behind all indexes' rows, once for all spaces."""
+        key = (self.spark.sparkContext.applicationId, self.dir)
+        if key not in self._payload:
+            self._payload[key] = sinks.write_payload(rt.payload_rows(self.processed()), work_dir(self.spark, "payload"))
+        return self._payload[key]
+
+    _payload: dict[tuple[str, str], sinks.Payload] = {}
+
     def dense_index(self) -> DataFrame:
         def make() -> DataFrame:
             parts = [rt.build_dense_index(self.processed(), self.vectors(s), Space(s, "precomputed")) for s in (rt.BASE, rt.TUNED)]
@@ -127,7 +138,7 @@ class Tables:
 
     def evaluation(self) -> ev.Evaluation:
         encoded = {s: self.dense_queries(s) for s in (rt.BASE, rt.TUNED)}
-        hits = ev.hits_of_spaces(self.dense_index(), encoded, K)
+        hits = ev.hits_of_spaces(self.dense_index(), encoded, K, self.payload())
         queries = encoded[rt.BASE].select("query_id", "category", "query")
         return ev.Evaluation(queries, hits)
 
@@ -136,11 +147,11 @@ class Tables:
         index, spaces = self.text_index()
         queries = catalog.evaluation_queries(self.spark)
         encoded = {name: rt.encode_queries(queries, space, space) for name, space in spaces.items()}
-        return ev.Evaluation(queries, self._once("demo-hits", lambda: ev.hits_of_spaces(index, encoded, K)))
+        return ev.Evaluation(queries, self._once("demo-hits", lambda: ev.hits_of_spaces(index, encoded, K, self.payload())))
 
     def base_hits(self, k: int = K) -> DataFrame:
         index = rt.in_space(self.dense_index(), rt.BASE)
-        return rt.search(index, self.dense_queries(rt.BASE), k).with_payload(index)
+        return rt.search(index, self.dense_queries(rt.BASE), k).with_payload(self.payload())
 
     # A hashed space over the search texts, and one fitted to them.
     def text_index(self) -> tuple[DataFrame, dict[str, Space]]:
@@ -151,12 +162,12 @@ class Tables:
 
     _text: dict[tuple[str, str], tuple[DataFrame, dict[str, Space]]] = {}
 
-    def text_hits(self, k: int = K, space: str = rt.BASE) -> tuple[DataFrame, Hits, DataFrame]:
-        """Queries, their hits in one space, and that space's index."""
+    def text_hits(self, k: int = K, space: str = rt.BASE) -> tuple[DataFrame, Hits, sinks.Payload]:
+        """Queries, their hits in one space, and what the rows hold."""
         index, spaces = self.text_index()
         index = rt.in_space(index, space)
         queries = self.benchmark_queries()
-        return queries, rt.search(index, rt.encode_queries(queries, spaces[space], spaces[space]), k), index
+        return queries, rt.search(index, rt.encode_queries(queries, spaces[space], spaces[space]), k), self.payload()
 
 
 # --- sources, constants -------------------------------------------------------------------------------------------
@@ -186,6 +197,47 @@ def index_roundtrip(t: Tables) -> DataFrame:
     return stats.join(F.broadcast(prefixes), "space")
 
 
+def csv_scan(t: Tables) -> DataFrame:
+    """Reviews written as separated text, quoted line breaks and all, and read again with ids from their places in the files."""
+    path = work_dir(t.spark, "reviews-csv")
+    ordered = t.reviews().select("review_text", "star_rating", "review_id").repartitionByRange("review_id").sortWithinPartitions("review_id")
+    sinks.write_csv(ordered.drop("review_id"), path, header=False)
+    return readers.read_reviews_csv(t.spark, path).select("review_id", "star_rating", "review_text")
+
+
+def text_scan(t: Tables) -> DataFrame:
+    """Lines written as text and read again as a dictionary, ranked by their places in the files."""
+    path = work_dir(t.spark, "dictionary-text")
+    lines = t.read("benchmark").select("item_id", F.posexplode(F.split("text", r"[\r\n]")).alias("pos", "value"))
+    lines.repartitionByRange("item_id", "pos").sortWithinPartitions("item_id", "pos").select("value").write.text(path)
+    return readers.read_dictionary(t.spark, path)
+
+
+def csv_export(t: Tables) -> DataFrame:
+    """Processed reviews exported with a header, lists joined, and read back."""
+    path = work_dir(t.spark, "export")
+    sinks.write_csv(t.processed().select("review_id", "star_rating", "food_type", "location"), path)
+    back = t.spark.read.schema("review_id bigint, star_rating int, food_type string, location string").option("header", True)
+    return back.option("sep", ";").option("quote", '"').option("escape", '"').csv(path).fillna("", ["food_type", "location"])
+
+
+def _length_model() -> Callable[[list[str]], np.ndarray]:
+    """Stands for a model: a text's length modulo 8 says which of 8 numbers it gets."""
+
+    def run(texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), 8))
+        out[np.arange(len(texts)), [len(x) % 8 for x in texts]] = [float(len(x)) for x in texts]
+        return out
+
+    return run
+
+
+def model_index(t: Tables) -> DataFrame:
+    """Vectors from a function of the caller, loaded once a task and given batches of texts."""
+    made = encode_with(t.processed(), "review_id", "search_text", _length_model, SPACE, "passage")
+    return made.select("review_id", F.posexplode("vector").alias("pos", "x")).where("x <> 0").select("review_id", "pos", rounded(F.col("x").cast("double")).alias("x"))
+
+
 def query_catalog(t: Tables) -> DataFrame:
     queries = catalog.evaluation_queries(t.spark)
     counts = match_counts(t.reviews(), queries)
@@ -397,37 +449,52 @@ def _filter_queries(t: Tables) -> DataFrame:
 
 
 def filtered_topk_pre(t: Tables) -> DataFrame:
-    return _scored(rt.search_filtered(rt.in_space(t.dense_index(), rt.BASE), _filter_queries(t), K, "pre"))
+    return _scored(rt.search_filtered(rt.in_space(t.dense_index(), rt.BASE), _filter_queries(t), K, "pre", payload=t.payload()))
 
 
 def filtered_topk_post(t: Tables) -> DataFrame:
-    return _scored(rt.search_filtered(rt.in_space(t.dense_index(), rt.BASE), _filter_queries(t), K, "post"))
+    return _scored(rt.search_filtered(rt.in_space(t.dense_index(), rt.BASE), _filter_queries(t), K, "post", payload=t.payload()))
 
 
 def rerank_topk(t: Tables) -> DataFrame:
-    queries, hits, index = t.text_hits(k=K * rt.OVERFETCH)
-    out = rt.rerank(queries, hits.with_payload(index), K)
+    queries, hits, payload = t.text_hits(k=K * rt.OVERFETCH)
+    out = rt.rerank(queries, hits.with_payload(payload), K)
     return out.select("query_id", "rank", "row_id", "first_rank", rounded("coverage").alias("coverage"), rounded("score").alias("score"))
 
 
-def lsh_recall(t: Tables) -> DataFrame:
-    index, queries = rt.in_space(t.dense_index(), rt.BASE), t.dense_queries(rt.BASE)
-    return _round_all(recall(top_k(index, queries, K).rows, approximate_top_k(index, queries, K)))
+def _every_twentieth(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """The dense index, and its rows whose id is divisible by 20 as queries."""
+    index = rt.in_space(t.dense_index(), rt.BASE).select("row_id", "vector")
+    return index, index.where("row_id % 20 = 0").select(F.col("row_id").alias("query_id"), "vector")
 
 
-def lsh_recall_rows(t: Tables) -> DataFrame:
-    """Every row whose id is divisible by 20 as a query, with as many bands as a recall of 0.9 takes."""
-    index = rt.in_space(t.dense_index(), rt.BASE)
-    queries = index.where("row_id % 20 = 0").select(F.col("row_id").alias("query_id"), "vector")
+def lsh_recall(t: Tables) -> DataFrame:
+    """With as many bands as a recall of 0.9 takes."""
+    index, queries = _every_twentieth(t)
     return _round_all(recall(top_k(index, queries, K).rows, approximate_top_k(index, queries, K, bands=WIDE_BANDS)))
 
 
+def cell_topk(t: Tables) -> DataFrame:
+    index, queries = _every_twentieth(t)
+    best, _ = search_cells(build_cells(index, work_dir(t.spark, "cells")), queries, K)
+    return _scored(best)
+
+
+def cell_recall(t: Tables) -> DataFrame:
+    """Hits of the cell index against those of a search over all rows, and the share of rows it scored."""
+    index, queries = _every_twentieth(t)
+    cells = build_cells(index, work_dir(t.spark, "cells"))
+    best, effort = search_cells(cells, queries, K)
+    found = recall(top_k(index, queries, K).rows, best.join(effort.withColumnRenamed("n_scored", "n_candidates"), "query_id"))
+    share = F.col("n_scored") / F.lit(max(1, int(cells.cells.rows.sum())))
+    return _round_all(found.withColumnRenamed("n_candidates", "n_scored").withColumn("share_scored", share))
+
+
 def space_fallback(t: Tables) -> DataFrame:
     """Queries ask for the tuned space or for one that was never built; hits come from the space they end up with."""
-    index = t.dense_index()
     wanted = F.when(F.col("query_id") % 2 == 0, F.lit(rt.TUNED)).otherwise(F.lit("unbuilt"))
     requests = t.evaluation().queries.select("query_id", wanted.alias("space"))
-    resolved = rt.resolve_spaces(requests, index)
+    resolved = rt.resolve_spaces(requests, (rt.BASE, rt.TUNED))
     hits = t.evaluation().hits.select("query_id", F.col("space").alias("used_space"), "rank", "row_id", "score")
     return resolved.join(hits, ["query_id", "used_space"]).select(
         "query_id", "space", "used_space", "rank", "row_id", rounded("score").alias("score")
@@ -438,26 +505,26 @@ def space_fallback(t: Tables) -> DataFrame:
 
 
 def answer_template(t: Tables) -> DataFrame:
-    queries, hits, index = t.text_hits()
-    return answers.template_answers(queries, hits.with_payload(index))
+    queries, hits, payload = t.text_hits()
+    return answers.template_answers(queries, hits.with_payload(payload))
 
 
 def answer_prompt(t: Tables) -> DataFrame:
-    queries, hits, index = t.text_hits()
-    made = answers.answer_prompts(queries, hits.with_payload(index))
+    queries, hits, payload = t.text_hits()
+    made = answers.answer_prompts(queries, hits.with_payload(payload))
     return made.select("query_id", F.posexplode("messages").alias("pos", "m")).select("query_id", "pos", "m.role", "m.content")
 
 
 def answer_router(t: Tables) -> DataFrame:
-    queries, hits, index = t.text_hits()
+    queries, hits, payload = t.text_hits()
     asked = queries.withColumn("use_model", F.col("query_id") % 2 == 0)
-    routed = answers.routed_answers(asked, hits.with_payload(index))
+    routed = answers.routed_answers(asked, hits.with_payload(payload))
     return routed.select("query_id", "answer", F.element_at("messages", 2)["content"].alias("user_message"))
 
 
 def display_rows(t: Tables) -> DataFrame:
-    _, hits, index = t.text_hits()
-    rows = answers.display_rows(hits.with_payload(index))
+    _, hits, payload = t.text_hits()
+    rows = answers.display_rows(hits.with_payload(payload))
     return rows.select(
         "query_id", "rank", "row_id", "star_rating", "star_display", "star_slots", rounded("score").alias("score"),
         *joined("cuisine_type_shown", "food_type_shown", "location_shown"), "review_shown",
@@ -465,8 +532,8 @@ def display_rows(t: Tables) -> DataFrame:
 
 
 def display_nested(t: Tables) -> DataFrame:
-    queries, hits, index = t.text_hits()
-    found = hits.with_payload(index)
+    queries, hits, payload = t.text_hits()
+    found = hits.with_payload(payload)
     nested = answers.nested_results(answers.template_answers(queries, found), found)
     return nested.select("query_id", "num_results", F.explode("results").alias("r")).select(
         "query_id", "num_results", "r.rank", "r.star_rating", "r.star_display", rounded("r.relevance_score").alias("relevance_score"),
@@ -475,8 +542,17 @@ def display_nested(t: Tables) -> DataFrame:
 
 
 def demo_answers(t: Tables) -> DataFrame:
-    queries, hits, index = t.text_hits(k=3)
-    made = answers.template_answers(queries, hits.with_payload(index))
+    queries, hits, payload = t.text_hits(k=3)
+    made = answers.template_answers(queries, hits.with_payload(payload))
+    return made.select("query_id", answers.answer_preview("answer").alias("preview"))
+
+
+def quick_demo(t: Tables) -> DataFrame:
+    """The four quick queries, three rows each, and the openings of their answers."""
+    index, spaces = t.text_index()
+    queries, space = catalog.quick_queries(t.spark), spaces[rt.BASE]
+    hits = rt.search(rt.in_space(index, rt.BASE), rt.encode_queries(queries, space, space), 3)
+    made = answers.template_answers(queries, hits.with_payload(t.payload()))
     return made.select("query_id", answers.answer_preview("answer").alias("preview"))
 
 
@@ -493,12 +569,20 @@ def requests(t: Tables) -> DataFrame:
     )
 
 
-def search_and_answer(t: Tables) -> DataFrame:
+def _answered(t: Tables, filter_mode: str) -> DataFrame:
     index, spaces = t.text_index()
-    texts, _ = rt.search_and_answer(index, spaces, requests(t), filter_mode="post")
+    texts, _ = rt.search_and_answer(index, spaces, requests(t), filter_mode, t.payload())
     return texts.select("query_id", "side", "mode", "num_results", "answer")
 
 
+def search_and_answer(t: Tables) -> DataFrame:
+    return _answered(t, "post")
+
+
+def search_and_answer_pre(t: Tables) -> DataFrame:
+    return _answered(t, "pre")
+
+
 # --- evaluation ---------------------------------------------------------------------------------------------------
 
 
@@ -608,6 +692,10 @@ REGISTRY: dict[str, Callable[[Tables], DataFrame]] = {
     "normalize_queries": normalize_queries,
     "processed_roundtrip": processed_roundtrip,
     "index_roundtrip": index_roundtrip,
+    "csv_scan": csv_scan,
+    "text_scan": text_scan,
+    "csv_export": csv_export,
+    "model_index": model_index,
     "query_catalog": query_catalog,
     "lexicon_stats": lexicon_stats,
     "filter_label_map": filter_label_map,
@@ -645,7 +733,8 @@ REGISTRY: dict[str, Callable[[Tables], DataFrame]] = {
     "filtered_topk_post": filtered_topk_post,
     "rerank_topk": rerank_topk,
     "lsh_recall": lsh_recall,
-    "lsh_recall_rows": lsh_recall_rows,
+    "cell_topk": cell_topk,
+    "cell_recall": cell_recall,
     "space_fallback": space_fallback,
     "answer_template": answer_template,
     "answer_prompt": answer_prompt,
@@ -653,7 +742,9 @@ REGISTRY: dict[str, Callable[[Tables], DataFrame]] = {
     "display_rows": display_rows,
     "display_nested": display_nested,
     "demo_answers": demo_answers,
+    "quick_demo": quick_demo,
     "search_and_answer": search_and_answer,
+    "search_and_answer_pre": search_and_answer_pre,
     "retrieval_metrics": retrieval_metrics,
     "retrieval_overall": retrieval_overall,
     "compare_spaces": compare_spaces,
