@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
@@ -19,6 +20,7 @@ class Settings:
     algo_queries_path: str = "data/queries_algo.txt"
     processed_path: str = "data/processed"
     index_path: str = "data/index"
+    pairs_path: str = "data/pairs"
     embedding_model: str = "intfloat/multilingual-e5-base"
     answer_model: str = "scb10x/llama3.1-typhoon2-8b-instruct"
     top_k: int = 5
@@ -49,4 +51,24 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or _own_base.get(spark.sparkContext.applicationId)
     if not base:
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    if _scratch:
+        _scratch[-1].append(path)
+    return path
+
+
+#: Folders given out inside ``scratch`` blocks that are open.
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Folders for intermediate tables given out inside are removed at the end; a job writes its results inside, elsewhere."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for folder in _scratch.pop():
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)

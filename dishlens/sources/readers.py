@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from dishlens.functions import text as tx
 from dishlens.operators.encode import Space
-from dishlens.sources.sinks import materialize
+from dishlens.sources.sinks import Payload, materialize
 
 # Strings that a data frame reader takes for a missing value by default.
 NA_VALUES = (
@@ -115,6 +115,12 @@ def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, Spa
     }
 
 
+def read_payload(spark: SparkSession, path: str) -> Payload:
+    """The payload table that spaces share."""
+    rows = read_table(spark, path, "write_payload")
+    return Payload(rows, read_table(spark, f"{path}-shelves", "write_payload").first()["shelves"])
+
+
 def spread(df: DataFrame, key: str, small_bytes: int = SMALL_INPUT_BYTES) -> DataFrame:
     """Share a small input out over all cores by its key; a large one already comes in enough splits and stays put."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

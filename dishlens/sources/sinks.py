@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,6 +40,7 @@ def write_payload(rows: DataFrame, path: str) -> Payload:
     shelves = max(1, min(MAX_SHELVES, rows.count() // SHELF_ROWS))
     dealt = rows.withColumn("shelf", Payload.shelf(shelves)).repartition("shelf").sortWithinPartitions("shelf", "row_id")
     dealt.write.mode("overwrite").partitionBy("shelf").parquet(path)
+    rows.sparkSession.createDataFrame([(shelves,)], "shelves int").coalesce(1).write.mode("overwrite").parquet(f"{path}-shelves")
     return Payload(rows.sparkSession.read.schema(f"{_ddl(rows)}, shelf int").parquet(path), shelves)
 
 
@@ -59,10 +60,14 @@ def materialize(df: DataFrame, purpose: str, partition_by: list[str] | None = No
 
 
 def write_index(index: DataFrame, spaces: list[Space], path: str) -> None:
-    """Vectors with their payload, one folder per space, and beside them what the spaces are."""
+    """Vectors, one folder per space, and beside them what the spaces are."""
     index.write.mode("overwrite").partitionBy("space").parquet(f"{path}/vectors")
+    write_spaces(index.sparkSession, spaces, path)
+
+
+def write_spaces(spark: SparkSession, spaces: list[Space], path: str) -> None:
     rows = [(s.name, s.encoder, s.passage_prefix, s.query_prefix, s.dim, s.tokens, list(s.idf) if s.idf is not None else None) for s in spaces]
-    index.sparkSession.createDataFrame(rows, SPACES).coalesce(1).write.mode("overwrite").parquet(f"{path}/spaces")
+    spark.createDataFrame(rows, SPACES).coalesce(1).write.mode("overwrite").parquet(f"{path}/spaces")
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ";", header: bool = True) -> None:

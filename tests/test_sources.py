@@ -1,11 +1,14 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from dishlens.config import Settings
 from dishlens.functions import text as tx
 from dishlens.operators.encode import Space
+from dishlens.plans import jobs
 from dishlens.plans import retrieval as rt
-from dishlens.plans.preprocess import run_preprocessing
+from dishlens.plans.preprocess import counted_cleaning, run_preprocessing
 from dishlens.sources import catalog, readers, sinks
 
 
@@ -42,6 +45,76 @@ def test_queries(spark, tmp_path):
     assert rt.asked(queries).count() == 1
 
 
+def test_ids_do_not_follow_splits(spark, tmp_path):
+    """Many files and lines, read in large and in small splits: ids are places in the files, by file name."""
+    folder = tmp_path / "lines"
+    folder.mkdir()
+    for f in range(5):
+        write(folder / f"part-{f}.txt", "".join(f"line {f} {i} {'x' * (i % 50)}\n" for i in range(400 if f == 2 else 37)))
+    want = [f"line {f} {i} {'x' * (i % 50)}".strip() for f in range(5) for i in range(400 if f == 2 else 37)]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        for size in ("128m", "1k", "333b"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "10b")
+            rows = readers.read_queries(spark, str(folder)).collect()
+            assert [r.query for r in sorted(rows, key=lambda r: r.query_id)] == want
+            assert sorted(r.query_id for r in rows) == list(range(len(want)))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", old[1])
+
+
+def test_stages_are_counted_while_they_are_written(spark, tmp_path):
+    """One read of the reviews, whatever is counted."""
+    rows = [(i, None if i % 10 == 0 else "short" if i % 10 == 1 else f"a review that is long enough {i}", 3) for i in range(100)]
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    reviews = spark.createDataFrame(rows, "review_id bigint, review_text string, star_rating int")
+    reviews = reviews.mapInArrow(counted, reviews.schema)
+    for most, sampled in ((None, 80), (30, 30)):
+        before = reads.value
+        cleaned, counts = counted_cleaning(reviews, most)
+        assert [(r.stage, r.n) for r in counts.orderBy("stage_rank").collect()] == [("loaded", 90), ("cleaned", 80), ("sampled", sampled)]
+        assert cleaned.count() == sampled and reads.value - before == 100
+
+
+def test_all_steps_of_a_deployment(spark, tmp_path):
+    texts = [f"The {w} soup and {w} tea were good, a fine place number {i}" for i in range(60) for w in ("thai", "steak")]
+    settings = Settings(
+        reviews_path=write(tmp_path / "r.csv", "".join(f'"{t}";{1 + i % 5}\n' for i, t in enumerate(texts))),
+        dictionary_path=write(tmp_path / "d.txt", "soup\nsteak\n"),
+        judge_queries_path=write(tmp_path / "j.txt", "thai|soup\n"),
+        algo_queries_path=write(tmp_path / "a.txt", "good tea\n"),
+        processed_path=str(tmp_path / "processed"),
+        index_path=str(tmp_path / "index"),
+        pairs_path=str(tmp_path / "pairs"),
+        num_pairs=40,
+        batch_size=8,
+        epochs=2,
+        top_k=3,
+    )
+    run_preprocessing(spark, settings)
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    before = set(os.listdir(shared))
+    index, spaces, payload = jobs.run_indexing(spark, settings)
+    mined, plan = jobs.run_training_set(spark, settings)
+    assert set(os.listdir(shared)) - before == {x for x in os.listdir(shared) if x.startswith("batches-")} - before  # only the plan's table is left
+    assert set(spaces) == {"base", "tuned"} and spaces["base"].query_prefix == "query: "
+    assert index.count() == 240 and payload.rows.count() == 120
+    assert mined.count() == 40 and plan.first().total_steps == 10
+    report = jobs.run_evaluation(spark, settings).report().collect()
+    assert [r["count"] for r in report if r.section == "overall"] == [26]
+    queries = spark.createDataFrame([(1, "thai soup"), (2, "steak")], "query_id bigint, query string")
+    got = {r.query_id: r for r in jobs.run_answers(spark, settings, queries).collect()}
+    assert set(got) == {1, 2} and got[1].model == settings.answer_model and len(got[1].messages) == 2 and "thai" in got[1].answer
+
+
 def test_constants(spark):
     assert catalog.evaluation_queries(spark).groupBy("category").count().orderBy("count").collect()[-1]["count"] == 6
     assert catalog.evaluation_queries(spark).count() == 26

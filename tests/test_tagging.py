@@ -69,3 +69,17 @@ def test_mentions_in_one_pass_in_blocks_and_by_brute_force_agree(spark):
         done = with_mentions(df, dic, max_scan_terms=terms_at_once, max_scan_chars=chars)
         got = {r.review_id: r.mentioned_foods for r in done.collect()}
         assert got == want
+
+
+def test_large_dictionaries_write_no_texts(spark, monkeypatch):
+    from dishlens.operators import terms
+
+    written, kept = [], terms.materialize
+    monkeypatch.setattr(terms, "materialize", lambda df, name: written.append(df.columns) or kept(df, name))
+    rows = [(i % 7, f"abcd efgh {'mnop ' * (i % 2)}{i % 5}") for i in range(60)] + [(None, None), (1, "")]
+    df = spark.createDataFrame(rows, "review_id bigint, review_text string")
+    dic = spark.createDataFrame([(0, "abcd"), (1, "efgh"), (2, "mnop"), (3, "fgh 1")], "rank bigint, term string")
+    got = with_mentions(df, dic, max_mentions=2, max_scan_terms=1)
+    want = sorted((str(i), str(x), [t for t in ("abcd", "efgh", "mnop", "fgh 1") if x and t in x][:2]) for i, x in rows)
+    assert sorted((str(r.review_id), str(r.review_text), r.mentioned_foods) for r in got.collect()) == want
+    assert written and all("review_text" not in columns for columns in written)
