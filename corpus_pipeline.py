@@ -10,8 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from dishlens.config import scratch, work_dir
 from dishlens.llm import exact_dedup, mixing, near_dedup, pieces, toxicity
-from dishlens.sources.sinks import materialize
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -58,8 +58,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows for the documents of a folder."""
+    """The last stage's rows for the documents of a folder; what a stage writes on its way is removed when it ends."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        path = work_dir(spark, name)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs

@@ -9,6 +9,7 @@ import pytest
 import __spark_entry__ as entry
 import corpus_pipeline
 from dishlens.llm import oracle, queries, toxicity
+from dishlens.sources.sinks import materialize
 
 DIR = "/root/testdata/sf0.001"
 
@@ -17,7 +18,7 @@ def test_stages_follow_each_other(spark, documents, labels):
     docs = documents
     kept = {}
     for name, stage in corpus_pipeline.STAGES:
-        docs = corpus_pipeline.materialize(stage(spark, docs, DIR), name)
+        docs = materialize(stage(spark, docs, DIR), name)
         kept[name] = docs.collect()
         assert name == "sentencepiece" or docs.columns == documents.columns
     rows = documents.collect()
@@ -41,14 +42,14 @@ def test_stages_follow_each_other(spark, documents, labels):
 def test_stages_take_odd_and_empty_tables(spark, odd):
     for docs in (odd, odd.limit(0)):
         for name, stage in corpus_pipeline.STAGES:
-            docs = corpus_pipeline.materialize(stage(spark, docs, DIR), name)
+            docs = materialize(stage(spark, docs, DIR), name)
         assert {"doc_id", "ids"} <= set(docs.columns)
 
 
 @pytest.mark.parametrize("name", sorted(oracle.SQL))
 def test_equals_sql(spark, name):
     db = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "labels"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
     df = queries.QUERIES[name](spark, DIR)
     cols = sorted(df.columns)
@@ -63,4 +64,4 @@ def test_equals_sql(spark, name):
 def test_all_are_registered():
     names = set(entry.queries())
     assert set(queries.QUERIES) | {"pipeline"} <= names
-    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 14))
