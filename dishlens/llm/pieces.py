@@ -1,7 +1,9 @@
 """SentencePiece encoding and decoding: the best segmentation of a text into scored pieces.
 
 The pieces of a vocabulary, with their log scores, stand in a double-array trie over bytes, in which a space stands for the
-whitespace marker. A text gets one space in front. All pieces that begin at any byte of a batch are found at once, one byte
+whitespace marker. Of a model that has ranks of merges instead of log scores, a piece of rank r gets the log of its share by
+Zipf's law, -log(r + 1) less the log of the sum of 1 / (r + 1) over all pieces; nothing is trained. Scores are multiples of GRID, so
+that sums are exact and ties are ties in any order. A text gets one space in front. All pieces that begin at any byte of a batch are found at once, one byte
 of length a step, and the Viterbi recurrence runs over all words of the batch in step. Of segmentations with equal scores the
 one whose last piece is longest wins, and so on from the end. A character that no single-character piece covers may be written as its UTF-8
 bytes, at the least score of all pieces less UNKNOWN_PENALTY. If no piece holds a space after another character, as in the
@@ -15,6 +17,7 @@ columns are not read. The vocabulary's file is read by the driver, and what is b
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -26,9 +29,10 @@ from pyspark.sql import functions as F
 
 from dishlens.llm import arrays
 
-MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: The model's file, unless the environment names another one.
+MODEL = os.environ.get("DISHLENS_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 MARKER, SPACE = "▁", 0x20
-UNKNOWN_PENALTY = 10.0
+UNKNOWN_PENALTY, GRID = 10.0, 2.0**-20
 #: Words up to this many bytes are segmented in step with all others of the batch, longer ones one by one.
 IN_STEP = 2_000
 BATCH_BYTES = 1 << 20
@@ -78,7 +82,18 @@ def read_vocabulary(path: str = MODEL) -> Vocabulary:
             usable[i] = False
         else:
             pieces.append(piece.replace(MARKER, " ").encode())
-    return Vocabulary(pieces, np.array([model.get_score(i) for i in range(n)], np.float64), usable, byte_ids)
+    scores = np.array([model.get_score(i) for i in range(n)], np.float64)
+    return Vocabulary(pieces, log_scores(scores, usable) if are_ranks(scores[usable]) else scores, usable, byte_ids)
+
+
+def are_ranks(scores: np.ndarray) -> bool:
+    """Whether scores are ranks of merges, counted down from zero, rather than logarithms."""
+    return len(scores) > 1 and bool((scores == np.round(scores)).all()) and bool((scores <= 0).all())
+
+
+def log_scores(ranks: np.ndarray, usable: np.ndarray) -> np.ndarray:
+    rank = np.maximum(-ranks, 0.0) + 1
+    return np.round((-np.log(rank) - np.log((1 / rank[usable]).sum())) / GRID) * GRID
 
 
 def place_nodes(children: list[dict[int, int]], ends: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

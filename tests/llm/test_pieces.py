@@ -50,6 +50,26 @@ def brute(vocabulary, text):
     return ids
 
 
+def test_ranks_become_log_scores(vocabulary, trie):
+    """Scores fall with the rank as logarithms do, and common words stay whole."""
+    assert op.are_ranks(np.array([0.0, -1.0, -1e9])) and not op.are_ranks(np.array([-1.5, -2.0])) and not op.are_ranks(np.zeros(0))
+    scores = op.log_scores(np.array([0.0, -1.0, -2.0, -9.0]), np.array([True, True, True, False]))
+    assert np.allclose(np.exp(scores), np.array([1, 1 / 2, 1 / 3, 1 / 10]) / (1 + 1 / 2 + 1 / 3), atol=1e-5)
+    assert np.exp(vocabulary.scores[vocabulary.usable]).sum() == pytest.approx(1, abs=1e-3)
+    for word in ("international", "government", "different", "information"):
+        assert len(encoded(trie, [word])[0]) == 1
+
+
+def test_about_as_many_pieces_as_by_merging(trie):
+    import pyarrow.parquet as pq
+    import sentencepiece
+
+    texts = pq.read_table("/root/testdata/sf0.001/documents.parquet").column("text").to_pylist()[:60]
+    words = sorted({w for t in texts if t for w in t.split()})
+    library = sentencepiece.SentencePieceProcessor(model_file=op.MODEL)
+    assert sum(map(len, encoded(trie, words))) <= 1.02 * sum(map(len, library.encode(words)))
+
+
 TEXTS = ["", "Hello world", "  two  spaces ", "tab\there\nnew", "naïve ▁ marker 日本語 😀x", "a" * 50, "éreauxç çé. $$$ %%%", " ", "x" * 300]
 
 
