@@ -44,6 +44,26 @@ def test_blocks_come_back_as_they_were():
         assert a.tolist() == b.tolist()
 
 
+def test_bytes_follow_the_entries_not_the_blocks():
+    """As many fingerprints take about as many bytes in 8 blocks as in 2 ** 20."""
+    marks = np.random.default_rng(1).integers(0, 2**63, 50_000).astype(np.uint64) * np.uint64(2)
+    size = []
+    for bits in (3, 8, 11, 14, 20):
+        batch = op._filter(marks, bits)
+        size.append(sum(len(v.as_buffer()) for name in ("occupied", "run_ends", "remainders", "counts") for v in batch.column(name)) / len(marks))
+        parts = [op.decode_block(*(batch.column(c)[i].as_buffer().to_pybytes() for c in ("occupied", "run_ends", "remainders", "counts"))) for i in range(min(20, batch.num_rows))]
+        assert all((np.diff(q) >= 0).all() for q, _, _ in parts)
+    assert max(size) < 18 and max(size) < 1.3 * min(size)
+
+
+def test_many_blocks_give_the_same_groups(both, rows, monkeypatch):
+    """Blocks of a few fingerprints, so that a block's bits eat into the remainder's, and hot groups of any size."""
+    monkeypatch.setattr(op, "PER_BLOCK", 1 / 2**11)
+    monkeypatch.setattr(op, "HOT_SHARE", 20)
+    got = [tuple(r) for r in op.decisions(both).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()]
+    assert sorted(map(str, got)) == sorted(map(str, expected(rows)))
+
+
 def test_merging_filters_adds_counts():
     a = (np.array([1, 1, 3]), np.array([5, 6, 1], np.uint32), np.array([1, 1, 2], np.uint64))
     b = (np.array([1, 2]), np.array([6, 6], np.uint32), np.array([4, 1], np.uint64))
@@ -58,12 +78,20 @@ def test_fingerprints_that_collide_are_told_apart(spark, monkeypatch):
     assert sorted(map(tuple, groups)) == [(0, 2, 2), (1, 1, 2), (2, 2, 2), (3, 3, 1), (4, 1, 2)]
 
 
-def test_copies_are_counted_within_tasks_first(spark, documents):
+def test_copies_are_counted_within_tasks_first(spark, documents, monkeypatch):
     """Whole texts are not dealt before they are grouped, also where no table is small enough to be broadcast."""
+    plans, kept = {}, op.materialize
+
+    def written(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString().splitlines()
+        return kept(df, name)
+
+    monkeypatch.setattr(op, "materialize", written)
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        plan = op.decisions(documents)._jdf.queryExecution().executedPlan().toString().splitlines()
+        op.decisions(documents)
+        plan = plans["groups"]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     made = next(i for i, line in enumerate(plan) if "MapInArrow" in line and "body" in line)
