@@ -7,9 +7,10 @@ are merged where the part is. A part takes some PART_KEYS keys, whatever the num
 count, so it is never under the true count: a key that occurs twice is always found, and a key that occurs once is found if
 another one fell into its cell, one in CELLS.
 
-What goes to every task is a bitmap of the cells that count 2 or more only: BITS bits for each, at most 2 ** MAX_BITS (64 MB). Its
-size follows the keys that repeat, not all keys; a single key passes it by chance with one in BITS, and more often beyond
-2 ** MAX_BITS / BITS cells that repeat, which costs time in the second pass and changes no result.
+What goes to every task is a bitmap of the cells that count 2 or more only, with two places for each: BITS bits a cell, at most
+2 ** MAX_BITS (64 MB). Its size follows the keys that repeat, not all keys; a single key passes it by chance if both its places are
+taken, one in (BITS / 2) ** 2 or less often, and more often beyond 2 ** MAX_BITS / BITS cells that repeat, which costs time in the
+second pass and changes no result.
 """
 
 from __future__ import annotations
@@ -51,6 +52,12 @@ def part_bits(bits: int) -> int:
     return max(0, min(keys - int(np.log2(PART_KEYS)), PART_BITS), keys - int(np.log2(MOST_KEYS)))
 
 
+def places(cells: np.ndarray, bits: int, width: int, stretch: int) -> tuple[np.ndarray, np.ndarray]:
+    """Both places of each cell in a bitmap of 2 ** ``width`` bits, the second one in the same stretch."""
+    first = cells >> U(FINER + bits - width)
+    return first, (first & ~U(stretch - 1)) | (mix(cells ^ U(BASE)) & U(stretch - 1))
+
+
 def cells_of(keys: np.ndarray, bits: int) -> np.ndarray:
     return mix(keys + U(BASE)) >> U(64 - FINER - bits)
 
@@ -119,7 +126,8 @@ def spread(repeated: DataFrame, bits: int, own: int) -> Broadcast:
         for batch in batches:
             for part, value in zip(batch.column("part").to_pylist(), batch.column("cells"), strict=True):
                 one = np.zeros(stretch, bool)
-                one[((unpack(value.as_buffer().to_pybytes()) >> U(FINER + bits - width)) & U(stretch - 1)).astype(np.int64)] = True
+                for slot in places(unpack(value.as_buffer().to_pybytes()), bits, width, stretch):
+                    one[(slot & U(stretch - 1)).astype(np.int64)] = True
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(one, bitorder="little").tobytes()], pa.binary())], names=["part", "bits"])
 
     table = np.zeros((1 << own, stretch // 8), np.uint8)
@@ -131,8 +139,12 @@ def spread(repeated: DataFrame, bits: int, own: int) -> Broadcast:
 def may_repeat(table: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
     """Whether a key's estimate may be 2 or more."""
     width = (len(table) * 8).bit_length() - 1
-    slot = cells_of(keys, bits) >> U(FINER + bits - width)
-    return (table[(slot >> U(3)).astype(np.int64)] >> (slot & U(7)).astype(np.uint8)) & 1 > 0
+    taken = lambda slot: (table[(slot >> U(3)).astype(np.int64)] >> (slot & U(7)).astype(np.uint8)) & 1 > 0
+    first, second = places(cells_of(keys, bits), bits, width, 1 << (width - part_bits(bits)))
+    found = taken(first)
+    at = np.flatnonzero(found)
+    found[at] = taken(second[at])
+    return found
 
 
 def bitmap(df: DataFrame, column: str) -> tuple[int, Broadcast]:
