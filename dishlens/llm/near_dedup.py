@@ -16,7 +16,8 @@ A document's set is its distinct runs of ``width`` words (one run if it has fewe
    components goes unverified, a bucket gives as many rows as it has components, and no task gets more than two blocks.
 
 Results: no words, empty or null text: an empty set, linked with nothing. Rows that repeat, or differ in white space or case
-only, have equal sets; rows that share a doc_id within a group stay or go together. A null doc_id comes after all others. An empty table gives an empty result. Other columns are not read.
+only, have equal sets; rows that share a doc_id within a group stay or go together. A null doc_id comes after all others. An empty table gives an empty result. Very long
+texts are worked on by themselves, a chunk each; a set is as long as its text. Other columns are not read.
 Equal sets are told by a 64-bit hash of a 128-bit one.
 """
 

@@ -11,7 +11,8 @@ vocabularies that mark word beginnings, words are segmented apart and equal word
 
 A marker character that stands in a text itself is written as bytes, so decoding gives back every text exactly.
 
-Results: null or empty text has no pieces; everything else decodes to itself. Rows are independent, repeated ones too. Other
+Results: null or empty text has no pieces; everything else decodes to itself. Rows are independent, repeated ones too. Very long
+texts are cut into words, or segmented one by one where the vocabulary has no word beginnings. An empty table gives no rows. Other
 columns are not read. The vocabulary's file is read by the driver, and what is broadcast is the trie, whose size is the vocabulary's.
 """
 

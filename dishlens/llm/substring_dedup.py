@@ -10,7 +10,8 @@
 3. The words covered are gathered by document.
 
 Results: null or empty text has no words and keeps the hash of the empty string. Rows that share a doc_id do not cover each
-other; a null doc_id comes after all others. Repeated rows each get a result. Other columns are not read.
+other; a null doc_id comes after all others. Repeated rows each get a result. Very long texts are worked on by themselves, a
+chunk each. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations

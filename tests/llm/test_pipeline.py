@@ -5,10 +5,11 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from dishlens.llm import oracle, queries, toxicity
+from dishlens.llm import collocations, language_id, near_dedup, oracle, quality_rules, queries, simhash, substring_dedup, suffix_dedup, toxicity
 from dishlens.sources.sinks import materialize
 
 DIR = "/root/testdata/sf0.001"
@@ -61,6 +62,24 @@ def test_equals_sql(spark, name):
     assert got == sorted(str(tuple(tidy(r[have.index(c)]) for c in cols)) for r in cur.fetchall())
 
 
+@pytest.mark.parametrize("name", ["op1", "op6", "op7", "op9", "op10", "op11", "op12"])
+def test_columns_of_clashing_names_change_nothing(odd, name):
+    """Every operator on rows with nulls, ties, repeats and extra columns, against the same rows without the extra columns."""
+    run = {
+        "op1": quality_rules.judge,
+        "op6": near_dedup.near_duplicates,
+        "op7": lambda docs: substring_dedup.digest(substring_dedup.dedupe_passages(docs)),
+        "op9": language_id.identify,
+        "op10": lambda docs: suffix_dedup.digest(suffix_dedup.dedupe_strings(docs)),
+        "op11": collocations.frequent_phrases,
+        "op12": simhash.near_duplicates,
+    }[name]
+    extra = odd.withColumns({c: F.lit("x") for c in ("words", "n", "route", "fp", "shard", "host", "key", "position", "size", "score")})
+    plain = odd.select("doc_id", "text", "lang", "source")
+    got = [sorted(str(sorted(r.asDict().items(), key=str)) for r in run(docs).collect()) for docs in (extra, plain)]
+    assert got[0] and got[0] == got[1]
+
+
 def test_all_are_registered():
     names = set(entry.queries())
     assert set(queries.QUERIES) | {"pipeline"} <= names
