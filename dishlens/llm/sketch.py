@@ -38,7 +38,7 @@ MIN_SIZE_BITS, MAX_SIZE_BITS, MIN_BITS, MAX_BITS, MAX_MAP_BITS = 16, 56, 22, 29,
 PART_KEYS, PART_BITS, MOST_KEYS = 1 << 20, 12, 1 << 23
 #: Keys a task counts before it hands out what it has.
 KEYS_AT_ONCE = 2_000_000
-SCHEMA = "part int, cells binary"
+SCHEMA = "part int, cells binary, counts binary"
 
 
 def bits_for(keys: float) -> int:
@@ -74,29 +74,47 @@ def unpack(value: bytes) -> np.ndarray:
 
 
 def _parts(keys: list[np.ndarray], bits: int, own: int) -> pa.RecordBatch:
-    """Cells and whether they count 2 (lowest bit), ascending, one record for each part that has any."""
+    """Cells and whether they count more than 1 (lowest bit), ascending, one record for each part that has any, and those counts."""
     cells, count = np.unique(cells_of(np.concatenate(keys), bits), return_counts=True)
     part = (cells >> U(FINER + bits - own)).astype(np.int32)
     values = (cells << U(1)) | (count > 1).astype(U)
     heads = np.append(starts_of_runs(part), len(part))
-    packed = [pack(values[a:b]) for a, b in zip(heads[:-1], heads[1:], strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(part[heads[:-1]]), pa.array(packed, pa.binary())], names=["part", "cells"])
-
-
-def _repeated(group: pa.Table) -> pa.Table:
-    """The cells of a part that count 2 or more over all tasks."""
-    values = np.concatenate([unpack(v.as_buffer().to_pybytes()) for v in group.column("cells")])
-    values.sort()
-    cells = values >> U(1)
-    heads = starts_of_runs(cells)
-    more = np.diff(np.append(heads, len(cells))) > 1
-    more |= (values[np.append(heads[1:], len(cells)) - 1] & U(1)) > 0
-    found = cells[heads[more]]
-    return pa.table({"part": group.column("part")[:1], "n": pa.array([len(found)], pa.int64()), "cells": pa.array([pack(found)], pa.binary())})
+    cuts = list(zip(heads[:-1], heads[1:], strict=True))
+    packed = [pack(values[a:b]) for a, b in cuts]
+    counts = [zstandard.compress(c[c > 1].astype("<u4").tobytes(), 1) for c in (count[a:b] for a, b in cuts)]
+    columns = [pa.array(part[heads[:-1]]), pa.array(packed, pa.binary()), pa.array(counts, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["part", "cells", "counts"])
+
+
+def _merging(most: int) -> Callable[[pa.Table], pa.Table]:
+    def merge(group: pa.Table) -> pa.Table:
+        """The cells of a part that count 2 or more over all tasks, and those that count more than ``most``."""
+        values, counts = [], []
+        for cells, more in zip(group.column("cells"), group.column("counts"), strict=True):
+            values.append(unpack(cells.as_buffer().to_pybytes()))
+            counts.append(np.ones(len(values[-1]), np.int64))
+            counts[-1][(values[-1] & U(1)) > 0] = np.frombuffer(zstandard.decompress(more.as_buffer().to_pybytes()), "<u4")
+        cells, count = np.concatenate(values) >> U(1), np.concatenate(counts)
+        order = np.argsort(cells)
+        cells, count = cells[order], count[order]
+        heads = starts_of_runs(cells)
+        total = np.add.reduceat(count, heads) if len(heads) else count
+        found, many = cells[heads[total > 1]], cells[heads[total > most]]
+        return pa.table({
+            "part": group.column("part")[:1], "n": pa.array([len(found)], pa.int64()),
+            "cells": pa.array([pack(found)], pa.binary()), "many": pa.array([many.view(np.int64).tolist()], pa.list_(pa.int64())),
+        })
+
+    return merge
 
 
 def repeated_keys(texts: DataFrame, keys: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int) -> Broadcast:
     """A bitmap of the cells that count 2 or more, over the keys that ``keys`` finds in the batches of ``texts``."""
+    return counted_keys(texts, keys, bits, np.iinfo(np.int64).max)[0]
+
+
+def counted_keys(texts: DataFrame, keys: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int, most: int) -> tuple[Broadcast, DataFrame]:
+    """The same, and the cells (a column ``cell`` of longs) that count more than ``most``."""
     own = part_bits(bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,8 +129,9 @@ def repeated_keys(texts: DataFrame, keys: Callable[[pa.RecordBatch], Iterator[np
         if n:
             yield _parts(held, bits, own)
 
-    parts = texts.mapInArrow(count, SCHEMA).groupBy("part").applyInArrow(_repeated, "part int, n long, cells binary")
-    return spread(materialize(parts, "sketch"), bits, own)
+    parts = texts.mapInArrow(count, SCHEMA).groupBy("part").applyInArrow(_merging(most), "part int, n long, cells binary, many array<long>")
+    parts = materialize(parts, "sketch")
+    return spread(parts, bits, own), parts.select(F.explode("many").alias("cell"))
 
 
 def spread(repeated: DataFrame, bits: int, own: int) -> Broadcast:
