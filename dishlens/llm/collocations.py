@@ -108,6 +108,12 @@ class Chunk:
         last = max(0, len(self.words) - n + 1)
         return (self.piece[:last] == self.piece[n - 1 :]) & (self.doc[:last] == self.doc[n - 1 :])
 
+    def places_only(self) -> Chunk:
+        """What ``text`` needs, and no more."""
+        self.starts, self.ends, self.doc = (c.astype(np.int32) for c in (self.starts, self.ends, self.doc))
+        del self.words, self.piece
+        return self
+
     def text(self, at: int, n: int) -> str:
         return b" ".join(self.data[self.starts[at] : self.ends[at + n - 1]].tobytes().split()).decode()
 
@@ -276,7 +282,7 @@ def _texts(bits: int, tables: Broadcast) -> Callable:
                     at = np.flatnonzero(able)
                     keys, one, times = np.unique(key[at], return_index=True, return_counts=True)
                     parts.append((keys, at[one], times))
-                held.append((chunk, langs))
+                held.append((chunk.places_only(), langs))
                 found.append(tuple(np.concatenate(c) for c in zip(*parts, strict=True)))
                 size += len(chunk.data)
                 if size > HELD_BYTES:
