@@ -2,17 +2,22 @@
 
 A task takes a few hundred reviews at a time. One pass of an automaton over the distinct terms makes a bitmap of reviews for
 each term that occurs; a query is the union of its terms' bitmaps, so its matches are counted as bits, and a draw takes the
-least of its order under the bitmap. Work follows the terms that occur, not the length of the query list: nothing is as long
-as that list for each review. Counts and draws are combined inside the task, so one row per query or draw leaves it.
+least of its order under the bitmap. Counts and draws are combined inside the task, so one row per query or draw leaves it.
+
+Counts take some thousand reviews at once, so that a step over a query's terms does much at a time. Terms that few of the reviews
+hold have no bitmap then: their reviews are listed with the queries that ask for them, and count where the bitmaps say no yet.
 
 The query list travels with the tasks as distinct terms and numbers, up to ``MAX_BLOCK_BYTES`` (some hundred thousand queries
-at one scan). A longer list is cut into blocks of at most that size, one scan each.
+at one scan). A longer list is cut into blocks of at most that size, one scan each. Texts of queries come to the driver a piece of
+``MAX_PIECE_BYTES`` at a time and are turned into numbers there.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
+from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -22,48 +27,115 @@ from pyspark.sql import functions as F
 
 from dishlens.functions import text as tx
 from dishlens.functions.hashing import draw, hash32
+from dishlens.sources.sinks import materialize
 
-MAX_BLOCK_BYTES = 64 << 20
+MAX_BLOCK_BYTES, MAX_PIECE_BYTES = 256 << 20, 64 << 20
 MAX_BLOCK_DRAWS = 200_000
-#: What a query and each of its terms take besides the term's text.
-QUERY_BYTES, TERM_BYTES = 16, 12
+#: What a query, each of its terms and each distinct term take besides the distinct term's text.
+QUERY_BYTES, PLACE_BYTES, TERM_BYTES = 24, 4, 60
 #: Reviews whose bitmaps are made at once, places of queries' terms and draws worked on at once.
 BITMAP_ROWS, STEP_PLACES, STEP_DRAWS = 512, 1 << 18, 512
+#: Reviews counted at once, how many of them a term with a bitmap is in at least, and places of queries' terms worked on at once.
+COUNT_ROWS, FEW_ROWS, COUNT_PLACES = 4_096, 8, 1 << 15
 PRIME = 2_147_483_647
 
 
 class QueryTerms:
     """Some queries as numbers of distinct terms: ``places[begin[q] : begin[q + 1]]`` are those of query ``q``."""
 
-    def __init__(self, table: pa.Table):
-        table = table.sort_by("query_id").combine_chunks()
-        lists = table["terms"].combine_chunks()
-        coded = pc.dictionary_encode(lists.flatten())
-        self.query_ids = table["query_id"].to_numpy().astype("int64")
-        self.terms = coded.dictionary.to_pylist()
-        self.places = coded.indices.to_numpy().astype("int64")
-        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-        self.owner = np.repeat(np.arange(len(sizes)), sizes)
+    def __init__(self, pieces: Iterable[pa.Table]):
+        known: dict[str, int] = {}
+        ids, sizes, places = [], [], []
+        for table in pieces:
+            table = table.sort_by("query_id").combine_chunks()
+            lists = pa.concat_arrays(table["terms"].chunks) if table.num_rows else pa.array([], pa.list_(pa.string()))
+            coded = pc.dictionary_encode(lists.flatten())
+            mine = np.array([known.setdefault(t, len(known)) for t in coded.dictionary.to_pylist()], "int32")
+            ids.append(table["query_id"].to_numpy().astype("int64"))
+            sizes.append(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+            places.append(mine[coded.indices.to_numpy()])
+        ids, sizes, places = np.concatenate(ids), np.concatenate(sizes).astype("int64"), np.concatenate(places).astype("int32")
+        self.terms = list(known)
+        by_id = np.argsort(ids, kind="stable")
+        self.query_ids, self.begin = ids[by_id], np.append(0, np.cumsum(sizes[by_id]))
+        first = np.cumsum(sizes) - sizes
+        at, _ = _ranges(first[by_id], (first + sizes)[by_id])
+        self.places = places[at]
 
-    def compile(self) -> Callable[[list[str | None]], tuple[np.ndarray, np.ndarray]]:
-        """A function from lower-cased texts to the queries that match any, and a bitmap of texts for each of them."""
+    def automaton(self):
         import ahocorasick
 
-        automaton = ahocorasick.Automaton()
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for i, term in enumerate(self.terms):
             automaton.add_word(term, i)
         if self.terms:
             automaton.make_automaton()
-        slot = np.zeros(len(self.terms), "int64")
+        return automaton
+
+    def count(self, batches: Iterable[pa.Array]) -> np.ndarray:
+        """For each query, how many of the lower-cased texts hold one of its terms."""
+        automaton, term_of, totals = self.automaton(), itemgetter(1), np.zeros(len(self.query_ids), "int64")
+        owner = np.repeat(np.arange(len(self.query_ids), dtype="int32"), np.diff(self.begin))
+        asking = owner[np.argsort(self.places, kind="stable")], np.append(0, np.cumsum(np.bincount(self.places, minlength=len(self.terms))))
+        del owner
+        for batch in batches:
+            for k in range(0, len(batch), COUNT_ROWS):
+                texts = batch.slice(k, COUNT_ROWS).to_pylist()
+                found = [list(set(map(term_of, automaton.iter(t)))) if t and self.terms else [] for t in texts]
+                row = np.repeat(np.arange(len(found)), [len(f) for f in found])
+                self._add(totals, np.fromiter(chain.from_iterable(found), "int64", len(row)), row, len(found), asking)
+        return totals
+
+    def _add(self, totals: np.ndarray, term: np.ndarray, row: np.ndarray, rows: int, asking: tuple[np.ndarray, np.ndarray]) -> None:
+        """Count the matches of some reviews, given the pairs of a term and a row that holds it."""
+        held = np.bincount(term, minlength=len(self.terms))
+        wide = np.flatnonzero(held >= FEW_ROWS)
+        slot = np.zeros(len(self.terms), "int32")
+        slot[wide] = np.arange(1, len(wide) + 1)
+        words = -(-rows // 64)
+        bitmaps = np.zeros((len(wide) + 1, words * 8), "uint8")
+        some = slot[term] > 0
+        at = slot[term[some]].astype("int64") * (words * 8) + (row[some] >> 3)
+        np.add.at(bitmaps.reshape(-1), at, (1 << (row[some] & 7)).astype("uint8"))  # each bit once
+        bitmaps = bitmaps.view("uint64")
+        queries, begin = asking
+        term, row = term[~some], row[~some]
+        at, of = _ranges(begin[term], begin[term + 1])
+        pairs = np.sort(queries[at].astype("int64") * rows + row[of])  # by query
+        pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])[: len(pairs)]]
+        buffer = np.empty((0, words), "uint64")
+        first = 0
+        while first < len(self.query_ids):
+            last = max(first + 1, int(np.searchsorted(self.begin, self.begin[first] + COUNT_PLACES, side="right")) - 1)
+            mine = slot[self.places[self.begin[first] : self.begin[last]]]
+            owner = np.repeat(np.arange(last - first), np.diff(self.begin[first : last + 1]))[mine > 0]
+            mine, n = mine[mine > 0], np.bincount(owner, minlength=last - first)
+            # the queries with most bitmaps first, so that those that have a next one are at the top
+            order, start = np.argsort(-n, kind="stable"), np.cumsum(n) - n
+            n, start = n[order], start[order]
+            union = np.zeros((last - first, words), "uint64")
+            buffer = buffer if len(buffer) >= len(union) else np.empty_like(union)
+            for j in range(int(n[0])):
+                top = int(np.searchsorted(-n, -j))
+                np.take(bitmaps, mine[start[:top] + j], axis=0, out=buffer[:top], mode="clip")
+                np.bitwise_or(union[:top], buffer[:top], out=union[:top])
+            totals[first + order] += np.bitwise_count(union).sum(axis=1, dtype="int64")
+            lo, hi = np.searchsorted(pairs, [first * rows, last * rows])
+            place = np.empty(last - first, "int64")
+            place[order] = np.arange(last - first)
+            query, r = pairs[lo:hi] // rows - first, pairs[lo:hi] % rows
+            fresh = (union[place[query], r >> 6] >> (r & 63).astype("uint64")) & np.uint64(1) == 0
+            totals[first:last] += np.bincount(query[fresh], minlength=last - first)
+            first = last
+
+    def compile(self) -> Callable[[list[str | None]], tuple[np.ndarray, np.ndarray]]:
+        """A function from lower-cased texts to the queries that match any, and a bitmap of texts for each of them."""
+        automaton = self.automaton()
+        slot, term_of = np.zeros(len(self.terms), "int64"), itemgetter(1)
 
         def match(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-            found = [{i for _, i in automaton.iter(text)} if text and self.terms else () for text in texts]
-            row = np.repeat(np.arange(len(texts)), [len(f) for f in found])
-            terms, at = np.unique(np.fromiter((i for f in found for i in f), "int64", len(row)), return_inverse=True)
-            words = -(-len(texts) // 64)
-            flags = np.zeros((len(terms), words * 64), bool)
-            flags[at, row] = True
-            bitmaps = np.packbits(flags, axis=1, bitorder="little").view("uint64")
+            terms, bitmaps = _bitmaps([set(map(term_of, automaton.iter(text))) if text and self.terms else () for text in texts])
+            words = bitmaps.shape[1]
             slot[terms] = np.arange(len(terms)) + 1
             queries, unions = [], []
             for k in range(0, len(self.places), STEP_PLACES):
@@ -71,7 +143,7 @@ class QueryTerms:
                 mine = slot[self.places[k : k + STEP_PLACES]]
                 some = np.flatnonzero(mine)
                 if len(some):
-                    owner = self.owner[k + some]
+                    owner = np.searchsorted(self.begin, k + some, side="right") - 1
                     heads = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
                     queries.append(owner[heads])
                     unions.append(np.bitwise_or.reduceat(bitmaps[mine[some] - 1], heads, axis=0))
@@ -85,18 +157,39 @@ class QueryTerms:
         return match
 
 
-def term_blocks(queries: DataFrame, max_bytes: int = MAX_BLOCK_BYTES) -> Iterator[QueryTerms]:
+def _bitmaps(found: list) -> tuple[np.ndarray, np.ndarray]:
+    """From the terms found in each text: the distinct ones, and a bitmap of texts for each."""
+    row = np.repeat(np.arange(len(found)), [len(f) for f in found])
+    terms, at = np.unique(np.fromiter(chain.from_iterable(found), "int64", len(row)), return_inverse=True)
+    flags = np.zeros((len(terms), -(-len(found) // 64) * 64), bool)
+    flags[at, row] = True
+    return terms, np.packbits(flags, axis=1, bitorder="little").view("uint64")
+
+
+def _ranges(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of some ranges, and the range each comes from."""
+    size = end - begin
+    of = np.repeat(np.arange(len(size)), size)
+    return np.arange(len(of)) + (begin - np.cumsum(size) + size)[of], of
+
+
+def term_blocks(queries: DataFrame, max_bytes: int = MAX_BLOCK_BYTES, max_piece_bytes: int = MAX_PIECE_BYTES) -> Iterator[QueryTerms]:
     """All queries as one block if they are within the bound, else block by block."""
     rows = queries.select(F.col("query_id").cast("bigint").alias("query_id"), tx.query_terms("query").alias("terms"))
     rows = rows.where(F.size("terms") > 0)
-    weight = QUERY_BYTES + F.aggregate("terms", F.lit(0).cast("bigint"), lambda a, t: a + F.octet_length(t) + TERM_BYTES)
-    blocks = 1 + int(rows.agg(F.sum(weight)).first()[0] or 0) * 2 // max_bytes
-    number = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    fits = rows.groupBy(number.alias("block")).agg(F.sum(weight).alias("weight")).agg(F.max("weight")).first()[0] or 0
-    if blocks > 1 and fits > 2 * max_bytes:
-        raise ValueError("query ids are not unique, or a query is very long")
+    text = F.aggregate("terms", F.lit(0).cast("bigint"), lambda a, t: a + F.octet_length(t) + PLACE_BYTES)
+    n, places, texts = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("terms")), F.lit(0)), F.coalesce(F.sum(text), F.lit(0))).first()
+    distinct = rows.select(F.explode("terms").alias("t")).distinct().agg(F.coalesce(F.sum(F.octet_length("t") + TERM_BYTES), F.lit(0))).first()[0]
+    blocks = 1 + (n * QUERY_BYTES + places * PLACE_BYTES + distinct) // max_bytes
+    pieces = 1 + texts * 2 // (blocks * max_piece_bytes)
+    number = F.pmod(F.xxhash64("query_id"), F.lit(blocks * pieces))
+    if blocks * pieces > 1:
+        rows = materialize(rows, "query-terms")
+        most = rows.groupBy(number.alias("piece")).agg(F.sum(text).alias("text")).agg(F.max("text")).first()[0]
+        if most > 4 * max_piece_bytes:
+            raise ValueError("query ids are not unique, or a query is very long")
     for b in range(blocks):
-        yield QueryTerms((rows.where(number == b) if blocks > 1 else rows).toArrow())
+        yield QueryTerms((rows.where(number == b * pieces + p) if blocks * pieces > 1 else rows).toArrow() for p in range(pieces))
 
 
 def match_counts(reviews: DataFrame, queries: DataFrame, max_bytes: int = MAX_BLOCK_BYTES) -> DataFrame:
@@ -112,11 +205,7 @@ def _count_block(lowered: DataFrame, block: QueryTerms) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = shared.value
-        match, totals = terms.compile(), np.zeros(len(terms.query_ids), "int64")
-        for batch in batches:
-            for k in range(0, batch.num_rows, BITMAP_ROWS):
-                query, bitmaps = match(batch["lowered"].slice(k, BITMAP_ROWS).to_pylist())
-                totals[query] += np.bitwise_count(bitmaps).sum(axis=1, dtype="int64")
+        totals = terms.count(batch.column("lowered") for batch in batches)
         some = totals > 0
         yield pa.RecordBatch.from_arrays([pa.array(terms.query_ids[some]), pa.array(totals[some])], schema=out_schema)
 

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from dishlens.operators import pairs as pr
@@ -169,3 +170,30 @@ def test_loss_equals_numpy(spark, table):
         s = 20 * a[start : start + 16] @ b[start : start + 16].T
         want = np.mean(np.log(np.exp(s).sum(axis=1)) - np.diag(s))
         assert got[batch] == (len(s), pytest.approx(want))
+
+
+def test_counts_by_bitmaps_and_by_pairs_are_the_same(spark, table, queries, monkeypatch):
+    """Whichever terms have bitmaps, however many reviews and places are worked on at once, and a piece of texts at a time."""
+    from dishlens.operators import query_match as qm
+
+    numbered = queries.withColumn("query_id", F.length("query").cast("bigint") * 10 + F.ascii("query"))
+    texts = [r.review_text for r in table.collect()]
+    terms = {r.query_id: {t for t in r.query.lower().split() if len(t) >= 3} for r in numbered.collect()}
+    want = {q: n for q, ts in terms.items() if (n := sum(any(t in x.lower() for t in ts) for x in texts))}
+    for few, n_rows, places in ((1, 7, 2), (3, 70, 5), (1_000_000, 64, 1 << 15), (8, 4_096, 1)):
+        for name, value in (("FEW_ROWS", few), ("COUNT_ROWS", n_rows), ("COUNT_PLACES", places)):
+            monkeypatch.setattr(qm, name, value)
+        block = next(qm.term_blocks(numbered, max_piece_bytes=200))
+        found = dict(zip(block.query_ids.tolist(), block.count([pa.array([x.lower() for x in texts])]).tolist()))
+        assert {q: n for q, n in found.items() if n} == want
+
+
+def test_a_list_of_few_distinct_terms_is_one_block_however_long(spark):
+    """A block holds numbers of terms; terms that many queries share are in it once."""
+    from dishlens.operators.query_match import term_blocks
+
+    words = " ".join(f"a-rather-long-term-number-{i}" for i in range(20))
+    many = spark.range(2_000).select(F.col("id").alias("query_id"), F.lit(words).alias("query"))
+    blocks = list(term_blocks(many, max_bytes=400_000, max_piece_bytes=200_000))
+    assert len(blocks) == 1 and len(blocks[0].terms) == 20 and len(blocks[0].query_ids) == 2_000
+    assert blocks[0].count([pa.array(["one a-rather-long-term-number-3", None, "none"])]).tolist() == [1] * 2_000
