@@ -36,7 +36,7 @@ QUERY_BYTES, PLACE_BYTES, TERM_BYTES = 24, 4, 60
 #: Reviews whose bitmaps are made at once, places of queries' terms and draws worked on at once.
 BITMAP_ROWS, STEP_PLACES, STEP_DRAWS = 512, 1 << 18, 512
 #: Reviews counted at once, how many of them a term with a bitmap is in at least, and places of queries' terms worked on at once.
-COUNT_ROWS, FEW_ROWS, COUNT_PLACES = 4_096, 8, 1 << 15
+COUNT_ROWS, FEW_ROWS, COUNT_PLACES = 2_048, 8, 1 << 15
 PRIME = 2_147_483_647
 
 
@@ -81,9 +81,9 @@ class QueryTerms:
         for batch in batches:
             for k in range(0, len(batch), COUNT_ROWS):
                 texts = batch.slice(k, COUNT_ROWS).to_pylist()
-                found = [list(set(map(term_of, automaton.iter(t)))) if t and self.terms else [] for t in texts]
-                row = np.repeat(np.arange(len(found)), [len(f) for f in found])
-                self._add(totals, np.fromiter(chain.from_iterable(found), "int64", len(row)), row, len(found), asking)
+                found = [np.fromiter(set(map(term_of, automaton.iter(t))) if t and self.terms else (), "int32") for t in texts]
+                row = np.repeat(np.arange(len(found), dtype="int32"), [len(f) for f in found])
+                self._add(totals, np.concatenate(found), row, len(found), asking)
         return totals
 
     def _add(self, totals: np.ndarray, term: np.ndarray, row: np.ndarray, rows: int, asking: tuple[np.ndarray, np.ndarray]) -> None:
