@@ -70,8 +70,12 @@ def token_column(c: Column | str, tokens: str) -> Column:
     return F.when(n >= 3, grams).otherwise(F.array().cast("array<string>"))
 
 
-def _counted(idf: tuple[float, ...] | None) -> Callable[[pa.Array], pa.Array]:
-    """Buckets of each row -> distinct buckets, ascending, and their unit-length weights; whole batches at a time."""
+#: Rows whose words are counted at once, so that what a task holds does not follow the size of its batches.
+STEP_ROWS = 256
+
+
+def _counted(idf: tuple[float, ...] | None) -> Callable[[Iterator[pa.Array]], Iterator[pa.Array]]:
+    """Buckets of each row -> distinct buckets, ascending, and their unit-length weights; some rows at a time."""
     factors = None if idf is None else np.array(idf)
 
     def count(buckets: pa.Array) -> pa.Array:
@@ -87,7 +91,12 @@ def _counted(idf: tuple[float, ...] | None) -> Callable[[pa.Array], pa.Array]:
         weights = pa.ListArray.from_arrays(pa.array(ends), pa.array(weight / length[row] if len(row) else weight))
         return pa.StructArray.from_arrays([features, weights], ["features", "weights"])
 
-    return count
+    def in_steps(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for k in range(0, len(batch), STEP_ROWS):
+                yield count(batch.slice(k, STEP_ROWS))
+
+    return in_steps
 
 
 def encode(df: DataFrame, text: Column | str, space: Space, role: str) -> DataFrame:
@@ -122,6 +131,11 @@ def refitted(encoded: DataFrame, fitted: Space) -> DataFrame:
     """Rows of the unfitted space in the fitted one: same features, weights scaled and brought back to unit length."""
     factors = np.array(fitted.idf)
 
+    def in_steps(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for features, weights in batches:
+            for k in range(0, len(features), STEP_ROWS):
+                yield scale(features.slice(k, STEP_ROWS), weights.slice(k, STEP_ROWS))
+
     def scale(features: pa.Array, weights: pa.Array) -> pa.Array:
         n = len(features)
         feature = features.flatten().to_numpy(zero_copy_only=False)
@@ -132,7 +146,7 @@ def refitted(encoded: DataFrame, fitted: Space) -> DataFrame:
         ends = np.concatenate([[0], np.cumsum(lengths)]).astype("int32")
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(weight / length[row] if len(row) else weight))
 
-    return encoded.withColumn("weights", F.arrow_udf(scale, "array<double>")("features", "weights"))
+    return encoded.withColumn("weights", F.arrow_udf(in_steps, "array<double>")("features", "weights"))
 
 
 def encode_with(

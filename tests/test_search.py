@@ -340,3 +340,15 @@ def test_lsh_candidates_are_counted_and_ranked_without_listing_them(spark):
         assert got == {q: w for q, w in want.items() if w[1]}
     empty = approximate_top_k(rows, asked.where("query_id < 0"), 4)
     assert empty.count() == 0
+
+
+def test_rows_are_encoded_some_at_a_time(spark):
+    """What a task holds does not follow the size of a batch, and the vectors are those of one row at a time."""
+    import pyarrow as pa
+
+    from dishlens.operators import encode as en
+
+    buckets = pa.array([[i % 7, i % 5, i % 7] if i % 4 else [] for i in range(1_000)], pa.list_(pa.int32()))
+    pieces = list(en._counted(None)(iter([buckets])))
+    assert max(len(p) for p in pieces) <= en.STEP_ROWS and sum(len(p) for p in pieces) == 1_000
+    assert pa.concat_arrays(pieces).to_pylist() == [p.to_pylist()[0] for i in range(1_000) for p in en._counted(None)(iter([buckets.slice(i, 1)]))]
