@@ -11,6 +11,8 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -22,6 +24,8 @@ MAX_SCAN_TERMS = 200_000
 MAX_SCAN_CHARS = 8_000_000
 #: Texts that have all their mentions up to which their keys go to every task; more are joined.
 MAX_BROADCAST_DONE = 1_000_000
+#: Texts that are Python strings at once.
+STEP_TEXTS = 256
 
 
 @dataclass(frozen=True)
@@ -56,17 +60,18 @@ def scan(lowered: Column, listings: list[Listing]) -> Column:
     One automaton per task, fed with Arrow batches.
     """
     labels = [label for x in listings for label, _ in x.words_of]
-    ids_of: dict[str, list[int]] = {}
+    lists: dict[str, list[int]] = {}
     i = 0
     ends = []
     for x in listings:
         for _, words in x.words_of:
             for word in words:
-                ids_of.setdefault(word, []).append(i)
+                lists.setdefault(word, []).append(i)
             i += 1
         ends.append(i)
     keep = [x.keep for x in listings]
     names = [x.name for x in listings]
+    ids_of = {word: tuple(ids) for word, ids in lists.items()}
 
     def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import ahocorasick
@@ -77,16 +82,17 @@ def scan(lowered: Column, listings: list[Listing]) -> Column:
         if ids_of:
             automaton.make_automaton()
         for batch in batches:
-            columns = [[] for _ in ends]
-            for text in batch.to_pylist():
-                hits = sorted({i for _, ids in automaton.iter(text) for i in ids}) if text and ids_of else []
-                start = 0
-                for column, end, most in zip(columns, ends, keep):
-                    stop = bisect_left(hits, end, start)
-                    last = stop if most is None else min(stop, start + most)
-                    column.append([labels[i] for i in hits[start:last]])
-                    start = stop
-            yield pa.StructArray.from_arrays([pa.array(c, pa.list_(pa.string())) for c in columns], names)
+            for k in range(0, len(batch), STEP_TEXTS):
+                columns = [[] for _ in ends]
+                for text in batch.slice(k, STEP_TEXTS).to_pylist():
+                    hits = sorted({*chain.from_iterable(set(map(itemgetter(1), automaton.iter(text))))}) if text and ids_of else []
+                    start = 0
+                    for column, end, most in zip(columns, ends, keep):
+                        stop = bisect_left(hits, end, start)
+                        last = stop if most is None else min(stop, start + most)
+                        column.append([labels[i] for i in hits[start:last]])
+                        start = stop
+                yield pa.StructArray.from_arrays([pa.array(c, pa.list_(pa.string())) for c in columns], names)
 
     return F.arrow_udf(found, "struct<" + ", ".join(f"{n}: array<string>" for n in names) + ">")(lowered)
 

@@ -83,3 +83,16 @@ def test_large_dictionaries_write_no_texts(spark, monkeypatch):
     want = sorted((str(i), str(x), [t for t in ("abcd", "efgh", "mnop", "fgh 1") if x and t in x][:2]) for i, x in rows)
     assert sorted((str(r.review_id), str(r.review_text), r.mentioned_foods) for r in got.collect()) == want
     assert written and all("review_text" not in columns for columns in written)
+
+
+def test_texts_are_scanned_some_at_a_time(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from dishlens.operators import terms
+
+    df = spark.range(50).coalesce(1).select("id", F.when(F.col("id") % 5 > 0, F.concat(F.lit("tea and cake "), "id")).alias("t"))
+    listing = [terms.Listing("found", (("tea", ("tea", "te")), ("cake", ("cake",)), ("one", ("1",))), 2)]
+    whole = [r.x for r in df.orderBy("id").select(terms.scan(F.col("t"), listing).alias("x")).collect()]
+    monkeypatch.setattr(terms, "STEP_TEXTS", 3)
+    assert [r.x for r in df.orderBy("id").select(terms.scan(F.col("t"), listing).alias("x")).collect()] == whole
+    assert [r.found for r in whole[:3]] == [[], ["tea", "cake"], ["tea", "cake"]]
