@@ -62,11 +62,11 @@ def build_two_spaces(processed: DataFrame, space: Space, path: str, tuned_name:
     spark = processed.sparkSession
     index = build_index(processed, space)
     index = index.select(*[c for c in SEARCHED if c in index.columns], "features", "weights", SPACE_KEY, "space")
-    index.write.partitionBy("space").parquet(path)
+    index.write.partitionBy("space").option("compression", "zstd").parquet(path)
     base = spark.read.parquet(path).where(F.col("space") == space.name)
     fitted = fit_idf(base, space, tuned_name)
     tuned = refitted(base, fitted).withColumns({SPACE_KEY: F.lit(fitted.key()), "space": F.lit(tuned_name)})
-    tuned.write.mode("append").partitionBy("space").parquet(path)
+    tuned.write.mode("append").partitionBy("space").option("compression", "zstd").parquet(path)
     return spark.read.parquet(path), {space.name: space, tuned_name: fitted}
 
 

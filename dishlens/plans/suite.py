@@ -62,10 +62,10 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
-    def _once(self, name: str, make: Callable[[], DataFrame], partition_by: list[str] | None = None) -> DataFrame:
+    def _once(self, name: str, make: Callable[[], DataFrame], partition_by: list[str] | None = None, compression: str = "snappy") -> DataFrame:
         key = (self.spark.sparkContext.applicationId, self.dir, name)
         if key not in self._made:
-            self._made[key] = sinks.materialize(make(), name, partition_by)
+            self._made[key] = sinks.materialize(make(), name, partition_by, compression)
         return self._made[key]
 
     def reviews(self) -> DataFrame:
@@ -96,7 +96,9 @@ class Tables:
         return pr.union_queries(self.user_queries(), self.benchmark_queries())
 
     def processed(self) -> DataFrame:
-        return self._once("processed", lambda: pp.process_reviews(self.reviews(), self.dictionary(), max_reviews=None))
+        """The processed reviews; the search text, which holds the review's whole text again, is put together where it is read."""
+        written = self._once("processed", lambda: pp.process_reviews(self.reviews(), self.dictionary(), max_reviews=None).drop("search_text"), compression="zstd")
+        return written.withColumn("search_text", tx.search_text("review_text", list(pp.SEARCH_FACETS))).select(pp.PROCESSED)
 
     # A dense space and a second one from it, with one query per label: the direction its vectors share.
     def vectors(self, space: str) -> DataFrame:

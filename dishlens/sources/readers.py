@@ -15,7 +15,7 @@ NA_VALUES = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA",
     "NULL", "NaN", "None", "n/a", "nan", "null",
 )
-SMALL_INPUT_BYTES = 1 << 30
+SMALL_INPUT_BYTES = 1 << 28
 #: Blocks of files whose first numbers go to every task; more are joined.
 MAX_BROADCAST_BLOCKS = 1_000_000
 INDEX_COLUMNS = ("space", "row_id")
@@ -122,10 +122,11 @@ def read_payload(spark: SparkSession, path: str) -> Payload:
 
 
 def spread(df: DataFrame, key: str, small_bytes: int = SMALL_INPUT_BYTES) -> DataFrame:
-    """Share a small input out over all cores by its key; a large one already comes in enough splits and stays put."""
+    """Share a small input out over all cores by its key; one that is large or comes in a file for each core stays put."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size > small_bytes:
+    if size > small_bytes or len(df.inputFiles()) >= cores:
         return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
+    return df.repartition(cores, key)
 
 

@@ -173,3 +173,13 @@ def test_whole_preprocessing(spark, tmp_path):
 
 def test_spread_keeps_rows(spark, reviews):
     assert readers.spread(reviews, "review_id").select(tx.stars("star_rating")).count() == 8
+
+
+def test_spread_leaves_files_for_every_core_where_they_are(spark, tmp_path):
+    cores = spark.sparkContext.defaultParallelism
+    shuffles = lambda df: "RepartitionByExpression" in df._jdf.queryExecution().optimizedPlan().toString()
+    for files in (1, cores):
+        spark.range(100).repartition(files).write.parquet(str(tmp_path / str(files)))
+    one, many = (readers.spread(spark.read.parquet(str(tmp_path / str(n))), "id") for n in (1, cores))
+    assert shuffles(one) and not shuffles(many)
+    assert one.count() == many.count() == 100

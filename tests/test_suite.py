@@ -41,3 +41,16 @@ def test_equals_sql(spark, db, name):
     have = [d[0] for d in cur.description]
     assert sorted(have) == cols
     assert got == sorted(str(tuple(r[have.index(c)] for c in cols)) for r in cur.fetchall())
+
+
+def test_processed_reviews_hold_each_text_once(spark):
+    """The search text is put together from what is written, and is the one that processing makes."""
+    from dishlens.plans import preprocess as pp
+
+    t = suite.Tables(spark, DIR)
+    done = t.processed()
+    assert done.columns == pp.PROCESSED
+    folder = os.path.dirname(done.inputFiles()[0])
+    assert "search_text" not in spark.read.parquet(folder).columns
+    want = pp.process_reviews(t.reviews(), t.dictionary()).select("review_id", "search_text")
+    assert done.select("review_id", "search_text").exceptAll(want).count() == 0 and done.count() == want.count()
