@@ -41,7 +41,7 @@ FIRST_CELLS, GROWTH = 2, 4
 #: What is allowed for rounding, in parts of the lengths of query and row.
 SLACK = 1e-7
 FOUND = "query_id bigint, row_id bigint, score double, n_scored bigint"
-VISITS = "cell int, block int, part int, query_id bigint, vector array<double>, need double"
+VISITS = "cell int, block int, part int, query_id bigint, vector array<double>, need double, floor double"
 
 
 @dataclass(frozen=True)
@@ -208,8 +208,8 @@ def _visiting(cells: Cells, first: int, last: int) -> Callable:
                 numbers = pa.ListArray.from_arrays(pa.array(np.arange(len(each) + 1, dtype="int32") * dim), pa.array(q[owner[each]].reshape(-1)))
                 ids = some.column("query_id").to_numpy()[owner[each]]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(cell[each].astype("int32")), pa.array(block.astype("int32")), pa.array(np.zeros(len(each), "int32")), pa.array(ids), numbers, pa.array(need[each])
-                ], names=["cell", "block", "part", "query_id", "vector", "need"])
+                    pa.array(cell[each].astype("int32")), pa.array(block.astype("int32")), pa.array(np.zeros(len(each), "int32")), pa.array(ids), numbers, pa.array(need[each]), pa.array(floor[owner[each]])
+                ], names=["cell", "block", "part", "query_id", "vector", "need", "floor"])
 
     return visit
 
@@ -234,6 +234,7 @@ def _scoring(k: int, dim: int) -> Callable:
             reach, ids = reach[order], left["row_id"].to_numpy()[order]
             x = vectors_of(left["vector"].combine_chunks(), dim)[order]
             q, query = vectors_of(right["vector"].combine_chunks(), dim), right["query_id"].to_numpy()
+            floor = right["floor"].to_numpy()
             upto = np.searchsorted(-reach, -right["need"].to_numpy(), side="right")
             by_size = np.argsort(-upto, kind="stable")
             step = max(1, STEP_CELLS // len(x))
@@ -243,7 +244,8 @@ def _scoring(k: int, dim: int) -> Callable:
                 if not most:
                     break
                 scores = np.round(x[:most] @ q[some].T, SCORE_DIGITS) + 0.0
-                scores[np.arange(most)[:, None] >= upto[some][None, :]] = -np.inf
+                # rows under a query's k-th score so far are scored, but are no hits
+                scores[(np.arange(most)[:, None] >= upto[some][None, :]) | (scores < floor[some][None, :])] = -np.inf
                 row, column = best_of(scores, ids[:most], k)
                 out[0].append(query[some][column])
                 out[1].append(ids[row])

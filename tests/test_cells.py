@@ -108,3 +108,19 @@ def test_vectors_of_another_length(spark, tmp_path):
     index = op.build_cells(table(spark, enumerate(np.eye(4))), str(tmp_path / "cells"))
     with pytest.raises(Exception, match="other lengths"):
         op.search_cells(index, table(spark, [(0, [1.0, 2.0])], "query_id"), 3)[0].count()
+
+
+def test_only_hits_that_reach_the_floor_leave_a_block():
+    """Ties with the k-th score stay, as a lower id goes first; every row is still counted as scored."""
+    import pyarrow as pa
+
+    from dishlens.operators.cells import _scoring
+
+    left = pa.table({"row_id": [1, 2, 3, 4], "vector": pa.array([[1.0], [0.5], [0.25], [0.5]], pa.list_(pa.float64())), "reach": [0.0] * 4})
+    right = pa.table({"query_id": [7, 8], "vector": pa.array([[1.0], [1.0]], pa.list_(pa.float64())), "need": [-np.inf] * 2, "floor": [0.5, -np.inf]})
+    got = _scoring(3, 1)(left, right).to_pylist()
+    assert [r["row_id"] for r in got if r["query_id"] == 7 and r["row_id"]] == [1, 2, 4]
+    right = right.set_column(3, "floor", pa.array([0.75, -np.inf]))
+    got = _scoring(3, 1)(left, right).to_pylist()
+    assert [r["row_id"] for r in got if r["query_id"] == 7 and r["row_id"]] == [1]
+    assert [r["n_scored"] for r in got if r["n_scored"]] == [4, 4]
