@@ -62,7 +62,7 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
-    def _once(self, name: str, make: Callable[[], DataFrame], partition_by: list[str] | None = None, compression: str = "snappy") -> DataFrame:
+    def _once(self, name: str, make: Callable[[], DataFrame], partition_by: list[str] | None = None, compression: str | None = None) -> DataFrame:
         key = (self.spark.sparkContext.applicationId, self.dir, name)
         if key not in self._made:
             self._made[key] = sinks.materialize(make(), name, partition_by, compression)
