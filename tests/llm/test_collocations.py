@@ -1,8 +1,10 @@
 import random
 import re
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from dishlens.llm import collocations as op
@@ -106,3 +108,53 @@ def test_packed_numbers():
 
     assert (op.unpack_keys(Value(op.pack_keys(keys))) == keys).all()
     assert not len(op.unpack(Value(op.pack(keys[:0]))))
+
+
+def lists_of(rows, ranges, shards=1):
+    """What the last scan hands out for texts of which every phrase is known."""
+    batch = pa.RecordBatch.from_pydict({"lang": [r.lang for r in rows], "text": [r.text for r in rows]})
+    cut = list(op._cut(shards)([batch]))
+    return list(op._texts(6, ranges, SimpleNamespace(value=np.full(1, 2**64 - 1, np.uint64)))(iter(cut)))
+
+
+def test_the_last_scan_hands_out_lists_by_range_and_reads_no_texts(monkeypatch):
+    """A row for each range of hashes, not one for each phrase; texts are cut into words when they are written, and only then."""
+    monkeypatch.setattr(op, "MIN_COUNT", 1)
+    random.seed(4)
+    words = [f"W{i}é" for i in range(60)]
+    texts = [". ".join("  ".join(random.choices(words, k=9)) for _ in range(40)) for _ in range(30)]
+    rows = [SimpleNamespace(lang=["en", "de"][i % 2], text=t) for i, t in enumerate(texts)]
+    halves = [lists_of(part, 3) for part in (rows[:11], rows[11:])]
+    assert all(sum(b.num_rows for b in half) <= 8 for half in halves)
+    buckets = defaultdict(list)
+    for batch in halves[0] + halves[1]:
+        for i in range(batch.num_rows):
+            buckets[batch.column("bucket")[i].as_py()].append(batch.slice(i, 1))
+    got = Counter()
+    for group in buckets.values():
+        for r in op._sums()(pa.Table.from_batches(group)).to_pylist():
+            assert r["n_words"] == len(r["phrase"].split(" "))
+            got[r["lang"], r["phrase"]] += r["f"]
+    f, _ = counts(rows)
+    assert len(got) > 10_000 and got == {(lang, p): a for lang in f for p, a in f[lang].items()}
+
+
+def test_texts_of_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(op, "MIN_COUNT", 2)
+    monkeypatch.setattr(op, "key_of", lambda sums, n: np.full(len(sums), 4 * n + n - 1, np.uint64))
+    parts = [lists_of([SimpleNamespace(lang=lang, text=t)], 0) for lang, t in (("en", "a a"), ("en", "b b b"), ("de", "a a"), ("en", "a"))]
+    got = op._sums()(pa.Table.from_batches([b for part in parts for b in part])).to_pylist()
+    assert {(r["lang"], r["phrase"], r["f"]) for r in got} == {("en", "a", 3), ("en", "b", 3), ("en", "b b", 2), ("de", "a", 2)}
+
+
+@pytest.mark.parametrize("met", [(5, 7, 8, 9, 10), (3, 4, 5, 7, 8, 9, 10), (2, 4, 5, 7, 8, 9, 10), (1, 2, 7, 8, 9, 10)])
+def test_a_phrase_begun_by_a_false_hit_keeps_the_shards_it_has_seen(met):
+    """Its own steps are 7 to 10; what was met before, in some of the shards, neither counts twice nor makes it forgotten meanwhile."""
+    names, state = ["bucket", "keys", "counts", "seen", "last", "reached"], []
+    schema = pa.schema([("bucket", pa.int32()), *((n, pa.binary()) for n in names[1:])])
+    for step in range(1, 11):
+        found = [dict(zip(names, (0, op.pack_keys(np.array([8], np.uint64)), op.pack(np.array([9])), None, None, None), strict=True))] if step in met else []
+        if state or found:
+            state = op._merge(step, 6)(pa.Table.from_pylist(state + found, schema)).select(names).to_pylist()
+    total, reached = (op.unpack(pa.scalar(state[0][c], pa.binary())).tolist() for c in ("counts", "reached"))
+    assert total == [36] and reached[0] in range(7, 11)
